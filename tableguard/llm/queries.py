@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import decontamination, mixing, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_simhash": simhash.op2_simhash,
+        "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_decontamination": decontamination.op7_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": secrets.oracle(),
+        "op7_decontamination": decontamination.oracle(),
     }
