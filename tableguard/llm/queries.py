@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, secrets, simhash
+from . import decontamination, language, mixing, secrets, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_language_id": language.op8_language_id,
     }
 
 
