@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, secrets, simhash
+from . import decontamination, language, mixing, neighbours, secret_scan, simhash
 
 
 def queries() -> dict:
     return {
-        "op1_secret_scan": secrets.op1_secret_scan,
+        "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_simhash": simhash.op2_simhash,
+        "op5_nearest": neighbours.op5_nearest,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_language_id": language.op8_language_id,
@@ -17,6 +18,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_secret_scan": secrets.oracle(),
+        "op1_secret_scan": secret_scan.oracle(),
         "op7_decontamination": decontamination.oracle(),
     }
