@@ -41,8 +41,9 @@ class Rule:
 # The base kinds.
 BASE_RULES = (
     Rule("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", r"[0-9a-f]+", 0, 32),
+    # A run that is long enough matches whole, so the least length can stand in the pattern.
+    Rule("access", r"AKIA[A-Z0-9]{12,}"),
+    Rule("hex", r"[0-9a-f]{32,}"),
 )
 # Further kinds: private keys and tokens whose form names the issuer.
 EXTRA_RULES = (
@@ -73,9 +74,9 @@ def rule_queries(rules=RULES) -> list[tuple[int, list[list[str]]]]:
 def postings(keyed: DataFrame, text: str, rules=RULES) -> DataFrame:
     """The inverted index over the rules' trigrams: (_key, trigram)."""
     vocabulary = sorted({t for _, q in rule_queries(rules) for c in q for t in c})
-    low = F.lower(F.col("_low"))
+    low = F.col("_low")
     held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in vocabulary)))
-    return keyed.select("_key", F.col(text).alias("_low")).select("_key", F.explode(held).alias("trigram"))
+    return keyed.select("_key", F.lower(text).alias("_low")).select("_key", F.explode(held).alias("trigram"))
 
 
 def candidates(keyed: DataFrame, text: str, rules=RULES) -> DataFrame:
@@ -97,17 +98,14 @@ def candidates(keyed: DataFrame, text: str, rules=RULES) -> DataFrame:
     return met.groupBy("_key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("_rules"))
 
 
-def _positions(text: Column, rule: Rule) -> Column:
-    """Array of (start, end) of the rule's matches, in code points.
+def _positions(found: Column, gaps: Column, measured: Column, least: int) -> Column:
+    """Array of (start, end) of matches at least so long, in code points.
 
     Matches and the gaps between them alternate, so positions are running sums
     of their lengths. They are summed in chunks: time stays near linear.
     """
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
-    measured = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.measured)) if rule.measured else found
     steps = F.transform(
-        F.arrays_zip(gaps.alias("g"), found.alias("f"), measured.alias("m")),
+        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("f"), measured.alias("m")),
         lambda x: F.struct(F.char_length(x["g"]).alias("g"), F.char_length(x["f"]).alias("f"), F.char_length(x["m"]).alias("m")),
     )
     spot = "array<struct<start:int,end:int,m:int>>"
@@ -118,21 +116,12 @@ def _positions(text: Column, rule: Rule) -> Column:
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
 
     def chunk(acc, c):
-        inner = F.aggregate(c["steps"], F.struct(acc["pos"].alias("pos"), F.array().cast(spot).alias("out")), one)
+        inner = F.aggregate(c, F.struct(acc["pos"].alias("pos"), F.array().cast(spot).alias("out")), one)
         return F.aggregate(F.array(inner), acc, lambda a, x: F.struct(x["pos"].alias("pos"), F.concat(a["out"], F.array(x["out"])).alias("out")))
 
-    froms = F.sequence(F.lit(1), F.size(found), F.lit(_CHUNK))
-    chunks = F.aggregate(
-        _chunked(steps, froms),
-        F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{spot}>").alias("out")),
-        chunk,
-    )["out"]
-    spots = F.filter(F.flatten(chunks), lambda x: x["m"] >= rule.least)
-    return F.when(F.size(found) > 0, spots).otherwise(F.array().cast(spot))
-
-
-def _chunked(steps: Column, froms: Column) -> Column:
-    return F.flatten(F.transform(F.array(steps), lambda s: F.transform(froms, lambda i: F.struct(F.slice(s, i, F.lit(_CHUNK)).alias("steps")))))
+    chunks = F.transform(F.sequence(F.lit(1), F.size(found), F.lit(_CHUNK)), lambda i: F.slice(steps, i, F.lit(_CHUNK)))
+    spots = F.flatten(F.aggregate(chunks, F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{spot}>").alias("out")), chunk)["out"])
+    return F.when(F.size(found) > 0, F.filter(spots, lambda x: x["m"] >= least)).otherwise(F.array().cast(spot))
 
 
 def _numbered(spots: Column, n: int) -> Column:
@@ -144,21 +133,29 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
 
     Spans are sorted by start, then kind as listed, then end. A null text is
     scanned as an empty one; rows with null or repeated ids are all kept.
-    Other columns pass through, unless they are called _spans, _key or _rules.
+    Other columns pass through; names that begin with an underscore are kept for this operator.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumn("_key", F.xxhash64(F.col(key), body))
     indexed = {n for n, _ in rule_queries(rules)}
     named = keyed.join(candidates(keyed, text, rules), "_key", "left")
-    none = F.array().cast("array<struct<start:int,n:int,end:int>>")
-    parts = []
-    for n, rule in enumerate(rules):
-        spots = _numbered(_positions(body, rule), n)
-        if n in indexed:
-            asked = F.coalesce(F.col("_rules"), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << n)) != 0
-            spots = F.when(asked, spots).otherwise(none)
-        parts.append(spots)
-    return named.withColumn("_spans", F.array_sort(F.flatten(F.array(*parts)))).drop("_key", "_rules")
+    none = F.array().cast("array<string>")
+
+    def tried(n: int, found: Column) -> Column:
+        if n not in indexed:
+            return found
+        return F.when(F.coalesce(F.col("_rules"), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << n)) != 0, found).otherwise(none)
+
+    def pieces(n: int, rule: Rule) -> list[Column]:
+        """Gaps and, if need be, the measured groups; nothing where nothing was found."""
+        some = F.size(f"_f{n}") > 0
+        gaps = F.when(some, F.split(body, rule.pattern, -1)).otherwise(none).alias(f"_g{n}")
+        return [gaps] + [F.when(some, F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(rule.measured))).otherwise(none).alias(f"_m{n}")] * bool(rule.measured)
+
+    found = named.select("*", *(tried(n, F.regexp_extract_all(body, F.lit(r.pattern), F.lit(0))).alias(f"_f{n}") for n, r in enumerate(rules)))
+    cut = found.select("*", *(c for n, r in enumerate(rules) for c in pieces(n, r)))
+    spots = (_numbered(_positions(F.col(f"_f{n}"), F.col(f"_g{n}"), F.col(f"_m{n}" if r.measured else f"_f{n}"), r.least), n) for n, r in enumerate(rules))
+    return cut.select(*(F.col(f"`{c}`") for c in docs.columns), F.array_sort(F.flatten(F.array(*spots))).alias("_spans"))
 
 
 def _written(spans: Column, rules) -> Column:
