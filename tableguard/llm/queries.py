@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, neighbours, secret_scan, simhash
+from . import decontamination, language, licenses, mixing, neighbours, secret_scan, simhash, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_simhash": simhash.op2_simhash,
+        "op4_token_counts": token_counts.op4_token_counts,
         "op5_nearest": neighbours.op5_nearest,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_language_id": language.op8_language_id,
+        "op9_warc": warc.op9_warc,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 
@@ -20,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": secret_scan.oracle(),
         "op7_decontamination": decontamination.oracle(),
+        "op9_warc": warc.oracle(),
     }
