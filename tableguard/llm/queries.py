@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, mixing, neighbours, secret_scan, simhash, token_counts, warc
+from . import decontamination, language, language_model, licenses, mixing, neighbours, secret_scan, simhash, token_counts, warc
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_simhash": simhash.op2_simhash,
+        "op3_lm_scores": language_model.op3_lm_scores,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_nearest": neighbours.op5_nearest,
         "op6_mix_sources": mixing.op6_mix_sources,
