@@ -162,7 +162,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     from pyspark.sql import types as T
 
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop("lang_pred", "score", "ambiguous")
     at = base.columns.index(text)
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
@@ -170,7 +169,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        m = sent.value
+        m = model
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)

@@ -4,17 +4,19 @@ Fingerprints are made once per document and then kept apart from the texts.
 Distinct fingerprints are linked, never documents: copies share a fingerprint.
 
 Upper level of the index, dealt over the cluster: 64 bits are cut into
-``bits + 4`` pieces. Fingerprints that differ in at most ``bits`` places agree
-on at least four whole pieces, so each fingerprint is filed under the masked
-pattern of every choice of four pieces, and every pair to be linked meets
-under some pattern. A pattern fixes at least 40 of the bits for bits = 2, so it
-holds at most 2**24 distinct fingerprints, however large the corpus.
+``bits + agree`` pieces. Fingerprints that differ in at most ``bits`` places
+agree on at least ``agree`` whole pieces, so each fingerprint is filed under
+the masked pattern of every choice of so many pieces, and every pair to be
+linked meets under some pattern. With bits = 2 and agree = 4 a pattern fixes
+at least 40 of the bits, so it holds at most 2**24 distinct fingerprints,
+however large the corpus.
 
 Lower levels, inside a pattern (``link``): fingerprints are sorted by Gray
 rank, a node's pattern is what all below it share, and a search adds up the
 differences on the way down; a group whose sum exceeds the limit is pruned
 whole. Each pattern gives links of a spanning forest, at most one for each
-fingerprint. Components are then joined by rounds of star contraction on
+fingerprint; patterns of a few fingerprints, one node each, are compared
+together, batch by batch. Components are then joined by rounds of star contraction on
 tables, cut by checkpoints; no links or fingerprints go to the driver.
 """
 
@@ -56,24 +58,27 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3) -> DataFrame:
-    """(key, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = 3) -> DataFrame:
+    """The kept columns of every row, and fp, its fingerprint as a signed long."""
     import pyarrow as pa
+    from pyspark.sql import types as T
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(x, words) for x in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=[key, "fp"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                fp = np.array([fingerprint(x, words) for x in part.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(fp, pa.int64())], names=[*keep, "fp"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
 
 
-def pieces(bits: int) -> list[int]:
-    """Masks of the choices of four of bits + 4 pieces."""
-    cuts = np.linspace(0, 64, bits + 5).round().astype(int).tolist()
+def pieces(bits: int, agree: int = 4) -> list[int]:
+    """Masks of the choices of ``agree`` of bits + agree pieces."""
+    cuts = np.linspace(0, 64, bits + agree + 1).round().astype(int).tolist()
     each = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
-    return [sum(c) for c in combinations(each, 4)]
+    return [sum(c) for c in combinations(each, agree)]
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -142,40 +147,54 @@ def link(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return fp[own], fp[root[own]]
 
 
-def links(prints: DataFrame, bits: int = 2) -> DataFrame:
+def links(prints: DataFrame, bits: int = 2, agree: int = 4) -> DataFrame:
     """(a, b): links that join all fingerprints (column fp, distinct) within ``bits``."""
     import pyarrow as pa
 
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in pieces(bits)]
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in pieces(bits, agree)]
     filed = prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("mask", "pattern"))
 
-    def run(batches):
-        held: list = []
-
-        def close(parts):
-            a, b = link(np.concatenate(parts).view(np.uint64), bits)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
+    def out(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64, copy=False).view(np.int64)) for x in (a, b)], names=["a", "b"])
+
+    def whole(fp, starts, sizes):
+        """Links of complete groups: small ones by offsets at once, others by the index."""
+        group = np.repeat(np.arange(len(starts)), sizes)
+        small = np.repeat(sizes, sizes) <= FAN
+        for k in range(1, min(FAN, int(sizes.max(initial=0)))):
+            a = np.flatnonzero((group[k:] == group[:-k]) & small[k:])
+            near = a[np.bitwise_count(fp[a] ^ fp[a + k]) <= bits]
+            if len(near):
+                yield out(fp[near], fp[near + k])
+        for g in np.flatnonzero(sizes > FAN):
+            yield out(*link(fp[starts[g] : starts[g] + sizes[g]], bits))
 
-        last = None
+    def run(batches):
+        rest, last = [], None
         for batch in batches:
             fp, mask, pattern = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if not len(fp):
                 continue
+            fp = fp.view(np.uint64)
             starts = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1]))))
-            stops = np.append(starts[1:], len(fp))
-            if last is not None and last != (mask[0], pattern[0]):
-                if sum(map(len, held)) > 1:
-                    yield close(held)
-                held = []
-            # All groups but the last end in this batch; the first may go on from the one before.
-            many = (stops - starts > 1) | ((np.arange(len(starts)) == 0) & (len(held) > 0))
-            for g in np.flatnonzero(many[:-1]):
-                parts = [*held, fp[starts[g] : stops[g]]] if g == 0 else [fp[starts[g] : stops[g]]]
-                yield close(parts)
-            held = [*held, fp[starts[-1] :]] if len(starts) == 1 else [fp[starts[-1] :]]
-            last = (mask[-1], pattern[-1])
-        if sum(map(len, held)) > 1:
-            yield close(held)
+            goes_on = last == (mask[0], pattern[0])
+            last = mask[-1], pattern[-1]
+            if goes_on and len(starts) == 1:
+                rest.append(fp)
+                continue
+            # All but the batch's last group are complete, and so is the one held, with what begins this batch.
+            first = starts[1] if goes_on else 0
+            done = [*rest, fp[:first]]
+            size = sum(map(len, done))
+            if size > 1:
+                yield from whole(np.concatenate(done), np.array([0]), np.array([size]))
+            inner = starts[int(goes_on) : -1] if len(starts) > 1 else starts[:0]
+            if len(inner):
+                body = fp[inner[0] : starts[-1]]
+                yield from whole(body, inner - inner[0], np.diff(np.append(inner, starts[-1])))
+            rest = [fp[starts[-1] :]]
+        if sum(map(len, rest)) > 1:
+            yield from whole(np.concatenate(rest), np.array([0]), np.array([sum(map(len, rest))]))
 
     dealt = filed.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
     return dealt.mapInArrow(run, "a long, b long")
@@ -206,21 +225,33 @@ def components(edges: DataFrame) -> DataFrame:
         now = then
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, bits: int = 2) -> DataFrame:
-    """(key, fp, component_id) of every row.
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, bits: int = 2, agree: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, fp, root, component_id) of every row.
 
     ``component_id`` is the smallest key reachable over links, the row's own
-    included. Null texts count as empty ones. Rows with a null key take part,
-    but their key is never a component's id: it is null only if a component has
-    no other key. Repeated rows are returned as often as they come.
+    included; ``root`` names the component, by a fingerprint. Null texts count
+    as empty ones. Rows with a null key take part, but their key is never a
+    component's id: it is null only if a component has no other key. Repeated
+    rows are returned as often as they come.
     """
-    prints = materialize(fingerprints(docs, text, key, words))
+    prints = materialize(fingerprints(docs, text, (key, *keep), words))
     distinct = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    found = components(links(distinct.select("fp"), bits))
+    found = components(links(distinct.select("fp"), bits, agree))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp")
+    by_print = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(by_print, "fp").select(key, *keep, "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, bits: int = 6, agree: int = 3) -> DataFrame:
+    """docs with one row of each near-duplicate component: the one with the
+    smallest key, nulls last; rows equal in key and text are one."""
+    marked = docs.withColumn("_h", F.xxhash64(text))
+    found = near_duplicates(marked, text, key, words, bits, agree, keep=("_h",))
+    first = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_h").alias("h"))
+    kept = found.groupBy("root").agg(F.min(first).alias("_f")).select(F.col("_f.k").alias("_k"), F.col("_f.h").alias("_kh")).distinct()
+    mine = marked.join(kept, marked[key].eqNullSafe(kept["_k"]) & (marked["_h"] == kept["_kh"]), "left_semi")
+    return mine.dropDuplicates([key, "_h"]).drop("_h")
 
 
 def hex_digits(fp: Column) -> Column:
