@@ -1,0 +1,19 @@
+"""Declarative validation and sanitisation of Spark DataFrames."""
+
+from __future__ import annotations
+
+from .functions import ColumnPurityError, FrameShapeError, FunctionRegistry, RegistryError, default_registry
+from .log import configure, get_logger
+from .plans.validate import ErrorReportConfig, ValidationResult, validate
+from .operators.coerce import CoercionError
+from .operators.resolve import SchemaResolutionError
+from .report import ColumnValidationStats, ValidationReport
+from .schema import ColumnSchema, SchemaLoader, SchemaModel
+from .sources import read_csv, read_parquet
+
+configure()
+
+__all__ = [
+    "CoercionError", "ColumnPurityError", "ColumnSchema", "ColumnValidationStats", "ErrorReportConfig", "FrameShapeError", "FunctionRegistry", "RegistryError", "SchemaLoader",
+    "SchemaModel", "SchemaResolutionError", "ValidationReport", "ValidationResult", "configure", "default_registry", "get_logger", "read_csv", "read_parquet", "validate",
+]

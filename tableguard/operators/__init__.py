@@ -1,0 +1 @@
+"""The steps that a validation is made of."""

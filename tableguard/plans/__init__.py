@@ -1,0 +1 @@
+"""The validation pipeline and the queries that exercise it."""

@@ -1,0 +1,6 @@
+"""Readers and writers of validated frames."""
+
+from .readers import read_csv, read_parquet
+from .writers import write_result
+
+__all__ = ["read_csv", "read_parquet", "write_result"]

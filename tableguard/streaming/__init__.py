@@ -1,0 +1,5 @@
+"""Validation of streams."""
+
+from .batches import validate_stream
+
+__all__ = ["validate_stream"]
