@@ -32,19 +32,32 @@ def tokens(text: Column) -> Column:
 
 
 def _seeds(df: DataFrame, at: str) -> DataFrame:
-    """A row for each place and mask: place and seed."""
-    n = F.size("_w")
-    placed = df.where(n >= SPAN).withColumn(at, F.explode(F.sequence(F.lit(0), n - SPAN)))
+    """A row for each place and mask: place and seed.
+
+    Both generators and the join on the seed compile into one loop over a text,
+    which then holds the token array once; rows carry no tokens until they hit.
+    """
+    places = F.slice(F.sequence(F.lit(0), F.size("_w")), F.lit(1), F.greatest(F.size("_w") - SPAN + 1, F.lit(0)))
+    placed = df.withColumn(at, F.explode(places))
     keys = (F.xxhash64(F.lit(m), *(F.get("_w", F.col(at) + p) for p in mask)) for m, mask in enumerate(MASKS))
     return placed.withColumn("_seed", F.explode(F.array(*keys)))
 
 
-def _overlaps(w: Column, item: Column, i: Column, j: Column) -> Column:
-    """Whether the tokens around w[i] and item[j] agree in some window."""
+def _around(tokens: Column, at: Column) -> tuple[Column, Column]:
+    """The tokens near a place that its windows can reach, and the place in them."""
+    before = F.least(at, F.lit(WINDOW - SPAN))
+    return F.slice(tokens, at - before + 1, before + WINDOW), before
+
+
+def _overlaps(w: Column, item: Column, i: Column, j: Column, size: Column) -> Column:
+    """Whether the tokens around w[i] and item[j] agree in some window.
+
+    Items of fewer tokens than a window must agree over their whole length.
+    """
     shift = i - j
     low = F.greatest(F.lit(0), -shift, j + SPAN - WINDOW)
     high = F.least(F.size(item), F.size(w) - shift, j + WINDOW)
-    width = F.least(F.lit(WINDOW), F.size(item))
+    width = F.least(F.lit(WINDOW), size)
     need = F.ceil(width * EQUAL / WINDOW)
     same = F.transform(F.sequence(low, high - 1), lambda x: F.when(F.get(w, x + shift) == F.get(item, x), 1).otherwise(0))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
@@ -58,20 +71,22 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     ``_key`` is a hash of key and text: rows equal in both count once. Null
     texts and texts of fewer than nine tokens hold no seed and never match.
     """
-    keyed = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(key), F.col(text)).alias("_key"), tokens(F.col(text)).alias("_w"))
-    items = benchmark.select(F.col(item_key).alias("item_id"), tokens(F.col(item_text)).alias("_w"))
-    size = items.agg(F.sum(F.size("_w"))).first()[0] or 0
-    ours = _seeds(items, "_j").withColumnRenamed("_w", "_item")
+    keyed = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(key), F.col(text)).alias("_key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_w"))
+    items = benchmark.select(F.col(item_key).alias("item_id"), tokens(F.coalesce(F.col(item_text), F.lit(""))).alias("_w"))
+    near, j = _around(F.col("_w"), F.col("_j"))
+    ours = _seeds(items, "_j").select("_seed", "item_id", F.size("_w").alias("_size"), near.alias("_item"), j.alias("_ij"), "_j")
     theirs = _seeds(keyed, "_i")
-    if size <= small:
+    near, i = _around(F.col("_w"), F.col("_i"))
+    if (items.agg(F.sum(F.size("_w"))).first()[0] or 0) <= small:
         hits = theirs.join(F.broadcast(ours), "_seed")
     else:
-        met = theirs.select("_id", "_key", "_i", "_seed").join(ours.select("item_id", "_j", "_seed"), "_seed")
-        met = met.groupBy("_id", "_key", "item_id", (F.col("_i") - F.col("_j")).alias("_shift")).agg(F.collect_set(F.struct("_i", "_j")).alias("_at"))
-        again = keyed.dropDuplicates(["_id", "_key"])
-        same = met["_id"].eqNullSafe(again["_id"]) & (met["_key"] == again["_key"])
-        hits = met.join(again, same).select(met["*"], "_w").join(items.withColumnRenamed("_w", "_item"), "item_id").withColumn("_at", F.explode("_at")).select("*", "_at._i", "_at._j")
-    found = hits.where(_overlaps(F.col("_w"), F.col("_item"), F.col("_i"), F.col("_j")))
+        met = theirs.select("_id", "_key", "_i", "_seed").join(ours.drop("_j"), "_seed").drop("_seed")
+        texts = keyed.dropDuplicates(["_id", "_key"])
+        hits = met.join(texts, met["_id"].eqNullSafe(texts["_id"]) & (met["_key"] == texts["_key"])).select(met["*"], "_w")
+    # Generated rows keep the check out of the join, whose loop compiles without it.
+    each = F.struct("_size", "_item", "_ij", near.alias("_near"), i.alias("_at"))
+    cut = hits.select("_id", "_key", "item_id", "_i", F.explode(F.array(each)).alias("_h"))
+    found = cut.where(_overlaps(*(F.col(f"_h.{c}") for c in ("_near", "_item", "_at", "_ij", "_size"))))
     return found.groupBy(F.col("_id").alias(key), "_key", "item_id").agg(
         F.count_distinct("_i").alias("seeds"), F.min("_i").cast("long").alias("first_token"), (F.max("_i") + SPAN - 1).cast("long").alias("last_token")
     )
