@@ -34,11 +34,12 @@ LEVEL = 3
 def _open(path: str, mode: str):
     from pyarrow import fs
 
+    # The name ends in .zst, but these streams are the compressed bytes themselves.
     system, inner = fs.FileSystem.from_uri(path)
     if mode == "rb":
-        return system.open_input_stream(inner)
+        return system.open_input_stream(inner, compression=None)
     system.create_dir(inner.rpartition("/")[0])
-    return system.open_output_stream(inner)
+    return system.open_output_stream(inner, compression=None)
 
 
 def _record(page, url, payload: bytes, digest: str, first, size: int) -> bytes:
@@ -148,7 +149,10 @@ def records(path: str):
     with _open(path, "rb") as file:
         if file.read(4) != MAGIC:
             raise ValueError(f"{path}: no dictionary frame")
-        trained = file.read(int.from_bytes(file.read(4), "little"))
+        size = int.from_bytes(file.read(4), "little")
+        trained = file.read(size)
+        if len(trained) != size:
+            raise ValueError(f"{path}: the dictionary is cut off")
         unpacker = z.ZstdDecompressor(dict_data=z.ZstdCompressionDict(trained))
         rest = file.read(1 << 20)
         while rest:
