@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import inspect
 import json
-import logging
 from collections.abc import Callable
 from contextlib import contextmanager
 from typing import Annotated, Any, get_args, get_origin, get_type_hints
 
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -77,7 +77,7 @@ def _bare(hint: Any) -> Any:
 @contextmanager
 def _quiet():
     """A probe that must fail is no error worth a log entry."""
-    log = logging.getLogger("DataFrameQueryContextLogger")
+    log = PySparkLogger.getLogger("DataFrameQueryContextLogger")
     before, log.disabled = log.disabled, True
     try:
         yield

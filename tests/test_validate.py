@@ -1,0 +1,209 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tableguard import CoercionError, ErrorReportConfig, FrameShapeError, SchemaModel, SchemaResolutionError, default_registry, read_csv, validate
+from tableguard.plans.validate import NullabilityError
+
+TITANIC = '''PassengerId,Survived,Pclass,Name,Sex,Age,SibSp,Parch,Ticket,Fare,Cabin,Embarked
+1,0,3,"Braund, Mr. Owen",male,22,1,0,A/5 21171,7.25,,S
+2,1,1,"Cumings, Mrs. ""John""",female,38,1,0,PC 17599,71.2833,C85,C
+3,1,3,"Heikkinen, Miss",female,26,0,0,STON/O2,7.925,,S
+6,0,3,"Moran, Mr. James",male,,0,0,330877,8.4583,,Q
+'''
+
+
+def model(columns, **more):
+    return SchemaModel.from_dict({"columns": columns} | more)
+
+
+def run(df, columns, mode="summary", limit=None, values=True, strategy="strict", lazy=None, **schema):
+    return validate(df, model(columns, **schema), default_registry(), lazy=lazy, coerce_strategy=strategy, error_report=ErrorReportConfig(mode=mode, limit=limit, include_values=values))
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+@pytest.fixture(scope="module")
+def ages(spark):
+    return spark.createDataFrame([(25, "Alice"), (-5, "Bob"), (30, "Carol"), (None, "Dave")], "age long, name string")
+
+
+POSITIVE = {"dtype": "Int64", "nullable": True, "checks": [{"name": "positive"}]}
+
+
+def test_titanic(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(TITANIC)
+    steps = lambda *names: [{"name": n} for n in names]
+    columns = {
+        "passenger_id": {"dtype": "Int64", "synonyms": ["PassengerId"], "parsers": steps("strip", "to_int"), "checks": steps("unique")},
+        "survived": {"dtype": "Int64", "synonyms": ["Survived"], "parsers": steps("strip", "to_int"), "checks": [{"name": "in_list", "args": {"values": [0, 1]}}]},
+        "name": {"dtype": "Utf8", "synonyms": ["Name"], "parsers": steps("strip")},
+        "sex": {"dtype": "Utf8", "synonyms": ["Sex"], "parsers": steps("strip", "lower"), "checks": [{"name": "in_list", "args": {"values": ["male", "female"]}}]},
+        "age": {"dtype": "Float64", "synonyms": ["Age"], "nullable": True, "required": False, "parsers": steps("strip", "to_float"), "checks": [{"name": "between", "args": {"min": 0, "max": 100}}]},
+        "fare": {"dtype": "Float64", "synonyms": ["Fare"], "parsers": steps("strip", "to_float"), "checks": steps("min_zero")},
+        "cabin": {"dtype": "Utf8", "synonyms": ["Cabin"], "nullable": True, "required": False},
+    }
+    schema = model(columns, coerce=False, frame_parsers=[{"name": "strip_all_strings"}])
+    got = validate(read_csv(tmp_path / "t.csv", schema), schema, default_registry(), lazy=False, coerce_strategy="null_on_failure")
+    assert rows(got.errors) == [("age", "between", 1)]
+    assert (got.report.rows_valid, got.report.rows_processed) == (3, 4)
+    assert {c: (s.original_null_count, s.final_null_count, s.nullified) for c, s in got.report.columns.items() if s.original_null_count} == {"age": (1, 1, 0), "cabin": (3, 3, 0)}
+    assert got.data.select("name").first()[0] == "Braund, Mr. Owen" and dict(got.data.dtypes)["age"] == "double"
+    assert got.data.columns[2] == "Pclass"
+
+
+def test_patient(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("pid,age\n001 ,34\n002, 29\n003,41\n002,29\n")
+    columns = {
+        "patient_id": {"dtype": "Utf8", "synonyms": ["pid"], "parsers": [{"name": "strip"}], "checks": [{"name": "non_null"}, {"name": "unique"}]},
+        "age_years": {"dtype": "Int64", "synonyms": ["age"], "parsers": [{"name": "strip"}, {"name": "to_int"}], "checks": [{"name": "positive"}]},
+    }
+    df = read_csv(tmp_path / "p.csv", model(columns))
+    got = run(df, columns, "rows", 100, strategy="null_on_failure")
+    assert rows(got.errors) == [("patient_id", "unique", 2, [1, 3])] and got.report.rows_valid == 2
+    assert [r.age_years for r in got.data.collect()] == [34, 29, 41, 29]
+    assert rows(run(df, columns, "cells", 10).errors) == [("patient_id", "unique", 1, "002"), ("patient_id", "unique", 3, "002")]
+    with pytest.raises(ValueError, match=r"Duplicate patient_id values: \['002'\]"):
+        run(df, columns, frame_parsers=[{"name": "strip_strings"}], frame_checks=[{"name": "no_duplicate_ids"}])
+
+
+def test_strict_raises_for_nulls_and_carries_the_report(ages):
+    with pytest.raises(NullabilityError, match="'age'") as e:
+        run(ages, {"age": POSITIVE | {"nullable": False}, "name": {"dtype": "Utf8"}})
+    assert rows(e.value.errors) == [("age", "non_null", 1), ("age", "positive", 2)] and e.value.report.rows_valid == 1
+
+
+def test_clean_profile(ages):
+    got = run(ages, {"age": POSITIVE}, profile="clean")
+    s = got.report.columns["age"]
+    assert [r.age for r in got.data.collect()] == [25, None, 30, None] and (s.check_failures, s.nullified, s.final_null_count, s.original_null_count) == (2, 2, 2, 1)
+    assert got.report.summary() == "Validation Report (Profile: clean)\nRows: 2/4 valid (50.0%)\n\nColumn Issues:\n  age:\n    Check failures: 2\n    Nullified: 2\n    Final nulls: 2"
+
+
+def test_all_masks_nullify(ages):
+    got = run(ages, {"age": {"dtype": "Int64", "nullable": True, "checks": [{"name": "positive"}, {"name": "between", "args": {"min": -9, "max": 26}}]}}, profile="clean")
+    assert [r.age for r in got.data.collect()] == [25, None, None, None] and got.report.columns["age"].check_failures == 4 and got.report.rows_failed_distinct == 3
+
+
+@pytest.mark.parametrize(("mode", "limit", "want"), [("rows", None, [(2, [1, 3])]), ("rows", 1, [(1, [1])]), ("rows", 0, [(0, [])]), ("cells", 1, [(1, "-5")]), ("cells", 0, [])])
+def test_limits(ages, mode, limit, want):
+    got = run(ages, {"age": POSITIVE}, mode, limit)
+    assert [tuple(r)[2:] for r in got.errors.collect()] == want and got.report.columns["age"].check_failures == 2
+    assert got.report.rows_valid == 2
+
+
+def test_cells_of_several_types_and_without_values(ages):
+    columns = {"age": POSITIVE, "name": {"dtype": "Utf8", "checks": [{"name": "min_length", "args": {"length": 5}}]}}
+    assert rows(run(ages, columns, "cells").errors) == [("age", "positive", 1, "-5"), ("age", "positive", 3, None), ("name", "min_length", 1, "Bob"), ("name", "min_length", 3, "Dave")]
+    got = run(ages, columns, "cells", values=False)
+    assert got.errors.columns == ["column", "check", "row_index"] and got.report.rows_valid == 2
+
+
+@pytest.mark.parametrize("mode", ["summary", "rows", "cells"])
+def test_no_failures_and_no_checks(ages, mode):
+    for columns in ({"name": {"dtype": "Utf8", "checks": [{"name": "non_null"}]}}, {"age": {"dtype": "Int64", "nullable": True}}):
+        got = run(ages, columns, mode)
+        assert got.errors.count() == 0 and got.errors.columns[:2] == ["column", "check"] and got.report.rows_valid == 4
+
+
+def test_empty_frame(spark):
+    got = run(spark.createDataFrame([], "age long"), {"age": POSITIVE}, "cells")
+    assert got.data.count() == 0 and "0/0 valid (0.0%)" in got.report.summary()
+
+
+def test_config_and_strategy_are_checked(ages):
+    for bad in ({"mode": "all"}, {"limit": -1}, {"more": 1}):
+        with pytest.raises(ValueError):
+            ErrorReportConfig(**bad)
+    with pytest.raises(ValueError, match="strategy"):
+        run(ages, {"age": POSITIVE}, strategy="lenient")
+
+
+@pytest.mark.parametrize("where", ["parsers", "checks", "frame_parsers", "frame_checks"])
+def test_unknown_functions(ages, where):
+    column = POSITIVE | ({where: [{"name": "nope"}]} if "frame" not in where else {})
+    with pytest.raises(KeyError, match="nope"):
+        run(ages, {"age": column}, **({where: [{"name": "nope"}]} if "frame" in where else {}))
+
+
+def test_resolution(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "A long, a long, `x.y` long")
+    got = run(df, {"upper": {"dtype": "Int64", "synonyms": ["A"]}, "a": {"dtype": "Int64"}, "x.y": {"dtype": "Int64", "checks": [{"name": "positive"}]}, "gone": {"dtype": "Int64", "required": False}})
+    assert got.data.columns == ["upper", "a", "x.y"] and got.report.columns["gone"].final_null_count == 0
+    for columns in ({"b": {"dtype": "Int64"}}, {"b": {"dtype": "Int64", "synonyms": ["a", "A"]}}, {"b": {"dtype": "Int64", "synonyms": ["a"]}, "c": {"dtype": "Int64", "synonyms": ["a"]}}):
+        with pytest.raises(SchemaResolutionError):
+            run(df, columns)
+
+
+CASTS = [
+    ("Int64", "string", ["29", "+3", " 29", "1.5", "1e3", "", "abc", "9" * 30], [29, 3] + [None] * 6), ("Float64", "string", ["1.5", "1e3", ".5", "inf", "1d", " 1.5 ", "x"], [1.5, 1000.0, 0.5, float("inf"), None, None, None]),
+    ("Boolean", "string", ["true", "false", "yes", "1", "T"], [True, False, None, None, None]), ("UInt8", "long", [0, 255, 256, -1], [0, 255, None, None]), ("Int8", "long", [127, 300], [127, None]),
+    ("Int32", "double", [1.9, -1.9], [1, -1]), ("Utf8", "long", [5], ["5"]),
+]
+
+
+@pytest.mark.parametrize(("dtype", "kind", "values", "want"), CASTS)
+def test_casts(spark, dtype, kind, values, want):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"k int, v {kind}")
+    got = run(df, {"v": {"dtype": dtype, "nullable": True}}, strategy="null_on_failure")
+    assert [r.v for r in got.data.orderBy("k").collect()] == want and got.report.columns["v"].coercion_failures == want.count(None)
+    if None in want:
+        with pytest.raises(CoercionError):
+            run(df, {"v": {"dtype": dtype, "nullable": True}})
+
+
+def test_dates(spark):
+    df = spark.createDataFrame([("2024-02-03", "2024-02-03 04:05:06"), ("2024", "03.02.2024")], "d string, t string")
+    got = run(df, {"d": {"dtype": "Date", "nullable": True}, "t": {"dtype": "Datetime", "nullable": True}}, strategy="null_on_failure")
+    assert dict(got.data.dtypes) == {"d": "date", "t": "timestamp_ntz"} and got.data.collect()[1] == (None, None) and None not in got.data.first()
+
+
+def test_mismatch_names_columns(spark):
+    with pytest.raises(CoercionError, match="(?s)d: current date, expected Binary.*Suggestions"):
+        run(spark.sql("SELECT DATE'2024-01-01' AS d"), {"d": {"dtype": "Binary"}})
+    with pytest.raises(CoercionError, match="expected List"):
+        run(spark.sql("SELECT 1 AS d"), {"d": {"dtype": "List"}})
+    assert run(spark.sql("SELECT array(1) AS d"), {"d": {"dtype": "List"}}).data.first().d == [1]
+
+
+def test_frame_functions(spark, ages):
+    twice = spark.createDataFrame([(1,), (1,)], "x long")
+    for mode in ("summary", "rows"):
+        with pytest.raises(FrameShapeError):
+            run(twice, {"x": {"dtype": "Int64"}}, mode, frame_parsers=[{"name": "deduplicate"}])
+        run(twice.limit(1), {"x": {"dtype": "Int64"}}, mode, frame_parsers=[{"name": "deduplicate"}])
+    with pytest.raises(ValueError, match="at least 9"):
+        run(ages, {"age": POSITIVE}, frame_checks=[{"name": "min_rows", "args": {"count": 9}}])
+    got = run(ages, {"age": POSITIVE}, "rows", frame_parsers=[{"name": "sort_by", "args": {"column": "name", "descending": True}}], frame_checks=[{"name": "min_rows", "args": {"count": 4}}])
+    assert rows(got.errors) == [("age", "positive", 2, [1, 3])] and got.report.columns["age"].original_null_count == 1
+
+
+def test_frame_checks_keep_coercion_counts(ages):
+    got = run(ages.withColumn("age", F.concat("age", F.lit("x"))), {"age": {"dtype": "Int64", "nullable": True}}, strategy="null_on_failure", frame_checks=[{"name": "min_rows", "args": {"count": 1}}])
+    assert got.report.columns["age"].coercion_failures == 3 and got.data.columns == ["age", "name"]
+
+
+def test_partitioning_does_not_matter(spark):
+    """Summary counts add up to cells; nulls are set for failures only; numbers follow the input order."""
+    df = spark.range(500).selectExpr("if(id % 7 = 0, NULL, id % 11 - 2) AS a", "concat('v', id % 3) AS b")
+    columns = {"a": POSITIVE, "b": {"dtype": "Utf8", "checks": [{"name": "matches", "args": {"pattern": "[01]$"}}]}}
+    want = None
+    for n in (1, 4, 7):
+        part = spark.createDataFrame(df.collect(), df.schema).coalesce(n) if n == 1 else spark.createDataFrame(spark.sparkContext.parallelize(df.collect(), n), df.schema)
+        cells, counts = run(part, columns, "cells", profile="clean"), run(part, columns, profile="clean")
+        got = rows(cells.errors)
+        want = want or got
+        assert got == want and len(got) == sum(r["count"] for r in counts.errors.collect())
+        assert cells.data.where("a IS NULL").count() == counts.report.columns["a"].nullified == sum(1 for r in got if r[0] == "a")
+
+
+def test_one_job_for_a_summary(spark, ages):
+    """Counting is one aggregate, whatever the number of columns and checks."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("once", "once")
+    try:
+        run(ages, {"age": POSITIVE, "name": {"dtype": "Utf8", "checks": [{"name": "non_null"}, {"name": "min_length", "args": {"length": 1}}]}}, strategy="null_on_failure")
+        assert len(tracker.getJobIdsForGroup("once")) <= 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
