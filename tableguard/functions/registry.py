@@ -91,6 +91,7 @@ class ColumnFunction:
     def __init__(self, func: Callable[..., Column], name: str):
         SignatureValidator(Column).validate(func)
         self.func, self.name, self.__doc__ = func, name, func.__doc__
+        self._known: dict[tuple[str, str], T.DataType] = {}
 
     def __call__(self, column: Column, **args: Any) -> Column:
         if not isinstance(column, Column):
@@ -104,11 +105,15 @@ class ColumnFunction:
         """The result over an expression of ``source`` alone, and its type.
 
         It is resolved against an empty frame that has just the source, which
-        must work, and one without it, which must not. No data is read.
+        must work, and one without it, which must not. No data is read, and an
+        expression that was found pure is not tried again, as for micro-batches.
         """
         from pyspark.sql import functions as F
 
         out = self(column, **args)
+        key = str(out), source.json()
+        if key in self._known:
+            return out, self._known[key]
         probe = F.col(f"`{source.name.replace('`', '``')}`")
         try:
             with _quiet():
@@ -124,6 +129,7 @@ class ColumnFunction:
             with _quiet():
                 spark.createDataFrame([], T.StructType([T.StructField(PROBE, T.StringType())])).select(out.alias("x"))
         except AnalysisException:
+            self._known[key] = kind
             return out, kind
         raise ColumnPurityError(f"{self.name}: does not use its column {source.name!r}")
 
