@@ -8,8 +8,10 @@ written once; the other records revisit it.
 
 Archives go to the folder that driver and executors share, through a file
 system that the folder's own scheme names. Every task attempt writes names of
-its own, and only the attempts that Spark commits are in the manifest that
-``write`` returns; files of lost attempts are never read.
+its own, and only those of the attempt whose result the driver takes are in the
+manifest that ``write`` returns; files of lost attempts are never read. The
+manifest alone goes through the driver: a row for each archive, that is for
+each ``ARCHIVE_BYTES`` and for each partition.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, table
+from .common import shared_dir, table
 
 MAGIC = (0x184D2A5D).to_bytes(4, "little")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -139,7 +141,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
         if archive is not None:
             yield pa.RecordBatch.from_pydict(dict(zip(("path", "records"), ([x] for x in archive.close()))))
 
-    return materialize(deduplicated(pages, key, url, payload, least).mapInArrow(run, "path string, records long"))
+    done = deduplicated(pages, key, url, payload, least).mapInArrow(run, "path string, records long").collect()
+    return pages.sparkSession.createDataFrame(done, "path string, records long")
 
 
 def records(path: str):
