@@ -25,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_secret_scan": secret_scan.oracle(),
         "op7_decontamination": decontamination.oracle(),
         "op9_warc": warc.oracle(),
+        "op10_license_scan": licenses.oracle(),
     }
