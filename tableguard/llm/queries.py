@@ -23,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": secret_scan.oracle(),
+        "op5_nearest": neighbours.oracle(),
         "op7_decontamination": decontamination.oracle(),
         "op9_warc": warc.oracle(),
         "op10_license_scan": licenses.oracle(),

@@ -76,3 +76,10 @@ def test_ranks_are_places(spark):
     for c in range(3):
         want = [k for _, k in sorted(((k * 7919) % 101, k) for k in range(200))]
         assert [r.rep for r in sorted((r for r in rows if r.curve == c), key=lambda r: r["rank"])] == want
+
+
+def test_oracle(spark, data, duck):
+    from tableguard.llm import queries
+    from tests.conftest import same_rows
+
+    same_rows(nn.op5_nearest(spark, data), duck.execute(queries.oracle_sql()["op5_nearest"]))
