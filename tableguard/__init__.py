@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import ColumnPurityError, FrameShapeError, FunctionRegistry, RegistryError, default_registry
-from .log import configure, get_logger
+from .log import configure, configure_logging, get_logger
 from .plans.validate import ErrorReportConfig, ValidationResult, validate
 from .operators.coerce import CoercionError
-from .operators.resolve import SchemaResolutionError
+from .operators.resolve import SchemaResolutionError, resolve_column_names
 from .report import ColumnValidationStats, ValidationReport
 from .schema import ColumnSchema, SchemaLoader, SchemaModel
 from .sources import read_csv, read_parquet
@@ -15,5 +15,5 @@ configure()
 
 __all__ = [
     "CoercionError", "ColumnPurityError", "ColumnSchema", "ColumnValidationStats", "ErrorReportConfig", "FrameShapeError", "FunctionRegistry", "RegistryError", "SchemaLoader",
-    "SchemaModel", "SchemaResolutionError", "ValidationReport", "ValidationResult", "configure", "default_registry", "get_logger", "read_csv", "read_parquet", "validate",
+    "SchemaModel", "SchemaResolutionError", "ValidationReport", "ValidationResult", "configure", "configure_logging", "default_registry", "get_logger", "read_csv", "read_parquet", "resolve_column_names", "validate",
 ]

@@ -1,6 +1,6 @@
 """Registry of user functions and the functions that come with the package."""
 
 from .builtins import default_registry
-from .registry import ColumnFunction, ColumnPurityError, FrameFunction, FrameShapeError, FunctionRegistry, RegistryError, SignatureValidator
+from .registry import ColumnFunctionWrapper, ColumnPurityError, DecoratorAdapter, FrameFunctionWrapper, FrameShapeError, FunctionRegistry, RegistryError, SignatureValidator
 
-__all__ = ["ColumnFunction", "ColumnPurityError", "FrameFunction", "FrameShapeError", "FunctionRegistry", "RegistryError", "SignatureValidator", "default_registry"]
+__all__ = ["ColumnFunctionWrapper", "ColumnPurityError", "DecoratorAdapter", "FrameFunctionWrapper", "FrameShapeError", "FunctionRegistry", "RegistryError", "SignatureValidator", "default_registry"]

@@ -64,6 +64,11 @@ def between(c: Column, min, max) -> Column:
     return c.between(F.lit(min), F.lit(max))
 
 
+def in_range(c: Column, min_val, max_val) -> Column:
+    """Both ends included."""
+    return between(c, min_val, max_val)
+
+
 def in_list(c: Column, values: list) -> Column:
     return c.isin(list(values))
 
@@ -129,9 +134,9 @@ def no_duplicate_ids(df: DataFrame, column: str = "patient_id") -> DataFrame:
     return df
 
 
-COLUMN_PARSERS = {"strip": strip, "lower": lower, "upper": upper, "to_int": to_int, "to_float": to_float, "replace_text": replace_text, "normalize": normalize}
+COLUMN_PARSERS = {"strip": strip, "trim_whitespace": strip, "lower": lower, "upper": upper, "uppercase": upper, "to_int": to_int, "to_float": to_float, "replace_text": replace_text, "normalize": normalize}
 COLUMN_CHECKS = {
-    "non_null": non_null, "positive": positive, "min_zero": min_zero, "between": between, "in_range": between, "in_list": in_list, "unique": unique,
+    "non_null": non_null, "positive": positive, "min_zero": min_zero, "between": between, "in_range": in_range, "in_list": in_list, "unique": unique,
     "matches": matches, "email_format": email_format, "min_length": min_length, "after_date": after_date,
 }
 FRAME_PARSERS = {"strip_all_strings": strip_all_strings, "strip_strings": strip_all_strings, "sort_by": sort_by, "sort_by_date": sort_by, "fill_nulls": fill_nulls, "deduplicate": deduplicate}

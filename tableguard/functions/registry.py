@@ -85,7 +85,7 @@ def _quiet():
         log.disabled = before
 
 
-class ColumnFunction:
+class ColumnFunctionWrapper:
     """A registered column parser or check."""
 
     def __init__(self, func: Callable[..., Column], name: str):
@@ -134,7 +134,7 @@ class ColumnFunction:
         raise ColumnPurityError(f"{self.name}: does not use its column {source.name!r}")
 
 
-class FrameFunction:
+class FrameFunctionWrapper:
     """A registered frame parser or check."""
 
     def __init__(self, func: Callable[..., DataFrame], name: str):
@@ -158,30 +158,41 @@ class FrameFunction:
         return out
 
 
+class DecoratorAdapter:
+    """Registers what it decorates: bare, with empty brackets, or with a name."""
+
+    def __init__(self, register: Callable, **options: Any):
+        self.register, self.options = register, options
+
+    def __call__(self, func: Callable | None = None, **options: Any):
+        options = self.options | {k: v for k, v in options.items() if v is not None}
+        return DecoratorAdapter(self.register, **options) if func is None else self.register(func, **options)
+
+
 class FunctionRegistry:
     """Named column and frame functions; each of the four kinds has names of its own."""
 
     def __init__(self) -> None:
-        self.column_parsers: dict[str, ColumnFunction] = {}
-        self.column_checks: dict[str, ColumnFunction] = {}
-        self.frame_parsers: dict[str, FrameFunction] = {}
-        self.frame_checks: dict[str, FrameFunction] = {}
+        self.column_parsers: dict[str, ColumnFunctionWrapper] = {}
+        self.column_checks: dict[str, ColumnFunctionWrapper] = {}
+        self.frame_parsers: dict[str, FrameFunctionWrapper] = {}
+        self.frame_checks: dict[str, FrameFunctionWrapper] = {}
 
-    def register_column_parser(self, func: Callable, *, name: str | None = None) -> ColumnFunction:
-        return self._add(self.column_parsers, ColumnFunction, func, name)
+    def register_column_parser(self, func: Callable, *, name: str | None = None) -> ColumnFunctionWrapper:
+        return self._add(self.column_parsers, ColumnFunctionWrapper, func, name)
 
-    def register_column_check(self, func: Callable, *, name: str | None = None) -> ColumnFunction:
-        return self._add(self.column_checks, ColumnFunction, func, name)
+    def register_column_check(self, func: Callable, *, name: str | None = None) -> ColumnFunctionWrapper:
+        return self._add(self.column_checks, ColumnFunctionWrapper, func, name)
 
-    def register_frame_parser(self, func: Callable, *, name: str | None = None) -> FrameFunction:
-        return self._add(self.frame_parsers, FrameFunction, func, name)
+    def register_frame_parser(self, func: Callable, *, name: str | None = None) -> FrameFunctionWrapper:
+        return self._add(self.frame_parsers, FrameFunctionWrapper, func, name)
 
-    def register_frame_check(self, func: Callable, *, name: str | None = None) -> FrameFunction:
-        return self._add(self.frame_checks, FrameFunction, func, name)
+    def register_frame_check(self, func: Callable, *, name: str | None = None) -> FrameFunctionWrapper:
+        return self._add(self.frame_checks, FrameFunctionWrapper, func, name)
 
     @staticmethod
     def _add(functions: dict, kind: type, func: Callable, name: str | None):
-        func = func.func if isinstance(func, (ColumnFunction, FrameFunction)) else func
+        func = func.func if isinstance(func, (ColumnFunctionWrapper, FrameFunctionWrapper)) else func
         name = getattr(func, "__name__", "") if name is None else name
         if not name:
             raise RegistryError("a function needs a name")
@@ -190,29 +201,18 @@ class FunctionRegistry:
         functions[name] = wrapper = kind(func, name)
         return wrapper
 
-    @staticmethod
-    def _decorator(register: Callable):
-        def decorate(func: Callable | None = None, *, name: str | None = None):
-            return register(func, name=name) if func is not None else lambda f: register(f, name=name)
-
-        return decorate
-
     @property
-    def column_parser(self):
-        """Decorator, bare or with a name."""
-        return self._decorator(self.register_column_parser)
+    def column_parser(self) -> DecoratorAdapter:
+        return DecoratorAdapter(self.register_column_parser)
 
     @property
-    def column_check(self):
-        """Decorator, bare or with a name."""
-        return self._decorator(self.register_column_check)
+    def column_check(self) -> DecoratorAdapter:
+        return DecoratorAdapter(self.register_column_check)
 
     @property
-    def frame_parser(self):
-        """Decorator, bare or with a name."""
-        return self._decorator(self.register_frame_parser)
+    def frame_parser(self) -> DecoratorAdapter:
+        return DecoratorAdapter(self.register_frame_parser)
 
     @property
-    def frame_check(self):
-        """Decorator, bare or with a name."""
-        return self._decorator(self.register_frame_check)
+    def frame_check(self) -> DecoratorAdapter:
+        return DecoratorAdapter(self.register_frame_check)

@@ -23,6 +23,9 @@ def configure(level: str | None = None) -> logging.Logger:
     return root
 
 
+configure_logging = configure
+
+
 def get_logger(name: str | None = None) -> logging.Logger:
     """The package logger, or one below it; a name inside the package stays as it is."""
     if not name or name == ROOT:

@@ -27,7 +27,7 @@ def case_sensitive(spark: SparkSession):
         spark.conf.set(_CASE, before)
 
 
-def resolve_columns(df: DataFrame, schema: SchemaModel) -> DataFrame:
+def resolve_column_names(schema: SchemaModel, df: DataFrame) -> DataFrame:
     """df with the schema's column names; a projection of names only."""
     have = df.columns
     claims: dict[str, list[str]] = defaultdict(list)

@@ -23,7 +23,7 @@ from ..functions.builtins import ROW_INDEX
 from ..operators import errors
 from ..operators.checks import any_of, masks
 from ..operators.coerce import CoercionError, Strategy, coerced, mismatch, raised_by_cast
-from ..operators.resolve import case_sensitive, resolve_columns
+from ..operators.resolve import case_sensitive, resolve_column_names
 from ..operators.rowindex import _quoted, with_row_index
 from ..report import ColumnValidationStats, ValidationReport
 from ..schema import SchemaModel
@@ -89,7 +89,7 @@ def validate(
 class _Run:
     def __init__(self, df: DataFrame, schema: SchemaModel, registry: FunctionRegistry, strategy: Strategy, config: ErrorReportConfig):
         self.schema, self.registry, self.strategy, self.config = schema, registry, strategy, config
-        self.frame = resolve_columns(df, schema)
+        self.frame = resolve_column_names(schema, df)
         self.names = [n for n in schema.columns if n in self.frame.columns]
         self.output = self.frame.columns
         self.known: dict[str, int] = {}
@@ -110,7 +110,7 @@ class _Run:
         checks = masks(self.frame, self.schema, self.registry)
         marked = [(column, check, f"__m{k}") for k, (column, check, _) in enumerate(checks)]
         masked = self.frame.select("*", *(m.alias(name) for (_, _, m), (_, _, name) in zip(checks, marked)))
-        nullify = {n: any_of([F.col(m) for c, _, m in marked if c == n]) for n in self.names if self.schema.resolve_on_failure(self.schema.columns[n]) == "null" and any(c == n for c, _, _ in marked)}
+        nullify = {n: any_of([F.col(m) for c, _, m in marked if c == n]) for n in self.names if self.schema.resolve_on_failure(n) == "null" and any(c == n for c, _, _ in marked)}
         final = {n: F.col(_quoted(n)).isNull() | nullify[n] if n in nullify else F.col(_quoted(n)).isNull() for n in self.names}
         wanted = {k: F.col(c) for k, c in flags.items()} | {f"check:{m}": F.col(m) for _, _, m in marked} | {f"final:{n}": c for n, c in final.items()} | {f"nullified:{n}": c for n, c in nullify.items()}
         if marked:

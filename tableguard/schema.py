@@ -80,8 +80,9 @@ class SchemaModel(_Strict):
     def __repr__(self) -> str:
         return f"<SchemaModel lazy={self.lazy}, coerce={self.coerce}, columns=[{', '.join(self.columns)}]>"
 
-    def resolve_on_failure(self, column: ColumnSchema) -> OnFailure:
+    def resolve_on_failure(self, name: str) -> OnFailure:
         """A column's own setting; else null in a clean profile where it may be null."""
+        column = self.columns[name]
         if column.on_failure is not None:
             return column.on_failure
         return "null" if self.profile == "clean" and column.nullable else "raise"
@@ -128,26 +129,26 @@ class SchemaModel(_Strict):
 class SchemaLoader:
     """Loads schemas with a model class of choice; errors of files and parsers come as they are."""
 
-    def __init__(self, model: type[SchemaModel] = SchemaModel):
-        self.model = model
+    def __init__(self, model_cls: type[SchemaModel] = SchemaModel):
+        self.model_cls = model_cls
 
-    def from_dict(self, data: Mapping[str, Any]) -> SchemaModel:
-        return self.model.from_dict(data)
+    def from_mapping(self, data: Mapping[str, Any]) -> SchemaModel:
+        return self.model_cls.from_dict(data)
 
     def from_python(self, data: SchemaModel | Mapping[str, Any]) -> SchemaModel:
-        return data if isinstance(data, self.model) else self.from_dict(data)
+        return data if isinstance(data, self.model_cls) else self.from_mapping(data)
 
-    def from_json(self, text: str) -> SchemaModel:
-        return self.from_dict(json.loads(text))
+    def from_json_str(self, text: str) -> SchemaModel:
+        return self.from_mapping(json.loads(text))
 
-    def from_yaml(self, text: str) -> SchemaModel:
-        return self.from_dict(_yaml().safe_load(text))
+    def from_yaml_str(self, text: str) -> SchemaModel:
+        return self.from_mapping(_yaml().safe_load(text))
 
     def from_json_file(self, path: str | Path) -> SchemaModel:
-        return self.from_json(Path(path).read_text(encoding="utf-8"))
+        return self.from_json_str(Path(path).read_text(encoding="utf-8"))
 
     def from_yaml_file(self, path: str | Path) -> SchemaModel:
-        return self.from_yaml(Path(path).read_text(encoding="utf-8"))
+        return self.from_yaml_str(Path(path).read_text(encoding="utf-8"))
 
 
 def _yaml():

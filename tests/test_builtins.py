@@ -9,7 +9,7 @@ from tableguard.functions import builtins as b
     [
         (b.strip, {}, [" \t a b\n ", None, ""], ["a b", None, ""]), (b.lower, {}, ["ÀB"], ["àb"]), (b.upper, {}, ["straße"], ["STRASSE"]), (b.replace_text, {"old": "a+", "new": "$1"}, ["caab aa", None, "x"], ["c$1b aa", None, "x"]),
         (b.non_null, {}, ["x", None], [True, False]), (b.positive, {}, [1, 0, None], [True, False, None]), (b.min_zero, {}, [0, -1], [True, False]), (b.between, {"min": 1, "max": 2}, [1, 2, 3], [True, True, False]),
-        (b.in_list, {"values": ["a"]}, ["a", "b", None], [True, False, None]), (b.matches, {"pattern": "b$"}, ["ab", "ba"], [True, False]), (b.email_format, {}, ["a@b.c", "a@b"], [True, False]), (b.min_length, {"length": 2}, ["éé", "é"], [True, False]),
+        (b.in_range, {"min_val": 1, "max_val": 2}, [0, 2], [False, True]), (b.in_list, {"values": ["a"]}, ["a", "b", None], [True, False, None]), (b.matches, {"pattern": "b$"}, ["ab", "ba"], [True, False]), (b.email_format, {}, ["a@b.c", "a@b"], [True, False]), (b.min_length, {"length": 2}, ["éé", "é"], [True, False]),
         (b.unique, {}, ["a", "a", "b", None], [False, False, True, True]), (b.to_int, {}, ["12", None], [12, None]), (b.to_float, {}, ["1e2", None], [100.0, None]),
     ],
 )

@@ -31,7 +31,7 @@ def test_all_loaders_agree(tmp_path):
         path.write_text(text)
         assert SchemaModel.from_file(path) == model
     loader = SchemaLoader()
-    assert loader.from_json(json.dumps(data)) == loader.from_yaml(YAML) == loader.from_dict(data) == loader.from_python(model) == SchemaModel.from_python(model) == SchemaModel.from_python(data) == model
+    assert loader.from_json_str(json.dumps(data)) == loader.from_yaml_str(YAML) == loader.from_mapping(data) == loader.from_python(model) == SchemaModel.from_python(model) == SchemaModel.from_python(data) == model
     assert loader.from_json_file(tmp_path / "s.json") == loader.from_yaml_file(tmp_path / "s.yaml") == model
 
 
@@ -69,7 +69,7 @@ def test_bad_files(tmp_path):
 )
 def test_resolve_on_failure(profile, nullable, own, result):
     c = ColumnSchema(dtype="Int64", nullable=nullable, on_failure=own)
-    assert SchemaModel(profile=profile, columns={"a": c}).resolve_on_failure(c) == result
+    assert SchemaModel(profile=profile, columns={"a": c}).resolve_on_failure("a") == result
 
 
 def test_yaml_null_inherits():
