@@ -9,23 +9,25 @@ nearest codeword stands out from the others, from 0 to 1, and a text whose best
 two codewords cost nearly the same is flagged ambiguous.
 
 Classifiers are fitted on the driver from a bounded sample: at most
-``PER_LANGUAGE`` whole texts of each language, those with the smallest hashes of
-their key, each reduced to ``DIM`` counts on the executors. Prediction reads
+``PER_LANGUAGE`` whole texts of each language, ``SAMPLE`` in all, those with the
+smallest hashes of their key, each reduced to ``DIM`` counts on the executors. Prediction reads
 every whole text, batch by batch, without a shuffle.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
 DIM = 4096
 PER_LANGUAGE = 600
+SAMPLE = 12_000
 EPOCHS = 60
 AMBIGUOUS = 0.05
 UNKNOWN = "und"
@@ -121,20 +123,17 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on rows with a text, a language and letters.
 
-    The rows are chosen by hash in two passes: hashes alone first, then the
-    texts below each language's bound. Ties in the hash are all taken; they are
-    equal keys.
+    The rows of a language are those with the smallest hashes of their key. A
+    count by language tells below which hash there will be a few more than are
+    wanted; just these are reduced to counts and sent, and the smallest are kept.
     """
     spread = F.xxhash64(F.lit("sample"), F.col(key))
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), spread.alias("h"))
-    ranked = rows.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h")))
-    bounds = {r.l: r.h for r in ranked.where(f"r <= {per_language}").groupBy("l").agg(F.max("h").alias("h")).collect()}
-    if not bounds:
-        return Model([], codewords(0), np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
-    languages = sorted(bounds)
-    spark = docs.sparkSession
-    limit = spark.createDataFrame(sorted(bounds.items()), "l string, bound long")
-    chosen = rows.join(F.broadcast(limit), "l").where("h <= bound").select("l", "t")
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), spread.alias("h"))
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    each = min(per_language, max(20, SAMPLE // max(1, len(counts))))
+    bounds = [(l, min(2**63 - 1, int(min(1.0, (1.25 * each + 50) / n) * 2**64) - 2**63)) for l, n in sorted(counts.items())]
+    limit = docs.sparkSession.createDataFrame(bounds, "l string, bound long")
+    chosen = rows.join(F.broadcast(limit), "l").where("h <= bound").select("l", "t", "h")
 
     def run(batches):
         import pyarrow as pa
@@ -144,9 +143,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 part = b.slice(at, 256)
                 x, n = features(part.column(1).to_pylist())
                 keep = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array([x[i].astype(np.float16).tobytes() for i in keep], pa.binary())], names=["l", "x"])
-
-    got = chosen.mapInArrow(run, "l string, x binary").collect()
+                some = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(some), part.column(2).take(some), pa.array([x[i].astype(np.float16).tobytes() for i in keep], pa.binary())], names=["l", "h", "x"])
+
+    got, taken = [], Counter()
+    for r in sorted(chosen.mapInArrow(run, "l string, h long, x binary").collect(), key=lambda r: (r.l, r.h, r.x)):
+        taken[r.l] += 1
+        if taken[r.l] <= each:
+            got.append(r)
     languages = sorted({r.l for r in got})
     if not languages:
         return Model([], codewords(0), np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
