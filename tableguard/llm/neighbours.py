@@ -28,7 +28,7 @@ from .common import materialize, table
 CURVES = 8
 COORDINATES = 12
 BITS = 5
-REACH = 0.08
+REACH = 0.1
 BLOCK = 2048
 K = 10
 
