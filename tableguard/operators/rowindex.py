@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+from contextlib import redirect_stdout
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +14,24 @@ from ..functions.builtins import ROW_INDEX
 _AT, _PART = "__tableguard_at__", "__tableguard_part__"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df if its rows stay in their partitions whenever it is computed, else persisted.
+
+    Files, local rows and row-wise steps over them stay; behind a shuffle,
+    adaptive execution may cut partitions another way for another job.
+    """
+    plan = io.StringIO()
+    with redirect_stdout(plan):
+        df.explain()
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if "Exchange" in plan.getvalue() else df
+
+
 def with_row_index(df: DataFrame) -> DataFrame:
     """df with ROW_INDEX: 0, 1, ... in the order of partitions and their rows.
 
     A first job counts rows by partition; offsets, one row for each partition,
     are broadcast, so no row is shuffled. Rows must come in the same partitions
-    each time df is computed, as they do from files; else persist it first.
+    each time df is computed; see ``settled``.
     """
     numbered = df.withColumn(_AT, F.monotonically_increasing_id())
     part = F.shiftright(_AT, 33)

@@ -24,7 +24,7 @@ from ..operators import errors
 from ..operators.checks import any_of, masks
 from ..operators.coerce import CoercionError, Strategy, coerced, mismatch, raised_by_cast
 from ..operators.resolve import case_sensitive, resolve_column_names
-from ..operators.rowindex import _quoted, with_row_index
+from ..operators.rowindex import _quoted, settled, with_row_index
 from ..report import ColumnValidationStats, ValidationReport
 from ..schema import SchemaModel
 
@@ -72,8 +72,8 @@ def validate(
     schema says so, nullability, report. Failing checks are reported; only nulls
     in columns that may not be null, failed strict coercions and frame functions
     raise. ``lazy`` overrides the schema's; an eager result's data are computed
-    and kept. ``rows`` and ``cells`` reports keep the numbered input, which must
-    come in the same order whenever it is read.
+    and kept. For ``rows`` and ``cells`` reports, rows are numbered in the order of
+    the input; an input that comes out of a shuffle is persisted for that.
     """
     if coerce_strategy not in ("strict", "null_on_failure"):
         raise ValueError(f"Unknown coerce strategy: {coerce_strategy!r}")
@@ -96,7 +96,7 @@ class _Run:
 
     def result(self, lazy: bool) -> ValidationResult:
         if self.config.mode != "summary":
-            self.frame = with_row_index(self.frame.persist(StorageLevel.MEMORY_AND_DISK))
+            self.frame = with_row_index(settled(self.frame))
         if self.schema.frame_parsers:
             self._count({f"original:{n}": F.col(_quoted(n)).isNull() for n in self.names})
             self._frame_functions(self.schema.frame_parsers, self.registry.frame_parsers, "parser")

@@ -198,6 +198,17 @@ def test_partitioning_does_not_matter(spark):
         assert cells.data.where("a IS NULL").count() == counts.report.columns["a"].nullified == sum(1 for r in got if r[0] == "a")
 
 
+def test_only_shuffled_input_is_kept(spark, tmp_path):
+    from tableguard.operators.rowindex import settled
+
+    spark.range(20).write.parquet(f"{tmp_path}/x")
+    assert not settled(spark.read.parquet(f"{tmp_path}/x").where("id > 2")).is_cached
+    mixed = spark.range(1000).repartition(6)
+    assert settled(mixed).is_cached
+    got = run(spark.range(1000).repartition(6).withColumn("a", F.col("id") % 5), {"a": POSITIVE}, "rows")
+    assert sorted(got.errors.first().row_indices) == got.errors.first().row_indices and got.errors.first()["count"] == 200
+
+
 def test_one_job_for_a_summary(spark, ages):
     """Counting is one aggregate, whatever the number of columns and checks."""
     tracker = spark.sparkContext.statusTracker()
