@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Literal
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
@@ -48,5 +48,3 @@ def raised_by_cast(e: PySparkException) -> CoercionError | None:
         return CoercionError(text.splitlines()[0])
     return None
 
-
-__all__ = ["AnalysisException", "CoercionError", "Strategy", "coerced", "mismatch", "raised_by_cast"]
