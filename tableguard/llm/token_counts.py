@@ -19,7 +19,6 @@ import base64
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import table
 
