@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+ROWS_A_FILE = 1_000_000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -38,9 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.get()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it back."""
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write a table to the shared folder and read it back.
+
+    With a bound on its rows, no more files are written than they fill: small
+    tables in many files cost more to open than to read.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

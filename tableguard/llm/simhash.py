@@ -32,34 +32,51 @@ from .common import materialize, table
 
 FAN = 8
 QUERIES = 2048
+#: Groups of up to so many fingerprints are one node and compared by offsets, many groups at once.
+TOGETHER = 32
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash over word shingles, each hashed by XXH64 with seed 42.
+def fingerprint_pair(text: str | None, words: int = 3, wide: bool = True) -> tuple[int, int]:
+    """Two independent 64-bit SimHashes over word shingles; the second is 0 unless wide.
 
-    A-Z are lower-cased; words are runs without ASCII white space. A text with
-    fewer words is one shingle; one without words has fingerprint zero. A bit
-    is 1 if it is set in over half the hashes.
+    A shingle is hashed by XXH64 with seed 42, and that hash is mixed once more
+    for the second. A-Z are lower-cased; words are runs without ASCII white
+    space. A text with fewer words is one shingle; one without words has
+    fingerprints zero. A bit is 1 if it is set in over half the hashes.
     """
     from xxhash import xxh64_intdigest
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return 0, 0
     n = max(1, len(w) - words + 1)
     whole = b" ".join(w)
     ends = np.cumsum([len(x) + 1 for x in w])
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends[min(words, len(w)) - 1 :] - 1).tolist()
-    counts = np.zeros(64, dtype=np.int64)
+    counts = np.zeros((2, 64), dtype=np.int64)
     for k in range(0, n, 65536):
-        h = np.array([xxh64_intdigest(whole[a:b], 42) for a, b in zip(starts[k : k + 65536], stops[k : k + 65536])], dtype=">u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+        h = np.array([xxh64_intdigest(whole[a:b], 42) for a, b in zip(starts[k : k + 65536], stops[k : k + 65536])], dtype=np.uint64)
+        for part, x in enumerate((h, _mixed(h)) if wide else (h,)):
+            counts[part] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    first, second = (int.from_bytes(np.packbits(c * 2 > n).tobytes(), "big") for c in counts)
+    return first, second
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A second hash out of a first one, by multiplications and shifts."""
+    x = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The first of fingerprint_pair."""
+    return fingerprint_pair(text, words, wide=False)[0]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = 3) -> DataFrame:
-    """The kept columns of every row, and fp, its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = 3, wide: bool = False) -> DataFrame:
+    """The kept columns of every row, and its fingerprints fp and fp2 as signed longs."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
@@ -67,10 +84,10 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                fp = np.array([fingerprint(x, words) for x in part.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(fp, pa.int64())], names=[*keep, "fp"])
+                both = np.array([fingerprint_pair(x, words, wide) for x in part.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(both[:, 0]), pa.array(both[:, 1])], names=[*keep, "fp", "fp2"])
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())])
     return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
 
 
@@ -139,65 +156,87 @@ def _roots(n: int, links) -> np.ndarray:
     return root
 
 
-def link(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints."""
-    fp = fp[np.argsort(gray_rank(fp), kind="stable")]
-    root = _roots(len(fp), near_pairs(fp, bits))
+def link(fp: np.ndarray, fp2: np.ndarray, bits: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among fingerprints, as pairs of places."""
+    order = np.argsort(gray_rank(fp), kind="stable")
+    first, second = fp[order], fp2[order]
+
+    def near():
+        for a, b in near_pairs(first, bits):
+            ok = np.bitwise_count(first[a] ^ first[b]) + np.bitwise_count(second[a] ^ second[b]) <= total
+            yield a[ok], b[ok]
+
+    root = _roots(len(fp), near())
     own = root != np.arange(len(fp))
-    return fp[own], fp[root[own]]
+    return order[own], order[root[own]]
 
 
-def links(prints: DataFrame, bits: int = 2, agree: int = 4) -> DataFrame:
-    """(a, b): links that join all fingerprints (column fp, distinct) within ``bits``."""
+def links(prints: DataFrame, bits: int = 2, agree: int = 4, total: int | None = None) -> DataFrame:
+    """(a, b): links that join all nodes (columns fp and fp2, distinct) whose
+    first fingerprints differ in at most ``bits`` places and both together in at
+    most ``total``. a and b are ``node_id`` of their fingerprints."""
     import pyarrow as pa
 
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in pieces(bits, agree)]
-    filed = prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("mask", "pattern"))
+    most = bits if total is None else total
+    masks = F.array(*(F.lit(m - (1 << 64) if m >= 1 << 63 else m) for m in pieces(bits, agree)))
+    pattern = F.col("fp").bitwiseAND(F.element_at(masks, F.col("mask") + 1))
+    filed = prints.select("fp", "fp2", F.explode(F.sequence(F.lit(0), F.size(masks) - 1)).alias("mask"))
 
-    def out(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64, copy=False).view(np.int64)) for x in (a, b)], names=["a", "b"])
+    def out(fp, fp2, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fp[a], fp2[a], fp[b], fp2[b])], names=["fa", "ga", "fb", "gb"])
 
-    def whole(fp, starts, sizes):
+    def whole(fp, fp2, starts, sizes):
         """Links of complete groups: small ones by offsets at once, others by the index."""
-        group = np.repeat(np.arange(len(starts)), sizes)
-        small = np.repeat(sizes, sizes) <= FAN
-        for k in range(1, min(FAN, int(sizes.max(initial=0)))):
+        group, small = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes) <= TOGETHER
+        for k in range(1, min(TOGETHER, int(sizes.max(initial=0)))):
             a = np.flatnonzero((group[k:] == group[:-k]) & small[k:])
-            near = a[np.bitwise_count(fp[a] ^ fp[a + k]) <= bits]
+            if not len(a):
+                break
+            d = np.bitwise_count(fp[a] ^ fp[a + k])
+            near = a[(d <= bits) & (d + np.bitwise_count(fp2[a] ^ fp2[a + k]) <= most)]
             if len(near):
-                yield out(fp[near], fp[near + k])
-        for g in np.flatnonzero(sizes > FAN):
-            yield out(*link(fp[starts[g] : starts[g] + sizes[g]], bits))
+                yield out(fp, fp2, near, near + k)
+        for g in np.flatnonzero(sizes > TOGETHER):
+            here = slice(starts[g], starts[g] + sizes[g])
+            a, b = link(fp[here], fp2[here], bits, most)
+            yield out(fp[here], fp2[here], a, b)
 
     def run(batches):
-        rest, last = [], None
+        held, last = [], None
         for batch in batches:
-            fp, mask, pattern = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            fp, fp2, mask, pattern = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             if not len(fp):
                 continue
-            fp = fp.view(np.uint64)
+            fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
             starts = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1]))))
             goes_on = last == (mask[0], pattern[0])
             last = mask[-1], pattern[-1]
             if goes_on and len(starts) == 1:
-                rest.append(fp)
+                held.append((fp, fp2))
                 continue
-            # All but the batch's last group are complete, and so is the one held, with what begins this batch.
+            # The group held is complete with what goes on in this batch; so are all others but the last.
             first = starts[1] if goes_on else 0
-            done = [*rest, fp[:first]]
-            size = sum(map(len, done))
-            if size > 1:
-                yield from whole(np.concatenate(done), np.array([0]), np.array([size]))
-            inner = starts[int(goes_on) : -1] if len(starts) > 1 else starts[:0]
+            yield from close([*held, (fp[:first], fp2[:first])])
+            inner = starts[int(goes_on) : -1]
             if len(inner):
-                body = fp[inner[0] : starts[-1]]
-                yield from whole(body, inner - inner[0], np.diff(np.append(inner, starts[-1])))
-            rest = [fp[starts[-1] :]]
-        if sum(map(len, rest)) > 1:
-            yield from whole(np.concatenate(rest), np.array([0]), np.array([sum(map(len, rest))]))
+                body = slice(inner[0], starts[-1])
+                yield from whole(fp[body], fp2[body], inner - inner[0], np.diff(np.append(inner, starts[-1])))
+            held = [(fp[starts[-1] :], fp2[starts[-1] :])]
+        yield from close(held)
+
+    def close(parts):
+        if sum(len(x) for x, _ in parts) > 1:
+            fp, fp2 = (np.concatenate(x) for x in zip(*parts))
+            yield from whole(fp, fp2, np.array([0]), np.array([len(fp)]))
 
-    dealt = filed.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = filed.repartition("mask", pattern).withColumn("pattern", pattern).sortWithinPartitions("mask", "pattern")
+    found = dealt.mapInArrow(run, "fa long, ga long, fb long, gb long")
+    return found.select(node_id(F.col("fa"), F.col("ga"), total).alias("a"), node_id(F.col("fb"), F.col("gb"), total).alias("b"))
+
+
+def node_id(fp: Column, fp2: Column, total: int | None) -> Column:
+    """A long for a node: the fingerprint itself, or a hash of both."""
+    return fp if total is None else F.xxhash64(fp, fp2)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,6 +248,7 @@ def components(edges: DataFrame) -> DataFrame:
     node with very many neighbours only makes a join that splits.
     """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    rows = now.count()
     while True:
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
@@ -216,7 +256,7 @@ def components(edges: DataFrame) -> DataFrame:
         first = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(first, "v")
         small = joined.select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
-        then = materialize(small.distinct())
+        then = materialize(small.distinct(), rows)
         # Stars are reached when no node is both above and below: each v has one u, and no u is a v.
         n, vs = then.agg(F.count("*"), F.count_distinct("v")).first()
         if n == vs and then.select("u").distinct().join(then.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
@@ -225,33 +265,42 @@ def components(edges: DataFrame) -> DataFrame:
         now = then
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, bits: int = 2, agree: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, bits: int = 2, agree: int = 4, total: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, fp, root, component_id) of every row.
 
+    Rows link if their fingerprints differ in at most ``bits`` places. With
+    ``total``, a second fingerprint is made, and both together may differ in at
+    most so many: over a very large corpus 64 bits alone would join strangers
+    by chance unless ``bits`` is 3 or less.
+
     ``component_id`` is the smallest key reachable over links, the row's own
-    included; ``root`` names the component, by a fingerprint. Null texts count
-    as empty ones. Rows with a null key take part, but their key is never a
-    component's id: it is null only if a component has no other key. Repeated
-    rows are returned as often as they come.
+    included; ``root`` names the component. Null texts count as empty ones.
+    Rows with a null key take part, but their key is never a component's id: it
+    is null only if a component has no other key. Repeated rows are returned as
+    often as they come.
     """
-    prints = materialize(fingerprints(docs, text, (key, *keep), words))
-    distinct = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    found = components(links(distinct.select("fp"), bits, agree))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = materialize(fingerprints(docs, text, (key, *keep), words, total is not None))
+    distinct = prints.groupBy("fp", "fp2").agg(F.min(key).alias("least")).withColumn("own", node_id(F.col("fp"), F.col("fp2"), total))
+    found = components(links(distinct.select("fp", "fp2"), bits, agree, total))
+    rooted = distinct.join(found, distinct["own"] == found["node"], "left").select("fp", "fp2", "least", F.coalesce("root", "own").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "root", "component_id")
-    return prints.join(by_print, "fp").select(key, *keep, "fp", "root", "component_id")
+    by_print = rooted.join(smallest, "root").select("fp", "fp2", "root", "component_id")
+    return prints.join(by_print, ["fp", "fp2"]).select(key, *keep, "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, bits: int = 6, agree: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, bits: int = 7, agree: int = 3, total: int = 16) -> DataFrame:
     """docs with one row of each near-duplicate component: the one with the
     smallest key, nulls last; rows equal in key and text are one."""
     marked = docs.withColumn("_h", F.xxhash64(text))
-    found = near_duplicates(marked, text, key, words, bits, agree, keep=("_h",))
+    found = near_duplicates(marked, text, key, words, bits, agree, total, keep=("_h",))
     first = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_h").alias("h"))
-    kept = found.groupBy("root").agg(F.min(first).alias("_f")).select(F.col("_f.k").alias("_k"), F.col("_f.h").alias("_kh")).distinct()
-    mine = marked.join(kept, marked[key].eqNullSafe(kept["_k"]) & (marked["_h"] == kept["_kh"]), "left_semi")
-    return mine.dropDuplicates([key, "_h"]).drop("_h")
+    kept = found.groupBy("root").agg(F.min(first).alias("_f"))
+    # Join and removal of repeated rows go by the same columns, so texts move once.
+    by = ["_none", "_key", "_h"]
+    parts = lambda k: {"_none": k.isNull(), "_key": F.coalesce(k.cast("string"), F.lit(""))}
+    rows = marked.withColumns(parts(F.col(key)))
+    wanted = kept.select(F.col("_f.h").alias("_h"), *(c.alias(n) for n, c in parts(F.col("_f.k")).items()))
+    return rows.join(wanted, by, "left_semi").dropDuplicates(by).drop(*by)
 
 
 def hex_digits(fp: Column) -> Column:

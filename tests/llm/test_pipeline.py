@@ -11,7 +11,7 @@ from tableguard.llm.common import materialize  # noqa: E402
 from .test_decontamination import brute as leaks  # noqa: E402
 from .test_mixing import fill  # noqa: E402
 from .test_secret_scan import base  # noqa: E402
-from .test_simhash import classes, plain  # noqa: E402
+from .test_simhash import classes, plain_pair  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -44,9 +44,9 @@ def test_language_keeps_all_with_letters(stages):
 
 def test_near_copies(stages):
     before, after, *_ = stages["near_copies"]
-    prints = [plain(r.text, 5) for r in before]
+    prints = [plain_pair(r.text, 5) for r in before]
     groups = defaultdict(set)
-    for i, root in classes(range(len(before)), prints, 6).items():
+    for i, root in classes(range(len(before)), prints, 7, 16).items():
         groups[root].add(repr((before[i].doc_id, before[i].text)))
     kept = ids(after)
     assert len(after) == len(groups) and all(len(g & kept.keys()) == 1 for g in groups.values())

@@ -15,15 +15,34 @@ def plain(text, words=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def classes(ids, prints, bits):
-    """Brute force: the smallest id reachable over links."""
+def plain_pair(text, words):
+    """Both fingerprints, the second over hashes mixed in plain integers."""
+    w = (text or "").encode().lower().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))] if w else []
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    return tuple(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in (hashes, [mix(h) for h in hashes]))
+
+
+def classes(ids, prints, bits, total=None):
+    """Brute force: the smallest id reachable over links; with total, prints are pairs."""
+    if total is not None:
+        wide, prints = prints, [a for a, _ in prints]
+        far = lambda x, y: bin(wide[x][0] ^ wide[y][0]).count("1") + bin(wide[x][1] ^ wide[y][1]).count("1") > total
+    else:
+        far = lambda x, y: False
     label = dict.fromkeys(range(len(ids)))
     for i in label:
         if label[i] is None:
             queue, found = [i], {i}
             while queue:
                 x = queue.pop()
-                near = {j for j in range(len(ids)) if j not in found and bin(prints[x] ^ prints[j]).count("1") <= bits}
+                near = {j for j in range(len(ids)) if j not in found and bin(prints[x] ^ prints[j]).count("1") <= bits and not far(x, j)}
                 found |= near
                 queue += near
             low = min((ids[j] for j in found if ids[j] is not None), default=None)
@@ -37,6 +56,7 @@ def classes(ids, prints, bits):
 def test_fingerprint(text, words):
     text = text.encode("utf-8", "ignore").decode()
     assert simhash.fingerprint(text, words) == plain(text, words)
+    assert simhash.fingerprint_pair(text, words) == plain_pair(text, words)
 
 
 def test_documents(spark):
@@ -65,7 +85,7 @@ def test_links_find_every_pair(spark, bits, agree):
     fp = rng.integers(0, 2**63, 60, dtype=np.uint64)
     for _ in range(4):
         fp = np.unique(np.concatenate([fp, fp[rng.integers(0, len(fp), 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))]))
-    prints = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    prints = spark.createDataFrame([(int(x), 0) for x in fp.view(np.int64)], "fp long, fp2 long")
     roots = {r.node: r.root for r in simhash.components(simhash.links(prints, bits, agree)).collect()}
     got = [roots.get(int(x), int(x)) for x in fp.view(np.int64)]
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= bits
