@@ -15,8 +15,9 @@
 Places are found in two levels, so that a source with a third of all rows
 never meets in one task: sums over hash buckets first (a row for each source
 and bucket), then running sums within a bucket. The driver holds one row per
-source and a quota per source and shard; both numbers are set by the caller's
-choice of sources and shards, not by the number of documents.
+source and a quota per source and shard. There are ``SHARDS`` shards, or as
+many more as keep one below ``SHARD_WORDS`` words. The table of sources is
+broadcast up to ``SMALL`` quotas, which are counted, else joined.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, materialize, table
 
 # Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -33,7 +34,9 @@ SHARE = 1.5
 LIMIT = 2
 BUCKETS = 1024
 SHARDS = 64
+SHARD_WORDS = 1 << 26
 BLOCK_WORDS = 4096
+SMALL = 5_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -80,9 +83,11 @@ def splitting_tree(quotas: dict[str, int], shards: int, seed: int) -> dict[str,
     return {s: [int(c[i]) for c in level] for i, s in enumerate(names)}
 
 
-def plan_mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc_id", shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
+def plan_mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc_id", shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
     """docs with source_size, target, taken and ``draws``.
 
+    Columns that docs have by these names are replaced.
+
     ``size`` names a long column with the size of each row. ``draws`` lists
     (copy, shard, words) of what the mix takes of the row: copies 0 and 1,
     fewer words than its size where the stream ends. Null sources are one
@@ -90,20 +95,23 @@ def plan_mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc
     in key and size may swap their draws. Rows without words draw nothing.
     """
     spark = docs.sparkSession
+    docs = docs.drop("source_size", "target", "taken", "draws")
     tag = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
     order = F.xxhash64(F.lit(seed), F.col(key), F.col(size))
     keyed = docs.withColumns({"_src": tag, "_order": order, "_bucket": F.pmod(F.xxhash64(F.lit(seed + 1), order), F.lit(BUCKETS)).cast("int")})
-    light = keyed.select("_src", F.col(source).alias("_name"), F.col(size).alias("size"), "_bucket")
-    per_source = targets(light)
-    taken = per_source.select("_src", F.rint("target").cast("long").alias("words")).collect()
-    while sum(r.words for r in taken) // block_words > 5 * 10**8:
+    sums = materialize(keyed.groupBy("_src", F.col(source).alias("_name"), "_bucket").agg(F.sum(size).alias("size")).coalesce(16))
+    per_source = targets(sums).collect()
+    while sum(r.target for r in per_source) // block_words > 5 * 10**8:
         block_words *= 2
-    quotas = {r._src: -(-r.words // block_words) for r in taken}
-    ends = [(s, np.cumsum(n).tolist()) for s, n in splitting_tree(quotas, shards, seed).items()] if quotas else []
-    sources = per_source.join(spark.createDataFrame(ends, "_src string, _ends array<long>"), "_src")
+    if shards is None:
+        shards = max(SHARDS, 1 << int(sum(r.target for r in per_source) // SHARD_WORDS).bit_length())
+    tree = splitting_tree({r._src: -(-round(r.target) // block_words) for r in per_source}, shards, seed)
+    rows = [(r._src, r.source_size, r.target, np.cumsum(tree[r._src]).tolist()) for r in per_source]
+    sources = spark.createDataFrame(rows, "_src string, source_size long, target double, _ends array<long>")
+    if len(rows) * shards <= SMALL:
+        sources = F.broadcast(sources)
     starts = (
-        light.groupBy("_src", "_bucket").agg(F.sum("size").alias("_sum"))
-        .withColumn("_start", F.sum("_sum").over(Window.partitionBy("_src").orderBy("_bucket")) - F.col("_sum"))
+        sums.withColumn("_start", F.sum("size").over(Window.partitionBy("_src").orderBy("_bucket")) - F.col("size"))
         .select("_src", "_bucket", "_start")
     )
     within = Window.partitionBy("_src", "_bucket").orderBy("_order", F.asc_nulls_last(key), size).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -51,7 +51,10 @@ def test_mix(spark):
     rows += [(5000, 1_000_000, "one-doc", 1), (6000, 0, "no words", 1), (6001, 0, "no words", 1), (None, 10, "b", 1), (None, 10, "b", 1), (7, 3, "b", 1), (7, 3, "b", 1)]
     first = mixing.plan_mix(frame(spark, rows), "size", shards=8, block_words=64).collect()
     check(rows, first)
-    again = mixing.plan_mix(frame(spark, rows).repartition(7), "size", shards=8, block_words=64).collect()
+    clash = frame(spark, rows).repartition(7).selectExpr("*", "1 AS target", "2 AS taken", "3 AS draws", "4 AS source_size", "5 AS copy", "6 AS words")
+    planned = mixing.plan_mix(clash, "size", shards=8, block_words=64)
+    again = planned.drop("copy", "words").collect()
+    assert mixing.draw_mix(planned).columns.count("words") == 1
     assert sorted(map(repr, first)) == sorted(map(repr, again))
 
 
@@ -92,3 +95,13 @@ def test_words(spark):
     texts = [None, "", " \t\x0b\x0c\r\n", "a b c", "x" * 10 + "\n" + "y"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     assert [r[0] for r in rows.select(mixing.n_words(rows.text)).collect()] == [0, 0, 0, 2, 2]
+
+
+def test_shards_follow_the_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARDS", 4)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    rows = [(i, 50, f"s{i % 4}", 0) for i in range(400)]
+    got = mixing.plan_mix(frame(spark, rows), "size", block_words=100).collect()
+    check(rows, got)
+    assert {d.shard for r in got for d in r.draws} == set(range(32))
