@@ -1,0 +1,28 @@
+from pyspark import cloudpickle
+
+from tableguard.llm import common, simhash
+
+
+def test_tables_go_to_the_named_folder(spark, monkeypatch):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert named in common.shared_dir(spark) == common.shared_dir(spark)
+    df = common.materialize(spark.range(10))
+    assert all(named in f for f in df.inputFiles()) and df.count() == 10
+    monkeypatch.setattr(common, "ROWS_A_FILE", 4)
+    assert len(common.materialize(spark.range(0, 12, 1, 12), 12).inputFiles()) == 4
+
+
+def test_words_and_lower(spark):
+    texts = [None, "", " \x0b\x0ca\tB\r\nÉ ", "x y z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [tuple(r) for r in df.select(common.words(df.t), common.ascii_lower(df.t)).collect()]
+    assert got == [(None, None), ([], ""), (["a", "B", "É"], " \x0b\x0ca\tb\r\nÉ "), (["x y z"], "x y z")]
+
+
+def test_functions_travel_by_value():
+    """Executors need no copy of the package: code goes with a function, not just its name."""
+    assert gray_code() in cloudpickle.dumps(simhash.gray_rank)
+
+
+def gray_code() -> bytes:
+    return simhash.gray_rank.__code__.co_code
