@@ -282,9 +282,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     prints = materialize(fingerprints(docs, text, (key, *keep), words, total is not None))
     distinct = prints.groupBy("fp", "fp2").agg(F.min(key).alias("least")).withColumn("own", node_id(F.col("fp"), F.col("fp2"), total))
     found = components(links(distinct.select("fp", "fp2"), bits, agree, total))
-    rooted = distinct.join(found, distinct["own"] == found["node"], "left").select("fp", "fp2", "least", F.coalesce("root", "own").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "fp2", "root", "component_id")
+    linked = found.join(distinct.select(F.col("own").alias("node"), "least"), "node")
+    # A table of its own: a component with very many members then makes a join that splits.
+    smallest = materialize(linked.groupBy("root").agg(F.min("least").alias("smallest")), found.count())
+    named = found.join(smallest, "root")
+    both = distinct.join(named, distinct["own"] == named["node"], "left")
+    # Members without any key have no smallest one; others have, if only their own.
+    by_print = both.select("fp", "fp2", F.coalesce("root", "own").alias("root"), F.coalesce("smallest", "least").alias("component_id"))
     return prints.join(by_print, ["fp", "fp2"]).select(key, *keep, "fp", "root", "component_id")
 
 
