@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 PROBE = "__tableguard_probe__"
+#: Types of expressions found pure, by expression and source column.
+_PURE: dict[tuple[str, str], T.DataType] = {}
 
 
 class RegistryError(ValueError):
@@ -91,7 +93,6 @@ class ColumnFunctionWrapper:
     def __init__(self, func: Callable[..., Column], name: str):
         SignatureValidator(Column).validate(func)
         self.func, self.name, self.__doc__ = func, name, func.__doc__
-        self._known: dict[tuple[str, str], T.DataType] = {}
 
     def __call__(self, column: Column, **args: Any) -> Column:
         if not isinstance(column, Column):
@@ -112,8 +113,8 @@ class ColumnFunctionWrapper:
 
         out = self(column, **args)
         key = str(out), source.json()
-        if key in self._known:
-            return out, self._known[key]
+        if key in _PURE:
+            return out, _PURE[key]
         probe = F.col(f"`{source.name.replace('`', '``')}`")
         try:
             with _quiet():
@@ -129,7 +130,10 @@ class ColumnFunctionWrapper:
             with _quiet():
                 spark.createDataFrame([], T.StructType([T.StructField(PROBE, T.StringType())])).select(out.alias("x"))
         except AnalysisException:
-            self._known[key] = kind
+            if len(_PURE) >= 4096:
+                _PURE.clear()
+            if "..." not in key[0]:  # a shortened text may hide a difference
+                _PURE[key] = kind
             return out, kind
         raise ColumnPurityError(f"{self.name}: does not use its column {source.name!r}")
 
