@@ -1,94 +1,106 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: a token's context is the class of the token before it (one of
-``CLASSES`` hash classes, one of them the start of a text). The context
-restaurants share one parent, the restaurant of tokens without context, whose
-own base gives each known token the same weight and a share to all unknown
-ones together. A customer opens a table or joins one by the Chinese-restaurant
-rule, each table of a context restaurant is a customer of the parent, and the
-seating is sampled by Gibbs: customers leave, drawn at random, and sit down
-again. Predictive probabilities are averaged over the sampled seatings.
+Restaurants: a token's context is the token before it (the end of a text is
+also the start of the next). Each context has a restaurant of its own; they
+share one parent, the restaurant of tokens without context, above which is a
+root whose base gives each known token the same weight. A customer opens a
+table or joins one by the Chinese-restaurant rule, and each table is a customer
+of the restaurant above. Unknown tokens get about the mass of tokens seen once,
+in equal shares for an estimated number of unseen tokens.
+
+Seating: a sweep draws the number of tables of every cell anew, for all of its
+customers at once, from its exact distribution given the customers, the mass
+that speaks for a new table and the discount (``draw_tables``). Bigram cells
+begin with one table each and are redrawn in ``ROUNDS`` rounds; the upper
+restaurants are redrawn ``SWEEPS`` times after each round, and predictive
+probabilities are averaged over these.
 
 Data flow: texts are read once, in blocks of about ``BLOCK_TOKENS`` tokens. A
-block keeps its token numbers packed, and shows others only its distinct
-tokens, with their counts by context class. Counts are summed by token over
-all blocks; all cells of a token, and its parent's, lie in one partition, so
-Gibbs sweeps need no exchange but the numbers of tables, which a partition
-estimates from its own random share of tokens and which are then summed
-exactly. Probabilities go back to the blocks by token, and each block scores
-its texts. A common token has one row for each block, not for each occurrence.
+block keeps its token numbers packed, and shows others only its distinct tokens
+and pairs of tokens (by 64-bit hashes), with their counts. Counts are summed by
+pair; sums by context and by token are partial aggregates and reach the pairs
+by joins, which split where a context or a token is very common. Probabilities
+go back to the blocks by token and by pair, and each block scores its texts.
 Nothing but sums goes to the driver.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-CLASSES = 16
+#: Restaurants between the contexts and the root: the one of tokens without context.
+CLASSES = 1
 BLOCK_TOKENS = 5_000_000
 SWEEPS = 3
-STEPS = 8
+ROUNDS = 2
+#: Cells of up to so many customers are drawn from one table of Stirling numbers.
+SMALL = 1024
 STRENGTH = 5.0
 END = b""
 
 
-def _classes(words: list[bytes]) -> np.ndarray:
-    """Class of each token as a context; the end has that of a start."""
-    from zlib import crc32
+def _packed(length, held, token) -> bytes:
+    """A block's texts: lengths, flags, tokens in order."""
+    return b"".join(x.tobytes() for x in (np.array([len(length)], dtype=np.int32), length.astype(np.int32), held.astype(np.uint8), token.astype(np.int32)))
 
-    return np.array([1 + crc32(w) % (CLASSES - 1) if w else 0 for w in words], dtype=np.int64)
 
+def _unpacked(raw: bytes):
+    rows = int(np.frombuffer(raw, np.int32, 1)[0])
+    length, held = np.frombuffer(raw, np.int32, rows, 4), np.frombuffer(raw, np.uint8, rows, 4 + 4 * rows).astype(bool)
+    return length, held, np.frombuffer(raw[4 + 5 * rows :], np.int32)
 
-def _packed(length, held, cls, token) -> bytes:
-    """A block's texts: lengths, flags, class of each token, tokens in order."""
-    sizes = np.array([len(length), len(cls)], dtype=np.int32)
-    return b"".join(x.tobytes() for x in (sizes, length.astype(np.int32), held.astype(np.uint8), cls.astype(np.uint8), token.astype(np.int32)))
 
-
-def _unpacked(raw: bytes):
-    rows, words = np.frombuffer(raw, np.int32, 2)
-    length, held = np.frombuffer(raw, np.int32, rows, 8), np.frombuffer(raw, np.uint8, rows, 8 + 4 * rows).astype(bool)
-    at = 8 + 5 * rows
-    return length, held, np.frombuffer(raw, np.uint8, words, at), np.frombuffer(raw[at + words :], np.int32)
+def _pairs(token: np.ndarray, end: int) -> np.ndarray:
+    """Each token with the one before it, as one number; a block begins after an end."""
+    before = np.concatenate(([end], token[:-1])).astype(np.int64)
+    return before << 32 | token
 
 
 def _blocks(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame:
     """Rows of blocks: one with the packed texts (at = -1), then one for each
-    distinct token with the contexts it is seen in and its training counts."""
+    distinct token (word) and one for each distinct pair (hashes u, w), with
+    their training counts."""
     kind = docs.schema[key].dataType.simpleString()
-    counts = ", ".join(f"n{c} int" for c in range(CLASSES))
-    schema = f"block long, at int, word binary, seen int, keys array<{kind}>, texts binary, {counts}"
+    schema = f"block long, at int, word binary, u long, w long, n int, keys array<{kind}>, texts binary"
 
     def pack(number, keys, held, ids, lengths, words):
         import pyarrow as pa
         import zstandard as z
+        from xxhash import xxh64_intdigest
 
         names, token, length = list(words), np.concatenate(ids), np.array(lengths, dtype=np.int32)
-        cls = _classes(names).astype(np.int32)
-        cell = token * np.int32(CLASSES)
-        cell[1:] += cls[token[:-1]]
-        out = np.zeros(len(names) * CLASSES, dtype=bool)
-        out[cell] = True
-        seen = (out.reshape(-1, CLASSES) << np.arange(CLASSES, dtype=np.int32)).sum(axis=1)
-        n = np.bincount(cell[np.repeat(~np.array(held, dtype=bool), length)], minlength=len(out)).reshape(-1, CLASSES)
-        del cell, out
-        blob = z.ZstdCompressor(level=1).compress(_packed(length, np.array(held, dtype=bool), cls, token))
-        none = pa.array([None], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), none, pa.array([0], pa.int32()), pa.array([keys], keys_type), pa.array([blob], pa.binary()), *(pa.array([0], pa.int32()) for _ in range(CLASSES))], names=fields)
-        for a in range(0, len(names), 65536):
-            part = slice(a, a + 65536)
-            size = len(names[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, number)), pa.array(np.arange(a, a + size, dtype=np.int32)), pa.array(names[part], pa.binary()), pa.array(seen[part].astype(np.int32)), pa.nulls(size, keys_type), pa.nulls(size, pa.binary()), *(pa.array(n[part, c].astype(np.int32)) for c in range(CLASSES))], names=fields)
+        trains = np.repeat(~np.array(held, dtype=bool), length)
+        blob = z.ZstdCompressor(level=1).compress(_packed(length, np.array(held, dtype=bool), token))
+
+        def rows(size, **columns):
+            kinds = {"block": pa.int64(), "at": pa.int32(), "word": pa.binary(), "u": pa.int64(), "w": pa.int64(), "n": pa.int32(), "keys": keys_type, "texts": pa.binary()}
+            columns["block"] = np.full(size, number)
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], names=list(kinds))
+
+        yield rows(1, at=[-1], keys=[keys], texts=[blob])
+        n = np.bincount(token[trains], minlength=len(names))
+        step = 65536
+        for a in range(0, len(names), step):
+            part = names[a : a + step]
+            yield rows(len(part), at=np.arange(a, a + len(part)), word=part, n=n[a : a + step])
+        hashes = np.array([xxh64_intdigest(w, 42) for w in names], dtype=np.uint64).view(np.int64)
+        pair, at = np.unique(_pairs(token, names.index(END)), return_inverse=True)
+        n = np.bincount(at[trains], minlength=len(pair))
+        del at
+        for a in range(0, len(pair), step):
+            part = pair[a : a + step]
+            yield rows(len(part), at=np.arange(a, a + len(part)), u=hashes[part >> 32], w=hashes[part & 0xFFFFFFFF], n=n[a : a + step])
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import ArrayType
 
     keys_type = to_arrow_type(ArrayType(docs.schema[key].dataType))
-    fields = ["block", "at", "word", "seen", "keys", "texts", *(f"n{c}" for c in range(CLASSES))]
 
     def run(batches):
         from collections import defaultdict
@@ -178,6 +190,94 @@ def gibbs(customers: np.ndarray, mass: np.ndarray, discount: float, steps: int,
     return tables, (n, sizes)
 
 
+@lru_cache(maxsize=16)
+def _stirling(most: int, discount: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: [c, t - 1] weighs t tables of c customers."""
+    out = np.full((most + 1, most), -np.inf)
+    out[1, 0] = 0
+    t = np.arange(1, most + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(1, most):
+            out[c + 1, : c + 1] = out[c, : c + 1] + np.log(np.maximum(c - discount * t[: c + 1], 0))
+            out[c + 1, 1 : c + 1] = np.logaddexp(out[c + 1, 1 : c + 1], out[c, :c])
+    return out
+
+
+def _tables_of_large(c: int, mass: float, discount: float) -> tuple[int, np.ndarray]:
+    """Distribution of the number of tables of a cell of very many customers: its first place, and weights.
+
+    Weights are coefficients of z ** c in (mass * (1 - (1 - z) ** d) / d) ** t / t!,
+    taken as a contour integral through the saddle point of the likeliest t: on
+    a parabola around the cut of w = 1 - z, or on a circle around z = 0 where
+    that is nearer, the trapezoid rule is exact up to rounding.
+    """
+    d = discount
+    x = np.log((c + 1) / mass)
+    low, high = -700.0, -1e-12
+    for _ in range(80):  # the saddle point, by its logarithm
+        mid = (low + high) / 2
+        low, high = (mid, high) if (d - 1) * mid + np.log1p(-np.exp(mid)) > x else (low, mid)
+    w = float(np.exp(high))
+    likely = mass * (1 - w**d) / d
+    if w > 0.05:
+        phi = np.linspace(0, np.pi, 16 * int(np.sqrt(c)) + 64)
+        path = 1 - (1 - w) * np.exp(1j * phi)
+        rest, ends = -1j * c * phi, (0, np.pi)
+    else:
+        w = max(w, 3 / c)
+        bend = (c + 1) / (1 - w) ** 2 + likely * (d * (1 - d) * w ** (d - 2) / (1 - w**d) - d * d * w ** (2 * d - 2) / (1 - w**d) ** 2)
+        far = 1 / np.sqrt(2 * c * w)
+        h = min(far / 4, 1 / 6, 1 / np.sqrt(bend) / (8 * w) if bend > 0 else 1)
+        phi = h * np.arange(int(9 * far / h) + 2)
+        path = w * (1 + 1j * phi) ** 2
+        rest, ends = np.log(1 + 1j * phi) - (c + 1) * np.log(1 - path), (0,)
+    log_g = np.log((1 - path**d) / d)
+    near = int(np.clip(round(likely), 1, c))
+    top = near * log_g + rest
+    use = top.real > top.real.max() - 45
+    g, start = np.exp(log_g[use]) * mass, np.exp(top[use] - top.real.max()) * np.where(np.isin(phi[use], ends), 1.0, 2.0)
+    # From the likeliest t both ways, until weights are lost in rounding.
+    up, down = [start.real.sum()], []
+    v, t = start, near
+    while t < c and up[-1] > 1e-15 * up[0]:
+        t += 1
+        v = v * (g / t)
+        up.append(v.real.sum())
+    v, t, over = start, near, 1 / g
+    while t > 1 and (not down or down[-1] > 1e-15 * up[0]):
+        v = v * (over * t)
+        t -= 1
+        down.append(v.real.sum())
+    return t, np.maximum(down[::-1] + up, 0)
+
+
+def draw_tables(customers: np.ndarray, mass: np.ndarray, discount: float, rng) -> np.ndarray:
+    """Tables of each cell, drawn given that all its customers sit down anew.
+
+    The chance of t tables of c customers is in proportion to mass ** t times a
+    generalised Stirling number. ``mass`` is as in ``gibbs``, and fixed.
+    """
+    tables = np.ones(len(customers), dtype=np.int64)
+    m = np.maximum(mass, 1e-300)
+    order = np.argsort(customers, kind="stable")
+    order = order[np.searchsorted(customers[order], 2) :]
+    values, starts = np.unique(customers[order], return_index=True)
+    small = values[values <= SMALL]
+    # Few sizes, so that a worker makes each table once.
+    log_s = _stirling(1 << (int(small[-1]) - 1).bit_length(), discount) if len(small) else None
+    for c, cells in zip(values.tolist(), np.split(order, starts[1:]) if len(order) else ()):
+        for at in range(0, len(cells), max(1, 2**20 // c)) if c <= SMALL else ():
+            some = cells[at : at + max(1, 2**20 // c)]
+            x = log_s[c, :c] + np.log(m[some])[:, None] * np.arange(1, c + 1)
+            sums = np.exp(x - x.max(axis=1, keepdims=True)).cumsum(axis=1)
+            tables[some] = 1 + (sums < (rng.random(len(some)) * sums[:, -1])[:, None]).sum(axis=1)
+        for cell in cells if c > SMALL else ():
+            low, p = _tables_of_large(c, float(m[cell]), discount)
+            sums = p.cumsum()
+            tables[cell] = low + np.searchsorted(sums, rng.random() * sums[-1], side="right")
+    return tables
+
+
 def _seat(words: DataFrame, totals: dict) -> DataFrame:
     """words with the sampled tables: t (sweeps x classes) and t0 (sweeps), packed."""
     import pyarrow as pa
@@ -194,13 +294,13 @@ def _seat(words: DataFrame, totals: dict) -> DataFrame:
             word, cls = np.nonzero(n)
             c, p0 = n[word, cls], np.maximum(n.sum(axis=1), 1) / max(1, contexts.sum())
             own = np.maximum(np.bincount(cls, minlength=CLASSES), 1)
-            t_all, state, kept, kept0 = distinct.copy(), None, [], []
+            t_all, kept, kept0 = distinct.copy(), [], []
             for _ in range(SWEEPS):
-                t, state = gibbs(c, (STRENGTH + d * t_all[cls]) * p0[word], d, STEPS, rng, state)
+                t = draw_tables(c, (STRENGTH + d * t_all[cls]) * p0[word], d, rng)
                 t_all = np.bincount(cls, weights=t, minlength=CLASSES) * distinct / own
                 c0 = np.bincount(word, weights=t, minlength=len(n)).astype(np.int64)
                 total0 = max(1.0, t_all.sum())
-                t0, _ = gibbs(c0, np.full(len(n), (STRENGTH + d0 * known) / known), d0, STEPS, rng)
+                t0 = draw_tables(c0, np.full(len(n), (STRENGTH + d0 * known) / known), d0, rng)
                 t0 = np.where(c0 > 0, t0, 0)
                 p0 = np.maximum((c0 - d0 * t0 + (STRENGTH + d0 * known) / known) / (STRENGTH + total0), 1e-300)
                 grid = np.zeros_like(n, dtype=np.int32)
@@ -210,8 +310,9 @@ def _seat(words: DataFrame, totals: dict) -> DataFrame:
             t, t0 = np.stack(kept, axis=1), np.stack(kept0, axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in t0], pa.binary())], names=[*b.schema.names, "t", "t0"])
 
-    counts = ", ".join(f"n{c} long" for c in range(CLASSES))
-    return words.mapInArrow(run, f"word binary, {counts}, t binary, t0 binary")
+    from pyspark.sql import types as T
+
+    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("t", T.BinaryType()), T.StructField("t0", T.BinaryType())]))
 
 
 def _tables(seated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -233,18 +334,13 @@ def _tables(seated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _escapes(totals: dict, tables, tables0):
-    """For each sweep: what each context, and the parent, leave to their base."""
+    """For each sweep: what the parent, and the root, leave to their base."""
     contexts = np.array(totals["contexts"], dtype=np.float64)
     up = (STRENGTH + totals["d"] * tables) / (STRENGTH + contexts)
     up0 = (STRENGTH + totals["d0"] * tables0) / (STRENGTH + tables.sum(axis=1))
     return up, up0
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    """Which contexts are in a set, for each row."""
-    return (x[:, None] >> np.arange(CLASSES)) & 1 == 1
-
-
 def _parts(n: np.ndarray, t: np.ndarray, t0: np.ndarray, totals: dict, tables, tables0) -> tuple[np.ndarray, np.ndarray]:
     """For each token (row): what each context knows of it itself, averaged over
     sweeps, and the parent's predictive probability in each sweep."""
@@ -263,6 +359,24 @@ def _probabilities(n: np.ndarray, t: np.ndarray, t0: np.ndarray, totals: dict, t
     return own + p0 @ up / SWEEPS
 
 
+def _draw_cells(cells: DataFrame, discount: float) -> DataFrame:
+    """(u, w, c, t) of bigram cells (u, w, c, mass), drawn anew."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                c, mass = b.column(2).to_numpy(), b.column(3).to_numpy()
+                t = draw_tables(c, mass, discount, np.random.default_rng([int(c.sum()), len(c)]))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(t)], names=["u", "w", "c", "t"])
+
+    return cells.mapInArrow(run, "u long, w long, c long, t long")
+
+
+def _discount(once: int, twice: int) -> float:
+    return float(np.clip(once / max(1, once + 2 * twice), 0.1, 0.95))
+
+
 def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity).
 
@@ -274,95 +388,112 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
 
     kind = docs.schema[key].dataType.simpleString()
     blocks = materialize(_blocks(docs, key, text, training))
-    tokens = blocks.where("at >= 0")
-    names = [f"n{c}" for c in range(CLASSES)]
-    words = materialize(tokens.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)))
-    every = sum((F.col(n) for n in names), F.lit(0))
-    tally = lambda v: sum((F.sum((F.col(n) == v).cast("long")) for n in names), F.lit(0))
-    sums = words.agg(
-        *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names), *(F.count_if(F.col(n) > 0).alias(f"d{c}") for c, n in enumerate(names)),
-        F.count_if(every > 0).alias("V"), F.count_if(every == 1).alias("once"), F.count_if(every == 2).alias("twice"), F.coalesce(tally(1), F.lit(0)).alias("once_in"), F.coalesce(tally(2), F.lit(0)).alias("twice_in"),
-    ).first().asDict()
-    share = lambda a, b: float(np.clip(sums[a] / max(1, sums[a] + 2 * sums[b]), 0.1, 0.95))
-    totals = {"V": sums["V"], "contexts": [sums[n] for n in names], "distinct": [sums[f"d{c}"] for c in range(CLASSES)], "d": share("once_in", "twice_in"), "d0": share("once", "twice")}
-    train_tokens = sum(totals["contexts"])
-    seated = materialize(_seat(words, totals))
-    tables, tables0 = _tables(seated)
-    up, up0 = _escapes(totals, tables, tables0)
-    often = np.array(totals["contexts"]) / max(1, train_tokens)
-    # Unknown tokens together get about the share of tokens seen once.
-    totals["unknown"] = float(np.clip(sums["once"] / max(1, train_tokens) / max(1e-9, float((up.mean(axis=0) * often).sum() * up0.mean())), 0.01, 0.99))
-
-    def rate(batches):
-        """Probabilities in two parts: by the parent in each sweep, and a context's own where it knows the token."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = np.stack([b.column(1 + c).to_numpy() for c in range(CLASSES)], axis=1)
-            t = np.frombuffer(b"".join(b.column(1 + CLASSES).to_pylist()), dtype=np.int32).reshape(-1, SWEEPS, CLASSES)
-            t0 = np.frombuffer(b"".join(b.column(2 + CLASSES).to_pylist()), dtype=np.int32).reshape(-1, SWEEPS)
-            own, p0 = _parts(n, t, t0, totals, tables, tables0)
-            known = n > 0
-            ends = np.concatenate(([0], np.cumsum(known.sum(axis=1)))).astype(np.int32)
-            arrays = [b.column(0), pa.array(n.sum(axis=1)), pa.array((known << np.arange(CLASSES)).sum(axis=1).astype(np.int32)), pa.array([x.tobytes() for x in p0.astype(np.float32)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(own[known].astype(np.float32)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["word", "c", "known", "p0", "own"])
-
-    rated = seated.mapInArrow(rate, "word binary, c long, known int, p0 binary, own array<float>")
-
-    def answer(batches):
-        """For each block one row with its share of this partition's tokens, packed."""
-        import zstandard as z
-
-        held = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            block, at, seen, c, known = (b.column(k).to_numpy() for k in range(5))
-            p0 = np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.float32).reshape(-1, SWEEPS)
-            p = p0 @ (up / SWEEPS).astype(np.float32)
-            p[_bits(known)] += b.column(6).flatten().to_numpy(zero_copy_only=False)
-            held.append((block, at, seen, c, p.astype(np.float32)[_bits(seen)]))
-        if not held:
-            return
-        block, at, seen, c, p = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((at, block))
-        each = _bits(seen).sum(axis=1)
-        first = np.cumsum(each) - each
-        moved = np.repeat(first[order] - (np.cumsum(each[order]) - each[order]), each[order]) + np.arange(len(p))
-        block, at, seen, c, p, each = block[order], at[order], seen[order], c[order], p[moved], each[order]
-        cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        values = np.concatenate(([0], np.cumsum(each)))
-        pack = z.ZstdCompressor(level=1).compress
-        for a, e in zip(cuts, np.append(cuts[1:], len(block))):
-            size = np.array([e - a], dtype=np.int32)
-            parts = (size, np.diff(at[a:e], prepend=0).astype(np.int32), seen[a:e].astype(np.int32), c[a:e].astype(np.int64), p[values[a] : values[e]])
-            yield pa.RecordBatch.from_arrays([pa.array(block[a : a + 1]), pa.array([0], pa.int32()), pa.array([pack(b"".join(x.tobytes() for x in parts))], pa.binary())], names=["block", "at", "texts"])
-
-    asked = tokens.select("block", "at", "seen", "word").join(rated, "word").select("block", "at", "seen", "c", "known", "p0", "own")
-    answers = asked.mapInArrow(answer, "block long, at int, texts binary")
+    tokens, pairs = blocks.where("word IS NOT NULL"), blocks.where("u IS NOT NULL")
+    # Hashes are those of the blocks.
+    words = materialize(tokens.groupBy("word").agg(F.sum("n").alias("c")).withColumn("w", F.xxhash64("word")))
+    seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("V"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"), F.count_if(F.col("c") == 0).alias("new")).first()
+    train_tokens = seen.n
+    # Unseen tokens: a lower bound from those seen once and twice, and those that are met here.
+    unseen = max(1, seen.new, seen.once * (seen.once - 1) // (2 * (seen.twice + 1)))
+    cells = materialize(pairs.where("n > 0").groupBy("u", "w").agg(F.sum("n").alias("c")))
+    few = cells.agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    d2 = _discount(few.once, few.twice)
+    now = cells.withColumn("t", F.lit(1).cast("long"))
+
+    def upper():
+        """Contexts; tokens with their probabilities by the parent; totals of the parent."""
+        contexts = materialize(now.groupBy("u").agg(F.sum("c").alias("cu"), F.sum("t").alias("tu")))
+        guests = now.groupBy("w").agg(F.sum("t").alias("n0"))
+        rows = materialize(words.join(guests, "w", "left").select("word", F.coalesce("n0", F.lit(0)).alias("n0"), "c", "w"))
+        n = F.col("n0")
+        sums = rows.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.count_if(n > 0).alias("V"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice")).first()
+        # The root's customers are tables of the parent, about one for each of its tokens.
+        totals = {"V": sums.V, "contexts": [sums.n], "distinct": [sums.V], "d": _discount(sums.once, sums.twice), "d0": _discount(seen.once, seen.twice)}
+        seated = materialize(_seat(rows, totals))
+        tables, tables0 = _tables(seated)
+        up, up0 = _escapes(totals, tables, tables0)
+        left = contexts.agg(F.sum(STRENGTH + d2 * F.col("tu")) if train_tokens else F.lit(1.0)).first()[0]
+        leave = min(1.0, (left or 1.0) / max(1, train_tokens))
+        # Unknown tokens together get about the share of tokens seen once.
+        totals["unknown"] = float(np.clip(seen.once / max(1, train_tokens) / max(1e-9, leave * float((up.mean(axis=0) * up0.mean()).sum())), 0.01, 0.99))
+
+        def rate(batches):
+            for b in batches:
+                if b.num_rows:
+                    n = b.column(1).to_numpy()[:, None]
+                    t = np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.int32).reshape(-1, SWEEPS, CLASSES)
+                    t0 = np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.int32).reshape(-1, SWEEPS)
+                    p = _probabilities(n, t, t0, totals, tables, tables0)[:, 0]
+                    p = np.where(n[:, 0] > 0, p, p / unseen)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(p)], names=["word", "c", "w", "p"])
+
+        return contexts, materialize(seated.mapInArrow(rate, "word binary, c long, w long, p double"))
+
+    for _ in range(ROUNDS):
+        contexts, rated = upper()
+        mass = (STRENGTH + d2 * F.col("tu")) * F.col("p")
+        now = materialize(_draw_cells(cells.join(contexts, "u").join(rated.select("w", "p"), "w").select("u", "w", "c", mass.alias("mass")), d2))
+    contexts, rated = upper()
+    leaves = (STRENGTH + d2 * F.col("tu")) / (STRENGTH + F.col("cu"))
+    known = rated.join(contexts.select(F.col("u").alias("w"), leaves.alias("leave")), "w", "left").select("word", "c", "p", F.coalesce("leave", F.lit(1.0)).alias("leave"))
+    own = now.join(contexts.select("u", "cu"), "u").select("u", "w", ((F.col("c") - d2 * F.col("t")) / (STRENGTH + F.col("cu"))).cast("float").alias("own"))
+
+    def packed_rows(kinds):
+        """For each block one row with its share of this partition, packed by columns."""
+
+        def run(batches):
+            import zstandard as z
+
+            held = [[b.column(k).to_numpy() for k in range(len(kinds) + 1)] for b in batches if b.num_rows]
+            if not held:
+                return
+            block, at, *rest = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((at, block))
+            block, columns = block[order], [x[order] for x in (at, *rest)]
+            cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            pack = z.ZstdCompressor(level=1).compress
+            for a, e in zip(cuts, np.append(cuts[1:], len(block))):
+                parts = [np.array([e - a], dtype=np.int32), *(x[a:e].astype(k) for x, k in zip(columns, kinds))]
+                yield pa.RecordBatch.from_arrays([pa.array(block[a : a + 1]), pa.array([len(kinds)], pa.int32()), pa.array([pack(b"".join(x.tobytes() for x in parts))], pa.binary())], names=["block", "at", "texts"])
+
+        return run
+
+    of_tokens, of_pairs = (np.int32, np.int64, np.float64, np.float64), (np.int32, np.float32)
+    asked = tokens.select("block", "at", "word").join(known, "word").select("block", "at", "c", "p", "leave")
+    answers = asked.mapInArrow(packed_rows(of_tokens), "block long, at int, texts binary")
+    asked = pairs.select("block", "at", "u", "w").join(own, ["u", "w"]).select("block", "at", "own")
+    more = asked.mapInArrow(packed_rows(of_pairs), "block long, at int, texts binary")
     packed = blocks.where("at < 0").select("block", "at", "texts", "keys")
-    dealt = packed.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "at")
-    denominator = train_tokens + totals["V"] + 1
+    dealt = packed.unionByName(answers, allowMissingColumns=True).unionByName(more, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "at")
+    denominator = train_tokens + seen.V + 1
 
     def finish(held_block):
         import zstandard as z
 
         (keys, texts), rows = held_block
         unpack = z.ZstdDecompressor().decompress
-        length, held, cls, token = _unpacked(unpack(texts))
-        c, grid = np.zeros(len(cls), dtype=np.int64), np.zeros((len(cls), CLASSES), dtype=np.float32)
-        for raw in map(unpack, rows):
-            n = int(np.frombuffer(raw, np.int32, 1)[0])
-            at, seen = np.cumsum(np.frombuffer(raw, np.int32, n, 4)), np.frombuffer(raw, np.int32, n, 4 + 4 * n)
-            c[at] = np.frombuffer(raw, np.int64, n, 4 + 8 * n)
-            row, context = np.nonzero(_bits(seen))
-            grid[at[row], context] = np.frombuffer(raw, np.float32, len(row), 4 + 16 * n)
-        before = np.concatenate(([0], cls[token[:-1]]))
+        length, held, token = _unpacked(unpack(texts))
+        size = int(token.max()) + 1
+        # Each text ends with the end token, so the block's last is one.
+        pair, inverse = np.unique(_pairs(token, int(token[-1])), return_inverse=True)
+        c, p, leave, own = np.zeros(size, dtype=np.int64), np.zeros(size), np.ones(size), np.zeros(len(pair))
+        for which, raw in rows:
+            raw = unpack(raw)
+            n, place, got = int(np.frombuffer(raw, np.int32, 1)[0]), 4, []
+            for k in of_tokens if which == len(of_tokens) else of_pairs:
+                got.append(np.frombuffer(raw, k, n, place))
+                place += n * np.dtype(k).itemsize
+            if which == len(of_tokens):
+                c[got[0]], p[got[0]], leave[got[0]] = got[1:]
+            else:
+                own[got[0]] = got[1]
+        before, last = pair >> 32, pair & 0xFFFFFFFF
+        log_p = np.log10(np.maximum(own + leave[before] * p[last], 1e-300))
         starts = np.cumsum(length, dtype=np.int64) - length
         sums = lambda x: np.add.reduceat(x, starts)
         columns = [
             pa.array(keys, keys_type), pa.array(held), pa.array(length.astype(np.int64)), pa.array(sums((c > 0).astype(np.int64)[token])), pa.array(np.full(len(length), train_tokens, dtype=np.int64)),
-            pa.array(sums(np.log10((c + 1) / denominator)[token])), pa.array(sums(np.log10(np.maximum(grid[token, before].astype(np.float64), 1e-300)))),
+            pa.array(sums(np.log10((c + 1) / denominator)[token])), pa.array(sums(log_p[inverse])),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -371,7 +502,7 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
     keys_type = to_arrow_type(docs.schema[key].dataType)
 
     def gather(batches):
-        """Blocks come one after another, each with its texts first and then its tokens."""
+        """Blocks come one after another, each with its texts first and then its tokens and pairs."""
         now = None
         for b in batches:
             for at, texts, keys in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
@@ -380,7 +511,7 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
                         yield finish(now)
                     now = (keys.as_py(), texts.as_py()), []
                 else:
-                    now[1].append(texts.as_py())
+                    now[1].append((at, texts.as_py()))
         if now:
             yield finish(now)
 

@@ -76,3 +76,36 @@ def test_very_long_text_and_many_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(k, f"w{k % 7} common words w{k}") for k in range(300)] + [(999, "long " * 300_000)], "doc_id long, text string").repartition(3)
     got = lm.score_texts(rows, ~lm.held_out(rows["doc_id"])).collect()
     assert len(got) == 301 and max(r.n_tokens for r in got) == 300_001
+
+
+def test_context_is_the_word_before(spark):
+    """A word always followed by one other is told from a frequent word without that habit."""
+    lines = [f"{a}{k} {b}{k}" for k in range(60) for a, b in (("left", "right"),)] * 20
+    docs = spark.createDataFrame([(k, x, True) for k, x in enumerate(lines)] + [(-1, "left7 right7", False), (-2, "left7 right8", False)], "doc_id long, text string, trains boolean").repartition(3)
+    got = {r.doc_id: r.score for r in lm.score_texts(docs, docs["trains"]).where("doc_id < 0").collect()}
+    assert got[-1] - got[-2] > 2
+
+
+def test_unknown_words_share_their_mass(spark):
+    """All unknown words of a corpus, and the known ones, have at most one between them."""
+    seen = [f"known{k % 40} once{k}" for k in range(300)]
+    docs = spark.createDataFrame([(k, x, True) for k, x in enumerate(seen)] + [(-1 - k, f"new{k}", False) for k in range(500)], "doc_id long, text string, trains boolean")
+    got = [r for r in lm.score_texts(docs, docs["trains"]).collect() if not r.held_out]
+    new = lm.score_texts(docs, docs["trains"]).where("held_out").collect()
+    assert got and sum(10 ** r.score for r in new) < 1
+
+
+def test_all_customers_are_drawn():
+    """Tables of a cell of any size follow the exact distribution; so do long Gibbs runs."""
+    rng, d = np.random.default_rng(3), 0.6
+    for c, m in ((2, 0.6), (7, 3.0), (20, 9.0)):
+        t = lm.draw_tables(np.full(4000, c), np.full(4000, m), d, rng)
+        by_steps, _ = lm.gibbs(np.full(4000, c), np.full(4000, m), d, 20 * c, rng)
+        assert abs(t.mean() - by_steps.mean()) < 0.15 * max(1, by_steps.std())
+    for c, m in ((300, 0.01), (1500, 40.0), (2000, 900.0), (2000, 9000.0)):
+        s = lm._stirling(c, d)[c, :c] + np.log(m) * np.arange(1, c + 1)
+        want = np.exp(s - s.max())
+        low, p = lm._tables_of_large(c, m, d)
+        got = np.zeros(c)
+        got[low - 1 : low - 1 + len(p)] = p[: c - low + 1]
+        assert np.abs(got / got.sum() - want / want.sum()).max() < 1e-9
