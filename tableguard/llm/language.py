@@ -92,10 +92,22 @@ class Model:
     bias: np.ndarray
     trust: np.ndarray
 
+    def costs(self, x: np.ndarray) -> np.ndarray:
+        """Cost of each codeword (column) for each row."""
+        margin = x @ self.weights + self.bias
+        return np.stack([(np.logaddexp(0, -margin * code) * self.trust).sum(axis=1) for code in self.codes], axis=1)
+
+    def unsure(self, x: np.ndarray) -> np.ndarray:
+        """Whether the best two codewords of each row cost nearly the same: the
+        best one's share of the two probabilities is below a half and AMBIGUOUS."""
+        if len(self.codes) < 2:
+            return np.zeros(len(x), dtype=bool)
+        two = np.partition(self.costs(x), 1, axis=1)
+        return 1 / (1 + np.exp(two[:, 0] - two[:, 1])) < 0.5 + AMBIGUOUS
+
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest codeword for each row, and the score."""
-        margin = x @ self.weights + self.bias
-        cost = np.stack([(np.logaddexp(0, -margin * code) * self.trust).sum(axis=1) for code in self.codes], axis=1)
+        cost = self.costs(x)
         p = np.exp(cost.min(axis=1, keepdims=True) - cost)
         return cost.argmin(axis=1), p.max(axis=1) / p.sum(axis=1)
 
@@ -180,8 +192,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 x, n = features(part.column(at).to_pylist())
                 best, score = m.decode(x) if m.languages else (np.zeros(len(x), int), np.zeros(len(x)))
                 known = (n > 0) & bool(m.languages)
-                ranked = 1 / len(m.languages) if m.languages else 0
-                unsure = known & (score < min(1.0, ranked + AMBIGUOUS)) & (len(m.languages) > 1)
+                unsure = known & (m.unsure(x) if m.languages else False)
                 names = [m.languages[i] if k else UNKNOWN for i, k in zip(best, known)]
                 new = [pa.array(names, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0), pa.float64()), pa.array(unsure | ~known, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)

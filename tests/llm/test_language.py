@@ -69,3 +69,11 @@ def test_ambiguous_text():
     model = lang.fit(x, np.array([0, 1] * 20), ["a", "b"])
     best, score = model.decode(np.stack([x[0], x[1], (x[0] + x[1]) / 2]))
     assert list(best[:2]) == [0, 1] and score[2] < 0.5 + lang.AMBIGUOUS < score[0]
+
+
+def test_ambiguous_text_among_four_languages():
+    """A text between two of four languages is ambiguous, one of a single language is not."""
+    x = np.eye(lang.DIM, dtype=np.float32)[[0, 1, 2, 3] * 20]
+    model = lang.fit(x, np.array([0, 1, 2, 3] * 20), list("abcd"))
+    tried = np.stack([x[0], x[3], (x[0] + x[1]) / 2, (x[1] + x[3]) / np.sqrt(2)])
+    assert model.unsure(tried).tolist() == [False, False, True, True]
