@@ -5,13 +5,13 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from tableguard.llm import decontamination, language, queries, secret_scan, simhash  # noqa: E402
+from tableguard.llm import decontamination, language, near_copies, queries, secret_scan, simhash  # noqa: E402
 from tableguard.llm.common import materialize  # noqa: E402
 
 from .test_decontamination import brute as leaks  # noqa: E402
 from .test_mixing import fill  # noqa: E402
 from .test_secret_scan import base  # noqa: E402
-from .test_simhash import classes, plain_pair  # noqa: E402
+from .test_near_copies import groups  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -43,13 +43,14 @@ def test_language_keeps_all_with_letters(stages):
 
 
 def test_near_copies(stages):
+    """One document of each group of texts with a five-word shingle similarity of 0.8 or more."""
     before, after, *_ = stages["near_copies"]
-    prints = [plain_pair(r.text, 5) for r in before]
-    groups = defaultdict(set)
-    for i, root in classes(range(len(before)), prints, 7, 16).items():
-        groups[root].add(repr((before[i].doc_id, before[i].text)))
+    label = groups([r.text for r in before])
+    members = defaultdict(set)
+    for r, root in zip(before, label):
+        members[root].add(repr((r.doc_id, r.text)))
     kept = ids(after)
-    assert len(after) == len(groups) and all(len(g & kept.keys()) == 1 for g in groups.values())
+    assert all(len(g & kept.keys()) == 1 for g in members.values()) and len(after) == len(members)
 
 
 def test_benchmark(spark, data, stages):
@@ -98,4 +99,4 @@ def test_registered():
     names = queries.queries()
     assert [next(n for n in names if n.startswith(f"op{k}_")) for k in range(1, 11)]
     assert queries.oracle_sql().keys() <= names.keys()
-    assert all(m.__doc__ for m in (decontamination, language, secret_scan, simhash))
+    assert all(m.__doc__ for m in (decontamination, language, near_copies, secret_scan, simhash))

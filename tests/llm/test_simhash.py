@@ -15,34 +15,15 @@ def plain(text, words=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_pair(text, words):
-    """Both fingerprints, the second over hashes mixed in plain integers."""
-    w = (text or "").encode().lower().split()
-    hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))] if w else []
-    full = (1 << 64) - 1
-
-    def mix(x):
-        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
-        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
-        return x ^ x >> 31
-
-    return tuple(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in (hashes, [mix(h) for h in hashes]))
-
-
-def classes(ids, prints, bits, total=None):
-    """Brute force: the smallest id reachable over links; with total, prints are pairs."""
-    if total is not None:
-        wide, prints = prints, [a for a, _ in prints]
-        far = lambda x, y: bin(wide[x][0] ^ wide[y][0]).count("1") + bin(wide[x][1] ^ wide[y][1]).count("1") > total
-    else:
-        far = lambda x, y: False
+def classes(ids, prints, bits):
+    """Brute force: the smallest id reachable over links."""
     label = dict.fromkeys(range(len(ids)))
     for i in label:
         if label[i] is None:
             queue, found = [i], {i}
             while queue:
                 x = queue.pop()
-                near = {j for j in range(len(ids)) if j not in found and bin(prints[x] ^ prints[j]).count("1") <= bits and not far(x, j)}
+                near = {j for j in range(len(ids)) if j not in found and bin(prints[x] ^ prints[j]).count("1") <= bits}
                 found |= near
                 queue += near
             low = min((ids[j] for j in found if ids[j] is not None), default=None)
@@ -56,7 +37,6 @@ def classes(ids, prints, bits, total=None):
 def test_fingerprint(text, words):
     text = text.encode("utf-8", "ignore").decode()
     assert simhash.fingerprint(text, words) == plain(text, words)
-    assert simhash.fingerprint_pair(text, words) == plain_pair(text, words)
 
 
 def test_documents(spark):
@@ -79,25 +59,54 @@ def test_documents(spark):
     assert len(set(label.values())) < len(rows) - 30
 
 
-@pytest.mark.parametrize(("bits", "agree"), [(2, 4), (6, 3), (1, 2)])
-def test_links_find_every_pair(spark, bits, agree):
-    rng = np.random.default_rng(bits)
-    fp = rng.integers(0, 2**63, 60, dtype=np.uint64)
-    for _ in range(4):
-        fp = np.unique(np.concatenate([fp, fp[rng.integers(0, len(fp), 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))]))
-    prints = spark.createDataFrame([(int(x), 0) for x in fp.view(np.int64)], "fp long, fp2 long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(prints, bits, agree)).collect()}
-    got = [roots.get(int(x), int(x)) for x in fp.view(np.int64)]
+def test_bit_counts():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 16, 17, 33, 1000):
+        h = rng.integers(0, 2**64, (n, 2), dtype=np.uint64)
+        want = [sum(int(x) >> 63 - b & 1 for x in h[:, k]) for k in range(2) for b in range(64)]
+        assert simhash.bit_counts(h).tolist() == want
+
+
+def labels_of(fp, bits):
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= bits
     label = np.arange(len(fp))
     while True:
         new = np.array([label[row].min() for row in near])
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+@pytest.mark.parametrize(("bits", "share", "hot"), [(2, 16384, 1 << 18), (2, 100, 1 << 18), (3, 200, 50), (1, 64, 10)])
+def test_links_find_every_pair(spark, bits, share, hot):
+    """However points are dealt, also where many agree on a piece and are dealt again."""
+    rng = np.random.default_rng(bits)
+    fp = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    for _ in range(4):
+        fp = np.unique(np.concatenate([fp, fp[rng.integers(0, len(fp), 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))]))
+    prints = spark.createDataFrame([(0, int(x), 0, int(x)) for x in fp.view(np.int64)], "series int, value long, check long, id long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(prints, bits, share=share, hot=hot)).collect()}
+    got = [roots.get(int(x), int(x)) for x in fp.view(np.int64)]
+    label = labels_of(fp, bits)
     assert len(set(zip(got, label))) == len(set(got)) == len(set(label))
 
 
+def test_links_come_out_of_the_index(spark, data):
+    """Shares are large, and the pairs that the Gray-order search yields make every link of the documents."""
+    prints = np.unique([simhash.fingerprint(r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]).astype(np.uint64)
+    points = spark.createDataFrame([(0, int(x), 0, int(x)) for x in prints.view(np.int64)], "series int, value long, check long, id long")
+    sizes = [r["count"] for r in simhash.filed(points, 2, 64).groupBy("group").count().collect()]
+    assert sizes == [len(prints)] * 3
+    n = range(len(prints))
+    for bits in (2, 8):
+        pairs = set()
+        for piece in range(bits + 1):
+            order, turned, shared = simhash.in_gray_order(prints, bits, piece, 64)
+            pairs |= {tuple(sorted((int(order[a]), int(order[b])))) for x, y in simhash.near_pairs(turned, bits, shared) for a, b in zip(x, y)}
+        assert pairs == {(i, j) for i in n for j in n if i < j and bin(int(prints[i]) ^ int(prints[j])).count("1") <= bits}
+    assert pairs
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=80, unique=True), st.integers(0, 6))
 @settings(max_examples=60, deadline=None)
 def test_index_pairs(values, bits):
@@ -121,13 +130,6 @@ def test_components_of_a_path_and_a_star(spark):
     assert {got[k] for k in range(301)} == {0} and {got[k] for k in range(1000, 1400)} == {1000} and len(got) == 701
 
 
-def test_keep_one(spark):
-    words = " ".join(f"w{k}" for k in range(200))
-    rows = [(4, words), (2, words), (2, words), (9, words.replace("w50 ", "w51 ")), (None, words), (7, "something quite different from the rest of it"), (None, None), (None, None)]
-    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(2, words), (7, rows[5][1]), (None, None)]))
-
-
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0
+    assert simhash.near_duplicates(docs).count() == 0
