@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def _open(path: str, mode: str):
 
 def _record(page, url, payload: bytes, digest: str, first, size: int) -> bytes:
     """One WARC record; first: the page it revisits, or None."""
-    name = lambda p: f"<urn:page:{p}>" if p is not None else f"<urn:uuid:{uuid.uuid4()}>"
+    name = lambda p: f"<urn:page:{quote(str(p), safe='')}>" if p is not None else f"<urn:uuid:{uuid.uuid4()}>"
     target = "".join(c if " " < c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if first is not None else http + payload
@@ -170,28 +171,33 @@ def records(path: str):
 
 
 def parse(record: bytes) -> tuple:
-    """(page, url, payload or None, size, digest, type, page it revisits)."""
+    """(page, url, payload or None, size, digest, type, page it revisits); pages as text."""
     head, _, rest = record.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
-    page = lambda x: int(x[10:-1]) if x and x.startswith("<urn:page:") else None
+    page = lambda x: unquote(x[10:-1]) if x and x.startswith("<urn:page:") else None
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
     return page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), payload if kind == "response" else None, size, digest, kind, page(fields.get("WARC-Refers-To"))
 
 
-READ_SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+READ_SCHEMA = "page_id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
-def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the archives in a manifest; payloads are verified."""
+def read(manifest: DataFrame, payloads: bool = True, kind: str = "long") -> DataFrame:
+    """The records of the archives in a manifest; payloads are verified.
+
+    Each archive is a task's work: there are as many partitions as archives,
+    which ``ARCHIVE_BYTES`` bounds. ``kind`` is the type of the pages' keys. No
+    archives, no records; a record without a page has a null key.
+    """
     import pyarrow as pa
 
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
-    schema = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()))))
+    schema = pa.schema(list(zip(names, (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()))))
 
     def run(batches):
         for b in batches:
@@ -207,7 +213,10 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, READ_SCHEMA)
+    # A number of partitions that adaptive execution leaves alone: paths are tiny, archives are not.
+    dealt = manifest.select("path").coalesce(1).repartition(max(1, manifest.count()))
+    found = dealt.mapInArrow(run, READ_SCHEMA)
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:

@@ -73,6 +73,24 @@ def test_many_archives(spark, tmp_path, monkeypatch):
     assert manifest.count() > 5 and warc.read(manifest).count() == 100
 
 
+def test_each_archive_is_read_by_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k, "u", f"page {k} " * 40) for k in range(100)], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    manifest = warc.write(df, folder(tmp_path))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    read = warc.read(manifest).select(F.spark_partition_id().alias("p")).collect()
+    assert len(read) == 100 and len({r.p for r in read}) == manifest.count() >= 8
+
+
+def test_text_keys(spark, tmp_path):
+    keys = ["b", "a>\r\nx: y", "é %41", "a", None, ""]
+    df = spark.createDataFrame([(k, "u", "same" if k in ("a", "b") else f"of {k}") for k in keys], "page_id string, url string, html string")
+    got = {r.page_id: r.refers_to for r in warc.read(warc.write(df, folder(tmp_path)), kind="string").collect()}
+    assert got == dict.fromkeys(keys) | {"b": "a"}
+
+
 def test_empty_table(spark, tmp_path):
     assert warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string"), folder(tmp_path))).count() == 0
 
