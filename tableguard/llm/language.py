@@ -9,18 +9,19 @@ nearest codeword stands out from the others, from 0 to 1, and a text whose best
 two codewords cost nearly the same is flagged ambiguous.
 
 Classifiers are fitted on the driver from a bounded sample: at most
-``PER_LANGUAGE`` whole texts of each language, ``SAMPLE`` in all, those with the
-smallest hashes of their key, each reduced to ``DIM`` counts on the executors. Prediction reads
-every whole text, batch by batch, without a shuffle.
+``PER_LANGUAGE`` different texts of each of the ``LANGUAGES`` commonest languages,
+``SAMPLE`` in all, those with the smallest hashes of key and text, each reduced
+to ``DIM`` counts on the executors. Prediction reads every whole text, batch by
+batch, without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -28,23 +29,32 @@ from .common import table
 DIM = 4096
 PER_LANGUAGE = 600
 SAMPLE = 12_000
+LANGUAGES = 600
 EPOCHS = 60
 AMBIGUOUS = 0.05
 UNKNOWN = "und"
 _STEP = 1 << 20
 
 
+@lru_cache(maxsize=1)
+def _not_letters():
+    """Matches runs of characters that are no letters: numbers that are no digits count as word characters too."""
+    import re
+    import sys
+
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[\W\d_{numbers}]+")
+
+
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Square-rooted, length-normalised n-gram counts of texts, and their letters.
 
     Runs of other characters than letters count as one space. Long texts are
     read in pieces that overlap by two characters, so memory stays bounded.
     """
-    import re
-
     out = np.zeros((len(texts), DIM), dtype=np.float32)
     letters = np.zeros(len(texts), dtype=np.int64)
-    other = re.compile(r"[\W\d_]+")
+    other = _not_letters()
     for row, text in enumerate(texts):
         plain = other.sub(" ", f" {(text or '').lower()} ")
         letters[row] = len(plain) - plain.count(" ")
@@ -135,34 +145,41 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on rows with a text, a language and letters.
 
-    The rows of a language are those with the smallest hashes of their key. A
-    count by language tells below which hash there will be a few more than are
-    wanted; just these are reduced to counts and sent, and the smallest are kept.
+    The rows of a language are the different ones with the smallest hashes of
+    key and text; rows repeated with both are one, null keys are keys like
+    others. The number of different rows, estimated for all of a language, tells
+    below which hash there will be a few more than are wanted; just these are
+    reduced to counts, and those sent are cut on the executors to at most
+    ``per_language`` of a language and ``SAMPLE`` in all. Of more than
+    ``LANGUAGES`` languages the commonest are learned. Without any row to learn
+    from the model knows no language.
     """
-    spread = F.xxhash64(F.lit("sample"), F.col(key))
+    spread = F.xxhash64(F.lit("sample"), F.col(key), F.col(text))
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), spread.alias("h"))
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    each = min(per_language, max(20, SAMPLE // max(1, len(counts))))
-    bounds = [(l, min(2**63 - 1, int(min(1.0, (1.25 * each + 50) / n) * 2**64) - 2**63)) for l, n in sorted(counts.items())]
+    counts = rows.groupBy("l").agg(F.approx_count_distinct("h", 0.03).alias("n"), F.count("*").alias("all")).orderBy(F.desc("all"), "l").limit(LANGUAGES).collect()
+    each = min(per_language, SAMPLE // max(1, len(counts)))
+    bounds = [(r.l, min(2**63 - 1, int(min(1.0, (1.4 * each + 50) / max(1, r.n)) * 2**64) - 2**63)) for r in counts]
     limit = docs.sparkSession.createDataFrame(bounds, "l string, bound long")
     chosen = rows.join(F.broadcast(limit), "l").where("h <= bound").select("l", "t", "h")
 
     def run(batches):
         import pyarrow as pa
 
+        seen = set()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
+                new = [k for k, x in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())) if not (x in seen or seen.add(x))]
+                part = part.take(pa.array(new, pa.int64()))
                 x, n = features(part.column(1).to_pylist())
                 keep = np.flatnonzero(n)
                 some = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(some), part.column(2).take(some), pa.array([x[i].astype(np.float16).tobytes() for i in keep], pa.binary())], names=["l", "h", "x"])
 
-    got, taken = [], Counter()
-    for r in sorted(chosen.mapInArrow(run, "l string, h long, x binary").collect(), key=lambda r: (r.l, r.h, r.x)):
-        taken[r.l] += 1
-        if taken[r.l] <= each:
-            got.append(r)
+    # A few more than are wanted: a language, and a row that comes often, are small here.
+    sample = chosen.mapInArrow(run, "l string, h long, x binary").groupBy("l", "h").agg(F.min("x").alias("x"))
+    first = Window.partitionBy("l").orderBy("h")
+    got = sorted(sample.withColumn("r", F.row_number().over(first)).where(F.col("r") <= each).collect(), key=lambda r: (r.l, r.h))
     languages = sorted({r.l for r in got})
     if not languages:
         return Model([], codewords(0), np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
@@ -173,8 +190,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and ambiguous.
 
-    A null text, or one without letters, is ``und`` with score 0. Other columns
-    pass through; those three names are replaced.
+    A null text, or one without letters, is ``und`` with score 0, and ambiguous;
+    so is every text if the model knows no language. Texts of any length are
+    read whole. Rows are handled one by one, so ties and repeated rows are rows
+    like others. Other columns pass through; those three names are replaced.
     """
     from pyspark.sql import types as T
 

@@ -55,6 +55,37 @@ def test_sample_is_bounded(spark):
     assert seen == [[20, 20]]
 
 
+def sampled(monkeypatch, docs, **more):
+    """How many rows of each language a fit sees."""
+    seen = []
+    monkeypatch.setattr(lang, "fit", lambda x, y, names: seen.append(dict(zip(names, np.bincount(y).tolist()))) or names)
+    lang.train(docs, **more)
+    return seen[0]
+
+
+def test_sample_of_null_and_equal_keys(spark, monkeypatch):
+    """Rows count by key and text: neither missing nor equal keys take a language away or send all."""
+    texts = spark.range(3000).selectExpr("'text of ' || translate(id, '0123456789', 'abcdefghij') AS text", "if(id % 3 = 0, 'x', 'y') AS lang")
+    for key in ("cast(null AS long)", "7L", "if(lang = 'x', null, 1L)"):
+        assert sampled(monkeypatch, texts.selectExpr("*", f"{key} AS doc_id"), per_language=50) == {"x": 50, "y": 50}
+    same = spark.range(5000).selectExpr("1L AS doc_id", "'one text' AS text", "'x' AS lang").union(spark.createDataFrame([(2, "another", "x")], "doc_id long, text string, lang string"))
+    assert sampled(monkeypatch, same) == {"x": 2}
+
+
+def test_sample_of_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(lang, "SAMPLE", 100)
+    monkeypatch.setattr(lang, "LANGUAGES", 20)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'some text' AS text", "'l' || (id % 500) AS lang").union(spark.range(50).selectExpr("-id", "'more text'", "'common'"))
+    got = sampled(monkeypatch, docs)
+    assert len(got) == 20 and "common" in got and set(got.values()) == {5}
+
+
+def test_letters():
+    """Numbers that are no decimal digits are no letters; letters of any script are."""
+    _, n = lang.features(["½ ² ① Ⅷ", "٣ 12_3", "é", "漢字 かな", "a²b", "x" * 3])
+    assert n.tolist() == [0, 0, 1, 4, 2, 3]
+
+
 def test_codewords_differ():
     for n in (2, 3, 5, 6, 7, 30):
         c = lang.codewords(n)
