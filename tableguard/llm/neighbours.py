@@ -7,11 +7,13 @@ partitions give every vector a rank. A query's candidates are the vectors
 within ``reach`` ranks before and after it on each curve; their exact distances
 are computed, and the best of all curves are merged and ranked again.
 
-``reach`` is a share of the number of distinct vectors, so recall does not
-fall as the input grows. Vectors without low-dimensional structure, as in the
-tests, need the default; data with structure reach the same recall with less.
+``reach`` and the number of curves are measured: ``PROBES`` queries are compared
+with all vectors, and the cheapest choice is taken whose windows hold ``RECALL``
+of their true neighbours. Vectors with structure need few ranks. For vectors
+without any, windows of several curves would be dearer than one window over a
+whole curve; that one is then taken, whose answer is exact.
 
-Work is dealt in blocks of ranks: a block holds at most ``BLOCK`` vectors, of
+Work is dealt in blocks of ranks: a block holds at most ``MOST`` vectors, of
 whatever key, and meets only the queries whose window touches it. Equal
 vectors are one point with its smallest ids, as many as a result can hold, so
 that a group of copies of any size neither fills a window nor hides a tie.
@@ -28,8 +30,12 @@ from .common import materialize, table
 CURVES = 8
 COORDINATES = 12
 BITS = 5
-REACH = 0.1
+PROBES = 128
+RECALL = 0.95
 BLOCK = 2048
+#: Less than a block saves nothing.
+LEAST_REACH = BLOCK
+MOST = 65_536
 K = 10
 
 
@@ -70,19 +76,21 @@ def _valid(v: Column) -> Column:
     return v.isNotNull() & fine & F.exists(v, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K, curves: int = CURVES, reach: float = REACH, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K, curves: int = CURVES, reach: int | None = None, recall: float = RECALL, seed: int = 11) -> DataFrame:
     """(query_id, rank, <key>, score): the k nearest found of each query row.
 
     Nearness is Euclidean distance in double precision; ties go to smaller
     keys. A row is never its own neighbour. Rows with a null key or with a
     vector that is null, zero or holds null or non-finite components take no
     part, nor do vectors of another length than the most common one. A row
-    repeated with key and vector counts once. No query, no rows.
+    repeated with key and vector counts once, and rows of one key are no
+    neighbours of each other. Other columns take no part. No query, no rows.
     """
     spark = vectors.sparkSession
-    v = F.col(vector).cast("array<double>")
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    v = F.col(vector) if kind == "float" else F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).alias("id"), v.alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & _valid(F.col("v")))
-    out = f"query_id {vectors.schema[key].dataType.simpleString()}, rank int, {key} {vectors.schema[key].dataType.simpleString()}, score double"
+    out = f"query_id {vectors.schema[key].dataType.simpleString()}, rank int, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
     lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     if lengths is None:
         return spark.createDataFrame([], out)
@@ -93,10 +101,11 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     members = materialize(few.groupBy("v").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids")))
     asked = materialize(rows.where("q").join(members.select("v", "rep"), "v").select("id", "rep").distinct())
     total, mean, spread = _spread(members, dim)
-    keys = _keys(members, dim, mean, spread, curves, seed)
-    reach_ranks = max(512, int(np.ceil(total * reach)))
-    ranked = _ranks(keys)
-    found = _windows(ranked, members.select("rep", "v"), asked.select("rep").distinct(), dim, reach_ranks, k)
+    ranked = materialize(_ranks(_keys(members, dim, mean, spread, curves, seed)))
+    queries = asked.select("rep").distinct()
+    if reach is None:
+        curves, reach = measure(ranked, members.select("rep", "v"), queries, dim, curves, k, recall, total)
+    found = _windows(ranked.where(F.col("curve") < curves), members.select("rep", "v"), queries, dim, mean, reach, k)
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("dist", "rep"))).where(f"r <= {k}")
     near = best.select("q", "rep", "dist").union(asked.select(F.col("rep").alias("q"), "rep", F.lit(0.0)).distinct())
     named = near.join(members.select("rep", "ids"), "rep").join(asked.select(F.col("rep").alias("q"), F.col("id").alias("query_id")), "q")
@@ -105,6 +114,44 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     return each.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", key, F.col("dist").alias("score"))
 
 
+def measure(ranked: DataFrame, points: DataFrame, queries: DataFrame, dim: int, curves: int, k: int, recall: float, total: int) -> tuple[int, int]:
+    """The number of curves and the reach whose windows hold the recall asked for
+    of the probes' true neighbours, at the fewest comparisons for each query."""
+    import pyarrow as pa
+
+    kind = points.schema["rep"].dataType.simpleString()
+    rows = points.join(queries.orderBy(F.xxhash64("rep"), "rep").limit(PROBES), "rep").collect()
+    if not rows or total <= k + 1:
+        return 1, total
+    probes, ids = np.array([r.v for r in rows], dtype=np.float64), [r.rep for r in rows]
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, rep = _matrix(b.column(1), dim), b.column(0)
+                for own, p in zip(ids, probes):
+                    d = ((x - p) ** 2).sum(axis=1)
+                    near = np.argsort(d, kind="stable")[: k + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(near), rep.type), rep.take(pa.array(near)), pa.array(d[near])], names=["q", "rep", "dist"])
+
+    found = points.select("rep", "v").mapInArrow(run, f"q {kind}, rep {kind}, dist double").where("q != rep")
+    true = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("dist", "rep"))).where(f"r <= {k}").select("q", "rep")
+    pairs = F.broadcast(true)  # k for each probe
+    at = ranked.join(pairs.select("rep", "q"), "rep").select("curve", "q", "rep", F.col("rank").alias("there"))
+    own = ranked.join(F.broadcast(pairs.select(F.col("q").alias("rep")).distinct()), "rep").select("curve", F.col("rep").alias("q"), F.col("rank").alias("here"))
+    apart = at.join(F.broadcast(own), ["curve", "q"]).select("curve", "q", "rep", F.abs(F.col("here") - F.col("there")).alias("far")).collect()
+    need: dict[tuple, list[int]] = {}
+    for r in apart:
+        need.setdefault((r.q, r.rep), [total] * curves)[r.curve] = r.far
+    far = np.minimum.accumulate(np.array(list(need.values())), axis=1)
+    choices = [(total, 1, total)]
+    for c in range(1, curves + 1):
+        ranks = max(LEAST_REACH, int(np.ceil(1.1 * np.quantile(far[:, c - 1], recall))))
+        choices.append((c * min(total, 2 * ranks), c, ranks))
+    _, c, ranks = min(choices)
+    return c, ranks
+
+
 def _spread(members: DataFrame, dim: int) -> tuple[int, np.ndarray, float]:
     """Number of points, their mean, and the root of their mean variance."""
 
@@ -155,12 +202,14 @@ def _ranks(keys: DataFrame) -> DataFrame:
     return held.withColumn("part", part).join(starts, ["curve", "part"]).select("curve", "rep", (F.col("at") - F.col("first") + F.col("before")).alias("rank"))
 
 
-def _windows(ranked: DataFrame, points: DataFrame, queries: DataFrame, dim: int, reach: int, k: int) -> DataFrame:
+def _windows(ranked: DataFrame, points: DataFrame, queries: DataFrame, dim: int, mean: np.ndarray, reach: int, k: int) -> DataFrame:
     """(q, rep, dist): the best k of each query's windows, by block, made distinct."""
     placed = ranked.join(points, "rep")
-    block = lambda c: F.floor(c / BLOCK)
+    size = int(np.clip(reach, BLOCK, MOST))
+    block = lambda c: F.floor(c / size)
+    last = F.lit(ranked.agg(F.max("rank")).first()[0] // size)
     own = placed.select("curve", block(F.col("rank")).alias("block"), F.lit(0).alias("asks"), "rank", "rep", "v")
-    wide = F.sequence(F.greatest(block(F.col("rank") - reach), F.lit(0)), block(F.col("rank") + reach))
+    wide = F.sequence(F.greatest(block(F.col("rank") - reach), F.lit(0)), F.least(block(F.col("rank") + reach), last))
     asks = placed.join(queries, "rep", "left_semi").select("curve", F.explode(wide).alias("block"), F.lit(1).alias("asks"), "rank", "rep", "v")
     dealt = own.union(asks).repartition("curve", "block").sortWithinPartitions("curve", "block", "asks")
 
@@ -173,21 +222,26 @@ def _windows(ranked: DataFrame, points: DataFrame, queries: DataFrame, dim: int,
             if not data or not queue:
                 return
             dr, di, dv = (np.concatenate(x) for x in zip(*data))
-            norms = (dv * dv).sum(axis=1)
+            centred = dv - mean
+            norms = (centred * centred).sum(axis=1)
             for qr, qi, qv in queue:
-                for at in range(0, len(qr), 256):
-                    r, i, x = qr[at : at + 256], qi[at : at + 256], qv[at : at + 256]
-                    rough = norms[None, :] - 2 * (x @ dv.T)
+                for at in range(0, len(qr), 64):
+                    r, i, x = qr[at : at + 64], qi[at : at + 64], qv[at : at + 64]
+                    own = x - mean
+                    rough = norms[None, :] - 2 * (own @ centred.T)
                     rough[(np.abs(dr[None, :] - r[:, None]) > reach) | (di[None, :] == i[:, None])] = np.inf
-                    top = min(len(di), k + 6)
-                    near = np.argpartition(rough, top - 1, axis=1)[:, :top]
+                    top = min(len(di), k) - 1
+                    limit = np.partition(rough, top, axis=1)[:, top]
+                    # All that rounding may have put in the wrong order stay.
+                    slack = 1e-11 * (norms.max() + (own * own).sum(axis=1))
+                    who, near = np.nonzero((rough <= (limit + slack)[:, None]) & np.isfinite(rough))
                     # Summed from the first component to the last, as plain loops and SQL do.
-                    dist = np.sqrt(np.add.accumulate((dv[near] - x[:, None, :]) ** 2, axis=2)[:, :, -1])
-                    dist[~np.isfinite(np.take_along_axis(rough, near, axis=1))] = np.inf
-                    order = np.lexsort((di[near], dist), axis=1)[:, :k]
-                    dist, rep = np.take_along_axis(dist, order, axis=1), di[np.take_along_axis(near, order, axis=1)]
-                    ok = np.isfinite(dist)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(i[:, None], ok.shape)[ok]), pa.array(rep[ok]), pa.array(dist[ok])], names=["q", "rep", "dist"])
+                    dist = np.sqrt(np.concatenate([np.add.accumulate((dv[near[a : a + 8192]] - x[who[a : a + 8192]]) ** 2, axis=1)[:, -1] for a in range(0, len(who), 8192)] or [np.zeros(0)]))
+                    order = np.lexsort((di[near], dist, who))
+                    who, near, dist = who[order], near[order], dist[order]
+                    first = np.searchsorted(who, who, side="left")
+                    ok = np.arange(len(who)) - first < k
+                    yield pa.RecordBatch.from_arrays([pa.array(i[who[ok]]), pa.array(di[near[ok]]), pa.array(dist[ok])], names=["q", "rep", "dist"])
 
         for b in batches:
             if not b.num_rows:

@@ -41,15 +41,38 @@ def test_exact_on_small_table_with_copies_and_bad_rows(spark):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=1e-12, atol=1e-12)
 
 
-def test_recall(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(6000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+def recall_of(spark, x, monkeypatch, every=100):
+    """Recall against brute force, and the curves and reach that were measured."""
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
-    got = as_dict(nn.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0))
-    want = brute(rows, range(0, 6000, 100))
-    hits = [len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 10 for q in want]
-    assert np.mean(hits) >= 0.9
+    chosen, real = [], nn.measure
+    monkeypatch.setattr(nn, "measure", lambda *a: chosen.append(real(*a)) or chosen[-1])
+    got = as_dict(nn.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % every == 0))
+    want = brute(rows, range(0, len(x), every))
+    return np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 10 for q in want]), *chosen[0]
+
+
+def test_recall_with_structure(spark, monkeypatch):
+    """Windows suffice where vectors lie near a surface: far fewer comparisons than vectors."""
+    rng = np.random.default_rng(2)
+    x = np.sin(rng.uniform(-2, 2, size=(12_000, 2)) @ rng.normal(size=(2, 64)) * 0.5 + rng.normal(size=64)) + rng.normal(size=(12_000, 64)) * 1e-3
+    recall, curves, reach = recall_of(spark, x, monkeypatch)
+    assert recall >= 0.9 and curves * 2 * reach <= 12_000 / 2
+
+
+def test_recall_without_structure(spark, monkeypatch):
+    """Windows are never dearer than all vectors."""
+    x = np.random.default_rng(2).normal(size=(6000, 64))
+    recall, curves, reach = recall_of(spark, x / np.linalg.norm(x, axis=1, keepdims=True), monkeypatch)
+    assert recall >= 0.9 and curves * min(6000, 2 * reach) <= 6000
+
+
+def test_ties_and_vectors_far_from_the_origin(spark):
+    rng = np.random.default_rng(3)
+    for x in (rng.integers(0, 2, size=(3000, 6)) + 1.0, 1e7 + rng.integers(0, 9, size=(3000, 4))):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        got = as_dict(nn.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 300 == 0, reach=3000, curves=1))
+        want = brute(rows, range(0, 3000, 300))
+        assert {q: [v for v, _ in got[q]] for q in want} == {q: [v for v, _ in want[q]] for q in want}
 
 
 def test_fewer_candidates_than_asked(spark):
