@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 from .trigrams import EVERYTHING, trigram_query
 
 
@@ -80,22 +80,22 @@ def postings(keyed: DataFrame, text: str, rules=RULES) -> DataFrame:
 
 
 def candidates(keyed: DataFrame, text: str, rules=RULES) -> DataFrame:
-    """(_key, _rules): bit n of _rules is set if rule n may match the row."""
+    """(_key, _rules): the numbers of the rules that may match the row; there may be any number of rules."""
     spark = keyed.sparkSession
-    asked = [(n, k, t, 1 << i) for n, q in rule_queries(rules) for k, c in enumerate(q) for i, t in enumerate(c)]
-    whole = [(n, k, (1 << len(c)) - 1) for n, q in rule_queries(rules) for k, c in enumerate(q)]
-    clauses = spark.createDataFrame(asked, "rule int, clause int, trigram string, bit long")
-    whole = spark.createDataFrame(whole, "rule int, clause int, full long")
+    asked = [(n, k, t) for n, q in rule_queries(rules) for k, c in enumerate(q) for t in c]
+    whole = [(n, k, len(c)) for n, q in rule_queries(rules) for k, c in enumerate(q)]
+    clauses = spark.createDataFrame(asked, "rule int, clause int, trigram string")
+    whole = spark.createDataFrame(whole, "rule int, clause int, full int")
     met = (
         postings(keyed, text, rules)
         .repartition("_key")
         .join(F.broadcast(clauses), "trigram")
         .groupBy("_key", "rule", "clause")
-        .agg(F.bit_or("bit").alias("seen"))
+        .agg(F.size(F.collect_set("trigram")).alias("seen"))
         .join(F.broadcast(whole), ["rule", "clause"])
         .where("seen = full")
     )
-    return met.groupBy("_key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("_rules"))
+    return met.groupBy("_key").agg(F.collect_set("rule").alias("_rules"))
 
 
 def _positions(found: Column, gaps: Column, measured: Column, least: int) -> Column:
@@ -132,19 +132,22 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
     """The rows of docs with ``_spans``: array of (start, kind number, end).
 
     Spans are sorted by start, then kind as listed, then end. A null text is
-    scanned as an empty one; rows with null or repeated ids are all kept.
-    Other columns pass through; names that begin with an underscore are kept for this operator.
+    scanned as an empty one, one of any length whole; rows with null or repeated
+    ids are all kept. Other columns pass through, whatever their names; only one
+    that is called ``_spans`` is replaced. No rows, no rows.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(key), body))
+    names = [c for c in docs.columns if c != "_spans"]
+    body = F.coalesce(F.col("_text"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(text).alias("_text"), F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))).alias("_key"))
     indexed = {n for n, _ in rule_queries(rules)}
-    named = keyed.join(candidates(keyed, text, rules), "_key", "left")
+    # The row holds the text: it is taken out again after the join, so texts move once.
+    named = rows.select("_row", "_key").join(candidates(rows, "_text", rules), "_key", "left").withColumn("_text", F.col(f"_row.`{text}`"))
     none = F.array().cast("array<string>")
 
     def tried(n: int, found: Column) -> Column:
         if n not in indexed:
             return found
-        return F.when(F.coalesce(F.col("_rules"), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << n)) != 0, found).otherwise(none)
+        return F.when(F.array_contains(F.coalesce(F.col("_rules"), F.array().cast("array<int>")), n), found).otherwise(none)
 
     def pieces(n: int, rule: Rule) -> list[Column]:
         """Gaps and, if need be, the measured groups; nothing where nothing was found."""
@@ -155,7 +158,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
     found = named.select("*", *(tried(n, F.regexp_extract_all(body, F.lit(r.pattern), F.lit(0))).alias(f"_f{n}") for n, r in enumerate(rules)))
     cut = found.select("*", *(c for n, r in enumerate(rules) for c in pieces(n, r)))
     spots = (_numbered(_positions(F.col(f"_f{n}"), F.col(f"_g{n}"), F.col(f"_m{n}" if r.measured else f"_f{n}"), r.least), n) for n, r in enumerate(rules))
-    return cut.select(*(F.col(f"`{c}`") for c in docs.columns), F.array_sort(F.flatten(F.array(*spots))).alias("_spans"))
+    return cut.select(*(F.col(f"_row.`{c}`").alias(c) for c in names), F.array_sort(F.flatten(F.array(*spots))).alias("_spans"))
 
 
 def _written(spans: Column, rules) -> Column:
@@ -173,12 +176,13 @@ def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> Da
         apart = F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
         return F.when(F.size(acc) == 0, apart).when(x["start"] < last["end"], joined).otherwise(apart)
 
-    merged = scanned.withColumn("_merged", F.aggregate("_spans", F.array().cast(span), merge))
-    starts = F.concat(F.array(F.lit(0)), F.transform("_merged", lambda x: x["end"]))
-    stops = F.concat(F.transform("_merged", lambda x: x["start"]), F.array(F.char_length(text)))
+    spans = fresh("merged", scanned.columns)
+    merged = scanned.withColumn(spans, F.aggregate("_spans", F.array().cast(span), merge))
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"]))
+    stops = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.char_length(text)))
     pieces = F.zip_with(starts, stops, lambda a, b: F.substring(F.col(text), a + 1, b - a))
-    clean = F.when(F.size("_merged") > 0, F.array_join(pieces, mark)).otherwise(F.col(text))
-    return merged.withColumn(text, clean).drop("_merged", "_spans")
+    clean = F.when(F.size(spans) > 0, F.array_join(pieces, mark)).otherwise(F.col(text))
+    return merged.withColumn(text, clean).drop(spans, "_spans")
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -77,3 +77,18 @@ def test_index_skips_texts_without_trigrams(spark):
     docs = spark.createDataFrame([(1, "token: abcdefgh"), (2, "tok oke"), (3, "ordinary")], "doc_id long, text string")
     keyed = docs.withColumn("_key", F.col("doc_id"))
     assert [r._key for r in secret_scan.candidates(keyed, "text").collect()] == [1]
+
+
+def test_any_number_of_rules(spark):
+    """More rules than a long has bits, and one whose trigrams are more than that too."""
+    long_name = "".join(chr(97 + k * 7 % 26) + chr(97 + k * 11 % 26) for k in range(40))
+    rules = tuple(secret_scan.Rule(f"r{k}", f"word{k:03}x[0-9]+") for k in range(70)) + (secret_scan.Rule("long", long_name),)
+    rows = [(k, f"some word{k:03}x77 here") for k in range(70)] + [(70, f"a {long_name} b"), (71, long_name[:-1])]
+    got = {r.doc_id: [tuple(x) for x in r._spans] for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), rules=rules).collect()}
+    assert got == {k: [(5, k, 15)] for k in range(70)} | {70: [(2, 70, 2 + len(long_name))], 71: []}
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "password = abcdefgh1", 5, 6, 7, 8)], "doc_id long, text string, _key int, _row int, _rules int, _merged int")
+    out = secret_scan.redact(secret_scan.scan_secrets(docs))
+    assert out.columns == docs.columns and tuple(out.first()) == (1, "[SECRET]", 5, 6, 7, 8)
