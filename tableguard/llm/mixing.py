@@ -86,7 +86,8 @@ def splitting_tree(quotas: dict[str, int], shards: int, seed: int) -> dict[str,
 def plan_mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc_id", shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
     """docs with source_size, target, taken and ``draws``.
 
-    Columns that docs have by these names are replaced.
+    Columns that docs have by these four names are replaced; others pass
+    through, whatever their names. ``taken`` is the sum of what shards draw.
 
     ``size`` names a long column with the size of each row. ``draws`` lists
     (copy, shard, words) of what the mix takes of the row: copies 0 and 1,
@@ -95,11 +96,14 @@ def plan_mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc
     in key and size may swap their draws. Rows without words draw nothing.
     """
     spark = docs.sparkSession
-    docs = docs.drop("source_size", "target", "taken", "draws")
+    names = [c for c in docs.columns if c not in ("source_size", "target", "taken", "draws")]
     tag = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
     order = F.xxhash64(F.lit(seed), F.col(key), F.col(size))
-    keyed = docs.withColumns({"_src": tag, "_order": order, "_bucket": F.pmod(F.xxhash64(F.lit(seed + 1), order), F.lit(BUCKETS)).cast("int")})
-    sums = materialize(keyed.groupBy("_src", F.col(source).alias("_name"), "_bucket").agg(F.sum(size).alias("size")).coalesce(16))
+    # The row is kept apart, so that its columns may have any names.
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")
+    keyed = docs.select(row, F.col(key).alias("_key"), F.col(source).alias("_name"), F.col(size).alias("size"), tag.alias("_src"), order.alias("_order"))
+    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.lit(BUCKETS)).cast("int"))
+    sums = materialize(keyed.groupBy("_src", "_name", "_bucket").agg(F.sum("size").alias("size")).coalesce(16))
     per_source = targets(sums).collect()
     while sum(r.target for r in per_source) // block_words > 5 * 10**8:
         block_words *= 2
@@ -114,22 +118,22 @@ def plan_mix(docs: DataFrame, size: str, source: str = "source", key: str = "doc
         sums.withColumn("_start", F.sum("size").over(Window.partitionBy("_src").orderBy("_bucket")) - F.col("size"))
         .select("_src", "_bucket", "_start")
     )
-    within = Window.partitionBy("_src", "_bucket").orderBy("_order", F.asc_nulls_last(key), size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.withColumn("_in", F.sum(size).over(within) - F.col(size)).join(starts, ["_src", "_bucket"]).join(sources, "_src")
+    within = Window.partitionBy("_src", "_bucket").orderBy("_order", F.asc_nulls_last("_key"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = keyed.withColumn("_in", F.sum("size").over(within) - F.col("size")).join(starts, ["_src", "_bucket"]).join(sources, "_src")
     place = F.col("_start") + F.col("_in")
     want = F.rint("target").cast("long")
     steps = F.array(*(F.lit(1 << b) for b in reversed(range(shards.bit_length() - 1))))
 
     def draw(copy: int) -> Column:
         at = place + copy * F.col("source_size")
-        got = F.greatest(F.lit(0).cast("long"), F.least(F.col(size), want - at))
+        got = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), want - at))
         block = F.floor(at / block_words)
         shard = F.aggregate(steps, F.lit(0), lambda k, s: F.when(F.element_at("_ends", k + s) <= block, k + s).otherwise(k))
         return F.when(got > 0, F.struct(F.lit(copy).alias("copy"), shard.alias("shard"), got.alias("words")))
 
     out = placed.withColumn("draws", F.array_compact(F.array(*(draw(c) for c in range(LIMIT)))))
     taken_words = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return out.withColumn("taken", taken_words).drop("_src", "_bucket", "_order", "_in", "_start", "_ends")
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in names), "source_size", "target", taken_words.alias("taken"), "draws")
 
 
 def draw_mix(planned: DataFrame, key: str = "doc_id", seed: int = 17) -> DataFrame:
@@ -138,9 +142,12 @@ def draw_mix(planned: DataFrame, key: str = "doc_id", seed: int = 17) -> DataFra
     Rows of a shard lie together, in random order; ``shard`` and ``copy`` name
     the draw and ``words`` how many words of the row it takes.
     """
-    rows = planned.withColumn("_d", F.explode("draws")).drop("draws").withColumns({"copy": F.col("_d.copy"), "shard": F.col("_d.shard"), "words": F.col("_d.words")}).drop("_d")
-    rows = rows.withColumn("_shuffle", F.xxhash64(F.lit(seed + 2), F.col(key), "copy", "shard"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "_shuffle").drop("_shuffle")
+    names = [c for c in planned.columns if c not in ("draws", "copy", "shard", "words")]
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")
+    rows = planned.select(row, F.col(key).alias("_key"), F.explode("draws").alias("_d"))
+    rows = rows.select("_row", "_d.copy", "_d.shard", "_d.words", F.xxhash64(F.lit(seed + 2), F.col("_key"), "_d.copy", "_d.shard").alias("_shuffle"))
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "_shuffle")
+    return dealt.select(*(F.col(f"_row.`{c}`").alias(c) for c in names), "copy", "shard", "words")
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -105,3 +105,13 @@ def test_shards_follow_the_words(spark, monkeypatch):
     got = mixing.plan_mix(frame(spark, rows), "size", block_words=100).collect()
     check(rows, got)
     assert {d.shard for r in got for d in r.draws} == set(range(32))
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(k, 5 + k, "ab"[k % 2], k, k, k, k, k) for k in range(20)], "doc_id long, size long, source string, _row int, _src int, _order int, _start int, _key int")
+    planned = mixing.plan_mix(docs, "size")
+    assert planned.columns == [*docs.columns, "source_size", "target", "taken", "draws"]
+    rows = planned.collect()
+    assert all(tuple(r[3:8]) == (r.doc_id,) * 5 and r.taken == sum(d.words for d in r.draws) for r in rows)
+    drawn = mixing.draw_mix(planned).collect()
+    assert sum(r.words for r in drawn) == sum(r.taken for r in rows) and all(r._row == r.doc_id for r in drawn)
