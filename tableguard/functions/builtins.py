@@ -41,10 +41,19 @@ def replace_text(c: Column, old: str, new: str) -> Column:
     return F.when(c.isNotNull(), F.concat_ws(new, F.split(c, old, 2)))
 
 
-def normalize(c: Column) -> Column:
-    """Distance from the mean in sample standard deviations."""
-    whole = Window.partitionBy()
-    return (c - F.avg(c).over(whole)) / F.stddev_samp(c).over(whole)
+def normalize(c: Column, mean: float | None = None, deviation: float | None = None) -> Column:
+    """Distance from the mean in sample standard deviations.
+
+    A validation aggregates ``statistics`` beforehand and passes them; without
+    them, as in a plain select, a window over the whole frame finds them.
+    """
+    if mean is None and deviation is None:
+        whole = Window.partitionBy()
+        return (c - F.avg(c).over(whole)) / F.stddev_samp(c).over(whole)
+    return (c - F.lit(mean)) / F.lit(deviation)
+
+
+normalize.statistics = {"mean": F.avg, "deviation": F.stddev_samp}
 
 
 def non_null(c: Column) -> Column:
@@ -74,10 +83,24 @@ def in_list(c: Column, values: list) -> Column:
 
 
 def unique(c: Column) -> Column:
-    """Whether no other row has the value; null is a value. Shuffles by value."""
+    """Whether no other row has the value; null is a value.
+
+    A validation counts values instead (``marked``): counts are summed before
+    they are shuffled, and the join with values that come more than once splits
+    where one of them is very common.
+    """
     return F.count(F.lit(1)).over(Window.partitionBy(c)) == 1
 
 
+def _marked_unique(df: DataFrame, column: str, name: str) -> DataFrame:
+    c = F.col("`" + column.replace("`", "``") + "`")
+    twice = df.groupBy(c.alias(f"{name}v")).agg(F.count(F.lit(1)).alias(f"{name}n")).where(F.col(f"{name}n") > 1)
+    return df.join(twice, c.eqNullSafe(F.col(f"{name}v")), "left").withColumn(name, F.col(f"{name}n").isNull()).drop(f"{name}v", f"{name}n")
+
+
+unique.marked = _marked_unique
+
+
 def matches(c: Column, pattern: str) -> Column:
     """Whether the pattern is found anywhere."""
     return c.rlike(pattern)

@@ -19,8 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 PROBE = "__tableguard_probe__"
-#: Types of expressions found pure, by expression and source column.
-_PURE: dict[tuple[str, str], T.DataType] = {}
 
 
 class RegistryError(ValueError):
@@ -93,11 +91,13 @@ class ColumnFunctionWrapper:
     def __init__(self, func: Callable[..., Column], name: str):
         SignatureValidator(Column).validate(func)
         self.func, self.name, self.__doc__ = func, name, func.__doc__
+        #: Types of this function's expressions that were found pure, by expression and source column.
+        self.pure: dict[tuple[str, str], T.DataType] = {}
 
-    def __call__(self, column: Column, **args: Any) -> Column:
+    def __call__(self, column: Column, *more: Any, **args: Any) -> Column:
         if not isinstance(column, Column):
             raise ColumnPurityError(f"{self.name}: input must be a Column, not {type(column).__name__}")
-        out = self.func(column, **args)
+        out = self.func(column, *more, **args)
         if not isinstance(out, Column):
             raise RegistryError(f"{self.name}: must return a Column, not {type(out).__name__}")
         return out
@@ -113,8 +113,8 @@ class ColumnFunctionWrapper:
 
         out = self(column, **args)
         key = str(out), source.json()
-        if key in _PURE:
-            return out, _PURE[key]
+        if key in self.pure:
+            return out, self.pure[key]
         probe = F.col(f"`{source.name.replace('`', '``')}`")
         try:
             with _quiet():
@@ -130,10 +130,10 @@ class ColumnFunctionWrapper:
             with _quiet():
                 spark.createDataFrame([], T.StructType([T.StructField(PROBE, T.StringType())])).select(out.alias("x"))
         except AnalysisException:
-            if len(_PURE) >= 4096:
-                _PURE.clear()
+            if len(self.pure) >= 1024:
+                self.pure.clear()
             if "..." not in key[0]:  # a shortened text may hide a difference
-                _PURE[key] = kind
+                self.pure[key] = kind
             return out, kind
         raise ColumnPurityError(f"{self.name}: does not use its column {source.name!r}")
 
@@ -145,21 +145,25 @@ class FrameFunctionWrapper:
         SignatureValidator(DataFrame).validate(func)
         self.func, self.name, self.__doc__ = func, name, func.__doc__
 
-    def __call__(self, frame: DataFrame, **args: Any) -> DataFrame:
+    def __call__(self, frame: DataFrame, *more: Any, **args: Any) -> DataFrame:
         """The function's frame; rows are counted unless it is the one put in."""
+        return self.counted(frame, None, *more, **args)[0]
+
+    def counted(self, frame: DataFrame, rows: int | None, *more: Any, **args: Any) -> tuple[DataFrame, int | None]:
+        """The function's frame and its rows, of which ``frame`` has as many as given, if they are known."""
         if not isinstance(frame, DataFrame):
             raise FrameShapeError(f"{self.name}: input must be a DataFrame, not {type(frame).__name__}")
-        out = self.func(frame, **args)
+        out = self.func(frame, *more, **args)
         if not isinstance(out, DataFrame):
             raise FrameShapeError(f"{self.name}: must return a DataFrame, not {type(out).__name__}")
         if out is frame:
-            return out
+            return out, rows
         if out.columns != frame.columns:
             raise FrameShapeError(f"{self.name}: columns changed from {frame.columns} to {out.columns}")
-        before, after = frame.count(), out.count()
+        before, after = frame.count() if rows is None else rows, out.count()
         if before != after:
             raise FrameShapeError(f"{self.name}: rows changed from {before} to {after}")
-        return out
+        return out, after
 
 
 class DecoratorAdapter:

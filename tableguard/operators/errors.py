@@ -46,8 +46,11 @@ def detailed(masked: DataFrame, checks: list[tuple[str, str, str]], mode: str, l
         failed = failed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
     if mode == "cells":
         return failed.select("column", "check", "row_index", *(["value"] if include_values else [])).orderBy("column", "check", "row_index")
+    # One row for each check.
     listed = failed.groupBy("column", "check").agg(F.sort_array(F.collect_list("row_index")).alias("row_indices"))
-    return listed.select("column", "check", F.size("row_indices").cast("long").alias("count"), "row_indices").orderBy("column", "check")
+    listed = listed.select("column", "check", F.size("row_indices").cast("long").alias("count"), "row_indices")
+    # Short lists are sorted in one place; a sort by ranges would first read everything to find them.
+    return listed.orderBy("column", "check") if limit is None else listed.coalesce(1).sortWithinPartitions("column", "check")
 
 
 def rows_at_limit_zero(spark: SparkSession, counts: list[tuple[str, str, int]]) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-from contextlib import redirect_stdout
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +12,30 @@ _AT, _PART = "__tableguard_at__", "__tableguard_part__"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df if its rows stay in their partitions whenever it is computed, else persisted.
+    """df if its rows stay in their partitions whenever it is computed, else written or persisted.
 
     Files, local rows and row-wise steps over them stay; behind a shuffle,
     adaptive execution may cut partitions another way for another job.
     """
-    plan = io.StringIO()
-    with redirect_stdout(plan):
-        df.explain()
-    return df.persist(StorageLevel.MEMORY_AND_DISK) if "Exchange" in plan.getvalue() else df
+    if not any(kind.endswith("ExchangeExec") for kind in _nodes(df)):
+        return df
+    sc = df.sparkSession.sparkContext
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if named and sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(named)
+    # Written rows stay in place even if an executor is lost.
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if sc._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+
+
+def _nodes(df: DataFrame):
+    """Kinds of the nodes of df's physical plan."""
+    left = [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        yield kind
+        below = node.children()
+        left += [node.initialPlan()] if kind == "AdaptiveSparkPlanExec" else [below.apply(k) for k in range(below.size())]
 
 
 def with_row_index(df: DataFrame) -> DataFrame:

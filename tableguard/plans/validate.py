@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import FunctionRegistry
 from ..functions.builtins import ROW_INDEX
 from ..operators import errors
-from ..operators.checks import any_of, masks
+from ..operators.checks import any_of, masks, with_marks
 from ..operators.coerce import CoercionError, Strategy, coerced, mismatch, raised_by_cast
 from ..operators.resolve import case_sensitive, resolve_column_names
 from ..operators.rowindex import _quoted, settled, with_row_index
@@ -73,7 +73,8 @@ def validate(
     in columns that may not be null, failed strict coercions and frame functions
     raise. ``lazy`` overrides the schema's; an eager result's data are computed
     and kept. For ``rows`` and ``cells`` reports, rows are numbered in the order of
-    the input; an input that comes out of a shuffle is persisted for that.
+    the input; an input that comes out of a shuffle is written to the shared
+    folder for that (``spark.checkpoint.dir``), or persisted where none is named.
     """
     if coerce_strategy not in ("strict", "null_on_failure"):
         raise ValueError(f"Unknown coerce strategy: {coerce_strategy!r}")
@@ -106,8 +107,12 @@ class _Run:
                 self._count({k: F.col(c) for k, c in flags.items()})
                 self.frame = self.frame.drop(*flags.values())
                 flags = {}
+            elif "rows" not in self.known:
+                self._count({})
             self._frame_functions(self.schema.frame_checks, self.registry.frame_checks, "check")
-        checks = masks(self.frame, self.schema, self.registry)
+        plain = self.frame
+        self.frame, marks = with_marks(self.frame, self.schema, self.registry)
+        checks = masks(self.frame, self.schema, self.registry, marks)
         marked = [(column, check, f"__m{k}") for k, (column, check, _) in enumerate(checks)]
         masked = self.frame.select("*", *(m.alias(name) for (_, _, m), (_, _, name) in zip(checks, marked)))
         nullify = {n: any_of([F.col(m) for c, _, m in marked if c == n]) for n in self.names if self.schema.resolve_on_failure(n) == "null" and any(c == n for c, _, _ in marked)}
@@ -123,7 +128,11 @@ class _Run:
         for n in self.names:
             if not self.schema.columns[n].nullable and self.known[f"final:{n}"]:
                 raise NullabilityError(f"Column {n!r} may not be null but has {self.known[f'final:{n}']} null value(s)", found, report)
-        data = masked.select(*(F.when(~nullify[c], F.col(_quoted(c))).alias(c) if c in nullify else F.col(_quoted(c)) for c in self.output))
+        # Marks shuffle rows: data that does not depend on them keeps away from them.
+        own = [(m, name) for (c, k, m), (_, _, name) in zip(checks, marked) if c in nullify]
+        apart = not any((c, k) in marks for c, k, _ in checks if c in nullify)
+        source = plain.select("*", *(m.alias(name) for m, name in own)) if apart else masked
+        data = source.select(*(F.when(~nullify[c], F.col(_quoted(c))).alias(c) if c in nullify else F.col(_quoted(c)) for c in self.output))
         if not lazy:
             data = data.persist(StorageLevel.MEMORY_AND_DISK)
             data.count()
@@ -139,7 +148,13 @@ class _Run:
         for r in references:
             if r.name not in functions:
                 raise KeyError(f"Unknown frame {what}: {r.name!r}")
-            self.frame = functions[r.name](self.frame, **r.args)
+            # Rows were counted before; each function is counted after once, and not at all if it returns what it was given.
+            self.frame, self.known["rows"] = functions[r.name].counted(self.frame, self.known["rows"], **r.args)
+
+    def _statistics(self, func, c: Column) -> dict:
+        """What a parser asks to know of its whole column, by one aggregate."""
+        asked = getattr(func, "statistics", None)
+        return self.frame.agg(*(f(c).alias(k) for k, f in asked.items())).first().asDict() if asked else {}
 
     def _parse_and_coerce(self) -> dict[str, str]:
         """Parsed and coerced columns in place; returns flag columns by what they count."""
@@ -151,7 +166,8 @@ class _Run:
             for r in self.schema.columns[n].parsers:
                 if r.name not in self.registry.column_parsers:
                     raise KeyError(f"Unknown column parser: {r.name!r}")
-                c, kinds[n] = self.registry.column_parsers[r.name].on(c, fields[n], spark, **r.args)
+                parser = self.registry.column_parsers[r.name]
+                c, kinds[n] = parser.on(c, fields[n], spark, **r.args, **self._statistics(parser.func, c))
             parsed[n] = c
         flags: dict[str, str] = {}
         extra: list[Column] = []
@@ -189,7 +205,7 @@ class _Run:
         failed = known.get("failed", 0)
         columns = {
             n: ColumnValidationStats(
-                coercion_failures=known.get(f"coercion:{n}", 0), check_failures=failures[n], nullified=known.get(f"nullified:{n}", 0), final_null_count=known.get(f"final:{n}", 0), original_null_count=known.get(f"original:{n}", 0)
+                column_name=n, coercion_failures=known.get(f"coercion:{n}", 0), check_failures=failures[n], nullified=known.get(f"nullified:{n}", 0), final_null_count=known.get(f"final:{n}", 0), original_null_count=known.get(f"original:{n}", 0)
             )
             for n in self.schema.columns
         }

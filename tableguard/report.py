@@ -12,6 +12,7 @@ class ColumnValidationStats(BaseModel):
 
     model_config = ConfigDict(extra="forbid")
 
+    column_name: str
     parse_failures: int = 0
     coercion_failures: int = 0
     check_failures: int = 0
@@ -33,6 +34,7 @@ class ValidationReport(BaseModel):
     rows_failed_distinct: int = 0
 
     def summary(self) -> str:
+        # The words of the summary.
         share = 100 * self.rows_valid / self.rows_processed if self.rows_processed else 0.0
         out = [f"Validation Report (Profile: {self.profile_used})", f"Rows: {self.rows_valid}/{self.rows_processed} valid ({share:.1f}%)", "", "Column Issues:"]
         for name, stats in self.columns.items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 from pathlib import Path
 from typing import Any, Literal
@@ -127,7 +128,11 @@ class SchemaModel(_Strict):
 
 
 class SchemaLoader:
-    """Loads schemas with a model class of choice; errors of files and parsers come as they are."""
+    """Loads schemas with a model class of choice; errors of files and parsers come as they are.
+
+    Beside from_mapping and from_python it has from_<kind>_str and from_<kind>_file
+    for each kind of ``PARSERS``.
+    """
 
     def __init__(self, model_cls: type[SchemaModel] = SchemaModel):
         self.model_cls = model_cls
@@ -136,19 +141,14 @@ class SchemaLoader:
         return self.model_cls.from_dict(data)
 
     def from_python(self, data: SchemaModel | Mapping[str, Any]) -> SchemaModel:
-        return data if isinstance(data, self.model_cls) else self.from_mapping(data)
-
-    def from_json_str(self, text: str) -> SchemaModel:
-        return self.from_mapping(json.loads(text))
-
-    def from_yaml_str(self, text: str) -> SchemaModel:
-        return self.from_mapping(_yaml().safe_load(text))
+        return self.model_cls.from_python(data)
 
-    def from_json_file(self, path: str | Path) -> SchemaModel:
-        return self.from_json_str(Path(path).read_text(encoding="utf-8"))
-
-    def from_yaml_file(self, path: str | Path) -> SchemaModel:
-        return self.from_yaml_str(Path(path).read_text(encoding="utf-8"))
+    def __getattr__(self, name: str):
+        found = re.fullmatch(r"from_(\w+)_(str|file)", name)
+        if not found or found[1] not in PARSERS:
+            raise AttributeError(name)
+        parse, of_file = PARSERS[found[1]], found[2] == "file"
+        return lambda source: self.from_mapping(parse(Path(source).read_text(encoding="utf-8") if of_file else source))
 
 
 def _yaml():
@@ -170,3 +170,7 @@ def _read(get, *more: type[Exception]):
         return get()
     except (OSError, ValueError, *more) as e:
         raise ValueError(f"{INVALID}: {e}") from e
+
+
+#: How texts of each kind become mappings.
+PARSERS = {"json": lambda text: json.loads(text), "yaml": lambda text: _yaml().safe_load(text)}

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .. import dtypes
 from ..schema import SchemaModel
 
-_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true", "enforceSchema": "true"}
+_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "enforceSchema": "true"}
 
 
 def _session() -> SparkSession:
@@ -28,14 +28,17 @@ def _loaded(df: DataFrame, schema: SchemaModel, lazy: bool | None) -> DataFrame:
     return df
 
 
-def read_csv(path: str | Path, schema: SchemaModel, lazy: bool | None = None, *, typed: bool = False) -> DataFrame:
+def read_csv(path: str | Path, schema: SchemaModel, lazy: bool | None = None, *, typed: bool = False, multi_line: bool = False) -> DataFrame:
     """A CSV file or folder with a header row.
 
+    Large files are read in parts. ``multi_line`` is for files whose quoted
+    values hold line ends; each of those is read by one task.
+
     Every column is text and keeps its white space; empty fields are null. With
     ``typed``, columns that the schema names, by name or synonym, get its
     dtypes, a value that does not fit raises, and other columns are inferred.
     """
-    reader = _session().read.options(**_OPTIONS)
+    reader = _session().read.options(**_OPTIONS, multiLine=multi_line)
     if not typed:
         return _loaded(reader.csv(str(path)), schema, lazy)
     wanted = {n: dtypes.resolve(c.dtype) for name, c in schema.columns.items() for n in (name, *c.synonyms)}

@@ -111,3 +111,39 @@ def test_default_registry_is_new_each_time():
     a, b = default_registry(), default_registry()
     a.register_column_check(good)
     assert "good" not in b.column_checks and {"strip", "to_int"} <= b.column_parsers.keys() and {"min_rows", "no_duplicate_ids"} == b.frame_checks.keys()
+
+
+def test_positional_arguments(spark):
+    r = default_registry()
+    df = spark.createDataFrame([(5,), (15,)], "v long")
+    assert [x.ok for x in df.select(r.column_checks["between"](F.col("v"), 0, 10).alias("ok")).collect()] == [True, False]
+    assert r.frame_checks["min_rows"](df, 2) is df
+
+
+def test_functions_of_one_name_keep_their_own_types(spark):
+    """Expressions that are written alike are remembered by function."""
+    source = T.StructField("v", T.LongType())
+    kinds = []
+    for kind in ("string", "long"):
+        registry = FunctionRegistry()
+        udf = F.udf(lambda x: x, kind)
+
+        def same(c: Column) -> Column:
+            return udf(c)  # noqa: B023
+
+        kinds.append(registry.register_column_parser(same).on(F.col("v"), source, spark)[1])
+    assert kinds == [T.StringType(), T.LongType()]
+
+
+def test_frame_functions_count_rows_once_each(spark):
+    registry = FunctionRegistry()
+
+    @registry.frame_parser
+    def more(df: DataFrame) -> DataFrame:
+        return df.withColumn("v", F.col("v") + 1)
+
+    df = spark.createDataFrame([(5,), (15,)], "v long")
+    out, rows = registry.frame_parsers["more"].counted(df, 2)
+    assert rows == 2 and [r.v for r in out.collect()] == [6, 16]
+    with pytest.raises(FrameShapeError, match="from 3 to 2"):
+        registry.frame_parsers["more"].counted(df, 3)

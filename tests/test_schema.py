@@ -47,6 +47,15 @@ def test_rejected(data):
         SchemaModel.from_dict(data)
 
 
+def test_loader_with_another_model(tmp_path):
+    class Own(SchemaModel):
+        pass
+
+    assert type(SchemaLoader(Own).from_yaml_str(YAML)) is Own
+    with pytest.raises(AttributeError):
+        SchemaLoader().from_toml_file
+
+
 def test_bad_files(tmp_path):
     (tmp_path / "a.json").write_text("{")
     (tmp_path / "a.yaml").write_text("a: [")
@@ -89,8 +98,9 @@ def test_cli(tmp_path, capsys):
     (tmp_path / "s.yaml").write_text(YAML)
     cli.main([str(tmp_path / "s.yaml")])
     assert json.loads(capsys.readouterr().out)["columns"]["age"]["synonyms"] == ["years"]
-    with pytest.raises(SystemExit):
-        cli.main([str(tmp_path / "s.toml")])
+    for given in ([str(tmp_path / "s.toml")], [str(tmp_path / "none.json")], [], ["-h"]):
+        with pytest.raises(SystemExit):
+            cli.main(given)
 
 
 def test_logging(monkeypatch):

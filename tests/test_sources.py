@@ -17,10 +17,22 @@ def csv(tmp_path):
 
 
 def test_untyped(spark, csv):
-    df = read_csv(csv('nr,when,more\n001 ,,""\n2,"a ""b"", c","x\ny"\n'), SCHEMA)
+    df = read_csv(csv('nr,when,more\n001 ,,""\n2,"a ""b"", c","x\ny"\n'), SCHEMA, multi_line=True)
     assert [tuple(r) for r in df.collect()] == [("001 ", None, None), ("2", 'a "b", c', "x\ny")] and {t for _, t in df.dtypes} == {"string"}
 
 
+def test_large_files_are_read_in_parts(spark, csv):
+    path = csv("nr,when,more\n" + "1,2024-01-02,3\n" * 20_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = read_csv(path, SCHEMA)
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 20_000
+        assert read_csv(path, SCHEMA, multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_typed(spark, csv):
     df = read_csv(csv("nr,when,more\n1,2024-01-02,3\n"), SCHEMA, typed=True)
     assert df.dtypes == [("nr", "bigint"), ("when", "date"), ("more", "int")]

@@ -204,7 +204,9 @@ def test_only_shuffled_input_is_kept(spark, tmp_path):
     spark.range(20).write.parquet(f"{tmp_path}/x")
     assert not settled(spark.read.parquet(f"{tmp_path}/x").where("id > 2")).is_cached
     mixed = spark.range(1000).repartition(6)
-    assert settled(mixed).is_cached
+    kept = settled(mixed)  # written to the shared folder
+    assert kept is not mixed and "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert settled(mixed.withColumnRenamed("id", "Exchange").limit(0)) is not None and settled(spark.range(3).withColumnRenamed("id", "ShuffleExchangeExec")).columns == ["ShuffleExchangeExec"]
     got = run(spark.range(1000).repartition(6).withColumn("a", F.col("id") % 5), {"a": POSITIVE}, "rows")
     assert sorted(got.errors.first().row_indices) == got.errors.first().row_indices and got.errors.first()["count"] == 200
 
