@@ -2,26 +2,29 @@
 
 Restaurants: a token's context is the token before it (the end of a text is
 also the start of the next). Each context has a restaurant of its own; they
-share one parent, the restaurant of tokens without context, above which is a
-root whose base gives each known token the same weight. A customer opens a
-table or joins one by the Chinese-restaurant rule, and each table is a customer
-of the restaurant above. Unknown tokens get about the mass of tokens seen once,
-in equal shares for an estimated number of unseen tokens.
+share one parent, the restaurant of tokens without context, whose base gives
+each known token the same weight. A customer opens a table or joins one by the
+Chinese-restaurant rule, and each table is a customer of the restaurant above.
+Unknown tokens get about the mass of tokens seen once, in equal shares for an
+estimated number of unseen tokens.
 
 Seating: a sweep draws the number of tables of every cell anew, for all of its
 customers at once, from its exact distribution given the customers, the mass
-that speaks for a new table and the discount (``draw_tables``). Bigram cells
-begin with one table each and are redrawn in ``ROUNDS`` rounds; the upper
-restaurants are redrawn ``SWEEPS`` times after each round, and predictive
-probabilities are averaged over these.
-
-Data flow: texts are read once, in blocks of about ``BLOCK_TOKENS`` tokens. A
-block keeps its token numbers packed, and shows others only its distinct tokens
-and pairs of tokens (by 64-bit hashes), with their counts. Counts are summed by
-pair; sums by context and by token are partial aggregates and reach the pairs
-by joins, which split where a context or a token is very common. Probabilities
-go back to the blocks by token and by pair, and each block scores its texts.
-Nothing but sums goes to the driver.
+that speaks for a new table and the discount (``draw_tables``); then the parent
+is drawn, given its customers and its own tables of the sweep before. Cells
+begin with one table each. After ``BURN`` sweeps, what ``KEEP`` more give for
+contexts, parents and what is left to them is averaged. A draw's chance comes
+from a hash of its cell and sweep, so scores do not depend on how rows lie.
+
+Data flow: texts are read once, in blocks of about ``BLOCK_TOKENS`` tokens that
+keep their tokens packed. Distinct tokens are counted, numbered by frequency and
+sent back. A block then sends its distinct pairs of numbers, packed, to
+parts of about ``PART_TOKENS`` tokens, where pairs are summed to cells; a very
+common context is spread over several parts. A cell of one customer has one
+table whatever is drawn, so only cells of more take part in sweeps; their
+sums by context and by token are partial aggregates and come back by joins. In
+the end every part answers the blocks in the order they asked. Nothing but
+sums goes to the driver; tables that are used up are deleted on the way.
 """
 
 from __future__ import annotations
@@ -29,78 +32,87 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, table
 
-#: Restaurants between the contexts and the root: the one of tokens without context.
-CLASSES = 1
 BLOCK_TOKENS = 5_000_000
-SWEEPS = 3
-ROUNDS = 2
+PART_TOKENS = 4_000_000
+BURN, KEEP = 1, 2
 #: Cells of up to so many customers are drawn from one table of Stirling numbers.
 SMALL = 1024
-STRENGTH = 5.0
+STRENGTH = 0.2
 END = b""
+#: Kinds of rows in a part, in this order.
+CELLS, TABLES, ASKS = 0, 1, 2
 
 
-def _packed(length, held, token) -> bytes:
-    """A block's texts: lengths, flags, tokens in order."""
-    return b"".join(x.tobytes() for x in (np.array([len(length)], dtype=np.int32), length.astype(np.int32), held.astype(np.uint8), token.astype(np.int32)))
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value; bytes of the same place lie together."""
+    import zstandard as z
 
+    out = [np.array([len(arrays)], dtype=np.int64).tobytes()]
+    for x in arrays:
+        out += [x.dtype.str.encode().ljust(8), np.array([len(x)], dtype=np.int64).tobytes(), np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""]
+    return z.ZstdCompressor(level=1).compress(b"".join(out))
 
-def _unpacked(raw: bytes):
-    rows = int(np.frombuffer(raw, np.int32, 1)[0])
-    length, held = np.frombuffer(raw, np.int32, rows, 4), np.frombuffer(raw, np.uint8, rows, 4 + 4 * rows).astype(bool)
-    return length, held, np.frombuffer(raw[4 + 5 * rows :], np.int32)
+
+def _unpacked(value: bytes) -> list[np.ndarray]:
+    import zstandard as z
+
+    raw, out, at = z.ZstdDecompressor().decompress(value), [], 8
+    for _ in range(int(np.frombuffer(raw, np.int64, 1)[0])):
+        kind = np.dtype(raw[at : at + 8].decode().strip())
+        n = int(np.frombuffer(raw, np.int64, 1, at + 8)[0])
+        at += 16
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).reshape(-1).view(kind))
+        at += n * kind.itemsize
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def chances(cell: np.ndarray, sweep: int) -> np.ndarray:
+    """For each cell a number between 0 and 1, by hash."""
+    x = _mixed(cell.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (sweep + 1)) & (2**64 - 1)))
+    return (_mixed(x ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)) * 2.0**-53
 
 
 def _pairs(token: np.ndarray, end: int) -> np.ndarray:
     """Each token with the one before it, as one number; a block begins after an end."""
-    before = np.concatenate(([end], token[:-1])).astype(np.int64)
-    return before << 32 | token
+    before = np.concatenate(([end], token[:-1])).astype(np.uint64)
+    return before << np.uint64(32) | token.astype(np.uint64)
 
 
 def _blocks(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame:
     """Rows of blocks: one with the packed texts (at = -1), then one for each
-    distinct token (word) and one for each distinct pair (hashes u, w), with
-    their training counts."""
+    distinct token, with its training count."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import ArrayType
+
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"block long, at int, word binary, u long, w long, n int, keys array<{kind}>, texts binary"
+    keys_type = to_arrow_type(ArrayType(docs.schema[key].dataType))
 
     def pack(number, keys, held, ids, lengths, words):
-        import pyarrow as pa
-        import zstandard as z
-        from xxhash import xxh64_intdigest
-
         names, token, length = list(words), np.concatenate(ids), np.array(lengths, dtype=np.int32)
         trains = np.repeat(~np.array(held, dtype=bool), length)
-        blob = z.ZstdCompressor(level=1).compress(_packed(length, np.array(held, dtype=bool), token))
 
         def rows(size, **columns):
-            kinds = {"block": pa.int64(), "at": pa.int32(), "word": pa.binary(), "u": pa.int64(), "w": pa.int64(), "n": pa.int32(), "keys": keys_type, "texts": pa.binary()}
+            kinds = {"block": pa.int64(), "at": pa.int32(), "word": pa.binary(), "n": pa.int32(), "keys": keys_type, "texts": pa.binary()}
             columns["block"] = np.full(size, number)
             return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], names=list(kinds))
 
-        yield rows(1, at=[-1], keys=[keys], texts=[blob])
+        yield rows(1, at=[-1], keys=[keys], texts=[_packed(length, np.array(held, dtype=np.uint8), token)])
         n = np.bincount(token[trains], minlength=len(names))
-        step = 65536
-        for a in range(0, len(names), step):
-            part = names[a : a + step]
-            yield rows(len(part), at=np.arange(a, a + len(part)), word=part, n=n[a : a + step])
-        hashes = np.array([xxh64_intdigest(w, 42) for w in names], dtype=np.uint64).view(np.int64)
-        pair, at = np.unique(_pairs(token, names.index(END)), return_inverse=True)
-        n = np.bincount(at[trains], minlength=len(pair))
-        del at
-        for a in range(0, len(pair), step):
-            part = pair[a : a + step]
-            yield rows(len(part), at=np.arange(a, a + len(part)), u=hashes[part >> 32], w=hashes[part & 0xFFFFFFFF], n=n[a : a + step])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import ArrayType
-
-    keys_type = to_arrow_type(ArrayType(docs.schema[key].dataType))
+        for a in range(0, len(names), 65536):
+            part = names[a : a + 65536]
+            yield rows(len(part), at=np.arange(a, a + len(part)), word=part, n=n[a : a + 65536])
 
     def run(batches):
         from collections import defaultdict
@@ -136,58 +148,8 @@ def _blocks(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame
             yield from pack(number, keys, held, ids, lengths, words)
         words.default_factory = None
 
-    return docs.select(key, text, (~training).alias("_held")).mapInArrow(run, schema)
-
-
-def gibbs(customers: np.ndarray, mass: np.ndarray, discount: float, steps: int, rng, state=None):
-    """Tables of each cell after ``steps`` customers of each have been seated anew.
-
-    ``mass`` is what speaks for a new table: (strength + discount * tables of
-    the restaurant) * parent's probability. ``state`` is what an earlier call
-    returned for the same customers; the first begins from the expected number
-    of tables, of equal sizes. Returns (tables, state).
-    """
-    many = np.flatnonzero(customers > 1)
-    c, m = customers[many].astype(np.float64), np.maximum(mass[many], 1e-300)
-    tables = np.ones(len(customers), dtype=np.int64)
-    if not len(many):
-        return tables, state
-    if state is None:
-        n = np.clip(np.rint(m * np.log1p(c / m)), 1, c).astype(np.int64)
-        each = customers[many] // n
-        first = np.cumsum(n) - n
-        within = np.arange(n.sum()) - np.repeat(first, n)
-        sizes = np.repeat(each, n) + (within < np.repeat(customers[many] - each * n, n))
-    else:
-        n, sizes = state
-    base = np.cumsum(c) - c
-    for _ in range(steps):
-        # One customer of each cell leaves; tables of a cell lie together, in order of cells.
-        gone = np.searchsorted(np.cumsum(sizes), base + np.floor(rng.random(len(c)) * c), side="right")
-        sizes[gone] -= 1
-        empty = sizes[gone] == 0
-        new = rng.random(len(c)) * (c - 1 - discount * (n - empty) + m) < m
-        # Others join a table of their cell with probability in proportion to its size less the discount.
-        sums, left = np.cumsum(sizes), np.flatnonzero(~new)
-        joined = np.full(len(c), -1)
-        for go in range(30):
-            if not len(left):
-                break
-            at = np.searchsorted(sums, base[left] - left + np.floor(rng.random(len(left)) * (c[left] - 1)), side="right")
-            ok = (rng.random(len(left)) * sizes[at] < sizes[at] - discount) | (go == 29)
-            joined[left[ok]] = at[ok]
-            left = left[~ok]
-        sizes[joined[~new]] += 1
-        sizes[gone[new & empty]] = 1
-        ends = np.cumsum(n)
-        opened = np.flatnonzero(new & ~empty)
-        closed = gone[~new & empty]
-        n = n + (new & ~empty) - (~new & empty)
-        keep = np.ones(len(sizes), dtype=bool)
-        keep[closed] = False
-        sizes = np.insert(sizes, ends[opened], 1)[np.insert(keep, ends[opened], True)]
-    tables[many] = n
-    return tables, (n, sizes)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), (~training).alias("_held"))
+    return rows.mapInArrow(run, f"block long, at int, word binary, n int, keys array<{kind}>, texts binary")
 
 
 @lru_cache(maxsize=16)
@@ -251,11 +213,13 @@ def _tables_of_large(c: int, mass: float, discount: float) -> tuple[int, np.ndar
     return t, np.maximum(down[::-1] + up, 0)
 
 
-def draw_tables(customers: np.ndarray, mass: np.ndarray, discount: float, rng) -> np.ndarray:
+def draw_tables(customers: np.ndarray, mass: np.ndarray, discount: float, chance: np.ndarray) -> np.ndarray:
     """Tables of each cell, drawn given that all its customers sit down anew.
 
     The chance of t tables of c customers is in proportion to mass ** t times a
-    generalised Stirling number. ``mass`` is as in ``gibbs``, and fixed.
+    generalised Stirling number. ``mass`` is what speaks for a new table: (strength
+    + discount * tables of the restaurant) * parent's probability, and fixed.
+    ``chance``, between 0 and 1, picks from the distribution.
     """
     tables = np.ones(len(customers), dtype=np.int64)
     m = np.maximum(mass, 1e-300)
@@ -270,111 +234,79 @@ def draw_tables(customers: np.ndarray, mass: np.ndarray, discount: float, rng) -
             some = cells[at : at + max(1, 2**20 // c)]
             x = log_s[c, :c] + np.log(m[some])[:, None] * np.arange(1, c + 1)
             sums = np.exp(x - x.max(axis=1, keepdims=True)).cumsum(axis=1)
-            tables[some] = 1 + (sums < (rng.random(len(some)) * sums[:, -1])[:, None]).sum(axis=1)
+            tables[some] = 1 + (sums < (chance[some] * sums[:, -1])[:, None]).sum(axis=1)
         for cell in cells if c > SMALL else ():
             low, p = _tables_of_large(c, float(m[cell]), discount)
             sums = p.cumsum()
-            tables[cell] = low + np.searchsorted(sums, rng.random() * sums[-1], side="right")
+            tables[cell] = low + np.searchsorted(sums, chance[cell] * sums[-1], side="right")
     return tables
 
 
-def _seat(words: DataFrame, totals: dict) -> DataFrame:
-    """words with the sampled tables: t (sweeps x classes) and t0 (sweeps), packed."""
-    import pyarrow as pa
-
-    distinct, contexts = np.array(totals["distinct"], dtype=np.float64), np.array(totals["contexts"], dtype=np.float64)
-    d, d0, known = totals["d"], totals["d0"], max(1, totals["V"])
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = np.stack([b.column(1 + c).to_numpy() for c in range(CLASSES)], axis=1)
-            rng = np.random.default_rng([int(n.sum()), len(n)])
-            word, cls = np.nonzero(n)
-            c, p0 = n[word, cls], np.maximum(n.sum(axis=1), 1) / max(1, contexts.sum())
-            own = np.maximum(np.bincount(cls, minlength=CLASSES), 1)
-            t_all, kept, kept0 = distinct.copy(), [], []
-            for _ in range(SWEEPS):
-                t = draw_tables(c, (STRENGTH + d * t_all[cls]) * p0[word], d, rng)
-                t_all = np.bincount(cls, weights=t, minlength=CLASSES) * distinct / own
-                c0 = np.bincount(word, weights=t, minlength=len(n)).astype(np.int64)
-                total0 = max(1.0, t_all.sum())
-                t0 = draw_tables(c0, np.full(len(n), (STRENGTH + d0 * known) / known), d0, rng)
-                t0 = np.where(c0 > 0, t0, 0)
-                p0 = np.maximum((c0 - d0 * t0 + (STRENGTH + d0 * known) / known) / (STRENGTH + total0), 1e-300)
-                grid = np.zeros_like(n, dtype=np.int32)
-                grid[word, cls] = t
-                kept.append(grid)
-                kept0.append(t0.astype(np.int32))
-            t, t0 = np.stack(kept, axis=1), np.stack(kept0, axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in t0], pa.binary())], names=[*b.schema.names, "t", "t0"])
-
-    from pyspark.sql import types as T
-
-    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("t", T.BinaryType()), T.StructField("t0", T.BinaryType())]))
-
-
-def _tables(seated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of each sweep and class, and of the parent, over all tokens."""
-    import pyarrow as pa
-
-    def run(batches):
-        t, t0 = np.zeros((SWEEPS, CLASSES), dtype=np.int64), np.zeros(SWEEPS, dtype=np.int64)
-        for b in batches:
-            if b.num_rows:
-                t += np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.int32).reshape(-1, SWEEPS, CLASSES).sum(axis=0)
-                t0 += np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.int32).reshape(-1, SWEEPS).sum(axis=0)
-        flat = np.concatenate((t.ravel(), t0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["k", "n"])
-
-    sums = {r.k: r.n for r in seated.select("t", "t0").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    flat = np.array([sums.get(k, 0) for k in range(SWEEPS * (CLASSES + 1))], dtype=np.float64)
-    return flat[: SWEEPS * CLASSES].reshape(SWEEPS, CLASSES), flat[SWEEPS * CLASSES :]
-
-
-def _escapes(totals: dict, tables, tables0):
-    """For each sweep: what the parent, and the root, leave to their base."""
-    contexts = np.array(totals["contexts"], dtype=np.float64)
-    up = (STRENGTH + totals["d"] * tables) / (STRENGTH + contexts)
-    up0 = (STRENGTH + totals["d0"] * tables0) / (STRENGTH + tables.sum(axis=1))
-    return up, up0
-
-
-def _parts(n: np.ndarray, t: np.ndarray, t0: np.ndarray, totals: dict, tables, tables0) -> tuple[np.ndarray, np.ndarray]:
-    """For each token (row): what each context knows of it itself, averaged over
-    sweeps, and the parent's predictive probability in each sweep."""
-    _, up0 = _escapes(totals, tables, tables0)
-    contexts, unknown = np.array(totals["contexts"], dtype=np.float64), totals["unknown"]
-    base = np.where(n.sum(axis=1) > 0, (1 - unknown) / max(1, totals["V"]), unknown)
-    own = np.maximum(n - totals["d"] * t.mean(axis=1), 0) / (STRENGTH + contexts)
-    p0 = np.maximum(t.sum(axis=2) - totals["d0"] * t0, 0) / (STRENGTH + tables.sum(axis=1)) + up0 * base[:, None]
-    return own, p0
-
-
-def _probabilities(n: np.ndarray, t: np.ndarray, t0: np.ndarray, totals: dict, tables, tables0) -> np.ndarray:
-    """Predictive probability of each token (row) in each context, averaged over sweeps."""
-    own, p0 = _parts(n, t, t0, totals, tables, tables0)
-    up, _ = _escapes(totals, tables, tables0)
-    return own + p0 @ up / SWEEPS
-
-
-def _draw_cells(cells: DataFrame, discount: float) -> DataFrame:
-    """(u, w, c, t) of bigram cells (u, w, c, mass), drawn anew."""
-    import pyarrow as pa
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                c, mass = b.column(2).to_numpy(), b.column(3).to_numpy()
-                t = draw_tables(c, mass, discount, np.random.default_rng([int(c.sum()), len(c)]))
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(t)], names=["u", "w", "c", "t"])
-
-    return cells.mapInArrow(run, "u long, w long, c long, t long")
-
-
 def _discount(once: int, twice: int) -> float:
-    return float(np.clip(once / max(1, once + 2 * twice), 0.1, 0.95))
+    return round(float(np.clip(once / max(1, once + 2 * twice), 0.1, 0.95)), 6)
+
+
+def _numbered(words: DataFrame) -> DataFrame:
+    """words (word, c) with ``id``: places by falling count, then by word."""
+    by = [F.desc("c"), F.asc("word")]
+    held = materialize(words.repartitionByRange(*by).sortWithinPartitions(*by).select("word", "c", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    # A row for each partition.
+    sizes = held.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    placed = held.withColumn("part", part).join(F.broadcast(starts), "part")
+    return placed.select("word", "c", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
+
+
+def _parts_of(u: np.ndarray, w: np.ndarray, cu: np.ndarray, parts: int, train_tokens: int) -> np.ndarray:
+    """The part of each pair; a context with more than a quarter of a part's tokens is spread over several."""
+    pieces = (1 + 4 * parts * cu.astype(np.float64) / max(1, train_tokens)).astype(np.uint64)
+    return ((_mixed(u) + _mixed(w + np.uint64(7)) % pieces) % np.uint64(parts)).astype(np.int32)
+
+
+def _asked(token: np.ndarray, ids: np.ndarray, c: np.ndarray, parts: int, train_tokens: int):
+    """A block's distinct pairs of numbers: (key, part) in order of part and key,
+    the place of each token's pair among them, and the context's count."""
+    # Each text ends with the end token, so a block's last is one.
+    local = _pairs(token, int(token[-1]))
+    pair, inverse = np.unique(local, return_inverse=True)
+    before, last = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    key = ids[before].astype(np.uint64) << np.uint64(32) | ids[last].astype(np.uint64)
+    part = _parts_of(ids[before].astype(np.uint64), ids[last].astype(np.uint64), c[before], parts, train_tokens)
+    order = np.lexsort((key, part))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return key[order], part[order], place[inverse], c[before][order], before[order], last[order]
+
+
+def _pack_keys(key: np.ndarray, cu: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted keys: contexts, with their counts and numbers of pairs, and tokens."""
+    u = (key >> np.uint64(32)).astype(np.uint32)
+    starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))) if len(u) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.append(starts, len(u))).astype(np.uint32)
+    return _packed(np.diff(u[starts], prepend=np.uint32(0)), sizes, cu[starts].astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), *more)
+
+
+def _unpack_keys(value: bytes):
+    steps, sizes, cu, w, *more = _unpacked(value)
+    u = np.repeat(np.cumsum(steps, dtype=np.uint64), sizes)
+    return u << np.uint64(32) | w.astype(np.uint64), np.repeat(cu, sizes), *more
+
+
+def _grouped(batches, columns: int):
+    """(value of the first column, rows) for each run of equal values, rows as lists of the others."""
+    from pyarrow.types import is_binary
+
+    now, rows = None, []
+    for b in batches:
+        for key, *rest in zip(*(c if is_binary(c.type) else c.to_pylist() for c in b.columns[:columns])):
+            if rows and key != now:
+                yield now, rows
+                rows = []
+            now = key
+            rows.append(rest)
+    if rows:
+        yield now, rows
 
 
 def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -382,68 +314,30 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
 
     The model and the base learn from rows where ``training`` holds; all rows
     are scored. Null texts are empty: one end token. Rows with null or repeated
-    keys are scored like others. If no row trains, every token is unknown.
+    keys are scored like others, equal texts alike. Scores do not depend on the
+    order or partitions of docs, but for rounding. If no row trains, every token
+    is unknown. Other columns take no part; no rows, no rows.
     """
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
+    keys_type = to_arrow_type(docs.schema[key].dataType)
+    free = spark.sparkContext._jvm.System.gc  # frees the files of shuffles that are done with
 
-    kind = docs.schema[key].dataType.simpleString()
     blocks = materialize(_blocks(docs, key, text, training))
-    tokens, pairs = blocks.where("word IS NOT NULL"), blocks.where("u IS NOT NULL")
-    # Hashes are those of the blocks.
-    words = materialize(tokens.groupBy("word").agg(F.sum("n").alias("c")).withColumn("w", F.xxhash64("word")))
+    tokens, texts = blocks.where("at >= 0").select("block", "at", "word", "n"), blocks.where("at < 0").select("block", "at", "keys", "texts")
+    words = materialize(_numbered(tokens.groupBy("word").agg(F.sum("n").alias("c"))))
     seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("V"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"), F.count_if(F.col("c") == 0).alias("new")).first()
-    train_tokens = seen.n
+    train_tokens, known = seen.n, max(1, seen.V)
     # Unseen tokens: a lower bound from those seen once and twice, and those that are met here.
     unseen = max(1, seen.new, seen.once * (seen.once - 1) // (2 * (seen.twice + 1)))
-    cells = materialize(pairs.where("n > 0").groupBy("u", "w").agg(F.sum("n").alias("c")))
-    few = cells.agg(F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    d2 = _discount(few.once, few.twice)
-    now = cells.withColumn("t", F.lit(1).cast("long"))
-
-    def upper():
-        """Contexts; tokens with their probabilities by the parent; totals of the parent."""
-        contexts = materialize(now.groupBy("u").agg(F.sum("c").alias("cu"), F.sum("t").alias("tu")))
-        guests = now.groupBy("w").agg(F.sum("t").alias("n0"))
-        rows = materialize(words.join(guests, "w", "left").select("word", F.coalesce("n0", F.lit(0)).alias("n0"), "c", "w"))
-        n = F.col("n0")
-        sums = rows.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.count_if(n > 0).alias("V"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice")).first()
-        # The root's customers are tables of the parent, about one for each of its tokens.
-        totals = {"V": sums.V, "contexts": [sums.n], "distinct": [sums.V], "d": _discount(sums.once, sums.twice), "d0": _discount(seen.once, seen.twice)}
-        seated = materialize(_seat(rows, totals))
-        tables, tables0 = _tables(seated)
-        up, up0 = _escapes(totals, tables, tables0)
-        left = contexts.agg(F.sum(STRENGTH + d2 * F.col("tu")) if train_tokens else F.lit(1.0)).first()[0]
-        leave = min(1.0, (left or 1.0) / max(1, train_tokens))
-        # Unknown tokens together get about the share of tokens seen once.
-        totals["unknown"] = float(np.clip(seen.once / max(1, train_tokens) / max(1e-9, leave * float((up.mean(axis=0) * up0.mean()).sum())), 0.01, 0.99))
-
-        def rate(batches):
-            for b in batches:
-                if b.num_rows:
-                    n = b.column(1).to_numpy()[:, None]
-                    t = np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.int32).reshape(-1, SWEEPS, CLASSES)
-                    t0 = np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.int32).reshape(-1, SWEEPS)
-                    p = _probabilities(n, t, t0, totals, tables, tables0)[:, 0]
-                    p = np.where(n[:, 0] > 0, p, p / unseen)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(p)], names=["word", "c", "w", "p"])
-
-        return contexts, materialize(seated.mapInArrow(rate, "word binary, c long, w long, p double"))
-
-    for _ in range(ROUNDS):
-        contexts, rated = upper()
-        mass = (STRENGTH + d2 * F.col("tu")) * F.col("p")
-        now = materialize(_draw_cells(cells.join(contexts, "u").join(rated.select("w", "p"), "w").select("u", "w", "c", mass.alias("mass")), d2))
-    contexts, rated = upper()
-    leaves = (STRENGTH + d2 * F.col("tu")) / (STRENGTH + F.col("cu"))
-    known = rated.join(contexts.select(F.col("u").alias("w"), leaves.alias("leave")), "w", "left").select("word", "c", "p", F.coalesce("leave", F.lit(1.0)).alias("leave"))
-    own = now.join(contexts.select("u", "cu"), "u").select("u", "w", ((F.col("c") - d2 * F.col("t")) / (STRENGTH + F.col("cu"))).cast("float").alias("own"))
+    parts = max(1, -(-train_tokens // PART_TOKENS))
 
     def packed_rows(kinds):
         """For each block one row with its share of this partition, packed by columns."""
 
         def run(batches):
-            import zstandard as z
-
             held = [[b.column(k).to_numpy() for k in range(len(kinds) + 1)] for b in batches if b.num_rows]
             if not held:
                 return
@@ -451,71 +345,204 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
             order = np.lexsort((at, block))
             block, columns = block[order], [x[order] for x in (at, *rest)]
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            pack = z.ZstdCompressor(level=1).compress
             for a, e in zip(cuts, np.append(cuts[1:], len(block))):
-                parts = [np.array([e - a], dtype=np.int32), *(x[a:e].astype(k) for x, k in zip(columns, kinds))]
-                yield pa.RecordBatch.from_arrays([pa.array(block[a : a + 1]), pa.array([len(kinds)], pa.int32()), pa.array([pack(b"".join(x.tobytes() for x in parts))], pa.binary())], names=["block", "at", "texts"])
+                yield pa.RecordBatch.from_arrays([pa.array(block[a : a + 1]), pa.array([0], pa.int32()), pa.array([_packed(*(x[a:e].astype(k) for x, k in zip(columns, kinds)))], pa.binary())], names=["block", "at", "texts"])
 
         return run
 
-    of_tokens, of_pairs = (np.int32, np.int64, np.float64, np.float64), (np.int32, np.float32)
-    asked = tokens.select("block", "at", "word").join(known, "word").select("block", "at", "c", "p", "leave")
-    answers = asked.mapInArrow(packed_rows(of_tokens), "block long, at int, texts binary")
-    asked = pairs.select("block", "at", "u", "w").join(own, ["u", "w"]).select("block", "at", "own")
-    more = asked.mapInArrow(packed_rows(of_pairs), "block long, at int, texts binary")
-    packed = blocks.where("at < 0").select("block", "at", "texts", "keys")
-    dealt = packed.unionByName(answers, allowMissingColumns=True).unionByName(more, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "at")
-    denominator = train_tokens + seen.V + 1
-
-    def finish(held_block):
-        import zstandard as z
-
-        (keys, texts), rows = held_block
-        unpack = z.ZstdDecompressor().decompress
-        length, held, token = _unpacked(unpack(texts))
-        size = int(token.max()) + 1
-        # Each text ends with the end token, so the block's last is one.
-        pair, inverse = np.unique(_pairs(token, int(token[-1])), return_inverse=True)
-        c, p, leave, own = np.zeros(size, dtype=np.int64), np.zeros(size), np.ones(size), np.zeros(len(pair))
-        for which, raw in rows:
-            raw = unpack(raw)
-            n, place, got = int(np.frombuffer(raw, np.int32, 1)[0]), 4, []
-            for k in of_tokens if which == len(of_tokens) else of_pairs:
-                got.append(np.frombuffer(raw, k, n, place))
-                place += n * np.dtype(k).itemsize
-            if which == len(of_tokens):
-                c[got[0]], p[got[0]], leave[got[0]] = got[1:]
-            else:
-                own[got[0]] = got[1]
-        before, last = pair >> 32, pair & 0xFFFFFFFF
-        log_p = np.log10(np.maximum(own + leave[before] * p[last], 1e-300))
-        starts = np.cumsum(length, dtype=np.int64) - length
-        sums = lambda x: np.add.reduceat(x, starts)
-        columns = [
-            pa.array(keys, keys_type), pa.array(held), pa.array(length.astype(np.int64)), pa.array(sums((c > 0).astype(np.int64)[token])), pa.array(np.full(len(length), train_tokens, dtype=np.int64)),
-            pa.array(sums(np.log10((c + 1) / denominator)[token])), pa.array(sums(log_p[inverse])),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+    def with_texts(*answers: DataFrame) -> DataFrame:
+        """Blocks one after another: texts first, then what was answered."""
+        out = texts
+        for a in answers:
+            out = out.unionByName(a, allowMissingColumns=True)
+        return out.select("block", "at", "texts", "keys").repartition("block").sortWithinPartitions("block", "at")
+
+    def columns_of(rows, size: int, kinds) -> list[np.ndarray]:
+        """Columns by token out of packed rows."""
+        out = [np.zeros(size, dtype=k) for k in kinds[1:]]
+        for _, value, _ in rows:
+            at, *got = _unpacked(value.as_py())
+            for x, y in zip(out, got):
+                x[at] = y
+        return out
+
+    numbers = (np.int32, np.int64, np.int64)
+    of_tokens = tokens.join(words, "word").select("block", "at", "id", "c").mapInArrow(packed_rows(numbers), "block long, at int, texts binary")
+
+    def ask(batches):
+        for block, rows in _grouped(batches, 4):
+            length, held, token = _unpacked(rows[0][1].as_py())
+            ids, c = columns_of(rows[1:], int(token.max()) + 1, numbers)
+            key_, part, place, cu, *_ = _asked(token, ids, c, parts, train_tokens)
+            n = np.bincount(place[np.repeat(held == 0, length)], minlength=len(key_)).astype(np.int32)
+            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            for a, e in zip(cuts, np.append(cuts[1:], len(part))):
+                value = _pack_keys(key_[a:e], cu[a:e], n[a:e])
+                yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1]), pa.array([ASKS], pa.int32()), pa.array([block], pa.int64()), pa.array([value], pa.binary())], names=["part", "kind", "block", "value"])
+
+    rows_of_parts = "part int, kind int, block long, value binary"
+    asks = with_texts(of_tokens).mapInArrow(ask, rows_of_parts)
+
+    def add_up(batches):
+        """Every ask as it came, and the cells of each part: pairs that training saw."""
+        for part, rows in _grouped(batches, 4):
+            keys, sizes, counts = [], [], []
+            for _, block, value in rows:
+                k, cu, n = _unpack_keys(value.as_py())
+                keys.append(k[n > 0])
+                sizes.append(cu[n > 0])
+                counts.append(n[n > 0])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([ASKS], pa.int32()), pa.array([block], pa.int64()), pa.array([value.as_py()], pa.binary())], names=["part", "kind", "block", "value"])
+            k, n, cu = np.concatenate(keys), np.concatenate(counts), np.concatenate(sizes)
+            order = np.argsort(k, kind="stable")
+            k, n, cu = k[order], n[order], cu[order]
+            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, dtype=np.int64)
+            c = np.add.reduceat(n.astype(np.int64), starts) if len(k) else np.zeros(0, dtype=np.int64)
+            value = _pack_keys(k[starts], cu[starts], c)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([CELLS], pa.int32()), pa.array([-1], pa.int64()), pa.array([value], pa.binary())], names=["part", "kind", "block", "value"])
+
+    parted = materialize(asks.repartition("part").sortWithinPartitions("part", "block").mapInArrow(add_up, rows_of_parts))
+    free()
+    summed = parted.where(F.col("kind") == CELLS).select("part", "value")
+
+    def several(batches):
+        """Cells of more than one customer."""
+        for b in batches:
+            for part, value in zip(b.column(0).to_pylist(), b.column(1)):
+                k, _, c = _unpack_keys(value.as_py())
+                k, c = k[c > 1], c[c > 1]
+                for a in range(0, len(k), 65536):
+                    x = k[a : a + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), part, dtype=np.int32)), pa.array((x >> np.uint64(32)).astype(np.int64)), pa.array((x & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(c[a : a + 65536])], names=["part", "u", "w", "c"])
+
+    def alone(batches):
+        """Cells of one customer: how many each context (side 0) and each token (side 1) of a part has."""
+        for b in batches:
+            for value in b.column(1):
+                k, _, c = _unpack_keys(value.as_py())
+                for side, x in enumerate((k[c == 1] >> np.uint64(32), k[c == 1] & np.uint64(0xFFFFFFFF))):
+                    ids, n = np.unique(x, return_counts=True)
+                    for a in range(0, len(ids), 65536):
+                        some = ids[a : a + 65536].astype(np.int64)
+                        part = n[a : a + 65536]
+                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(part * (side == 0)), pa.array(part * (side == 1))], names=["id", "as_u", "as_w"])
+
+    cells = materialize(summed.mapInArrow(several, "part int, u long, w long, c long"))
+    singles = materialize(summed.mapInArrow(alone, "id long, as_u long, as_w long").groupBy("id").agg(F.sum("as_u").alias("as_u"), F.sum("as_w").alias("as_w")))
+    entries = materialize(words.join(singles, "id", "left").select("id", "c", F.coalesce("as_u", F.lit(0)).alias("as_u"), F.coalesce("as_w", F.lit(0)).alias("as_w")))
+    few = entries.agg(F.coalesce(F.sum("as_u"), F.lit(0)).alias("once")).first()
+    d2 = _discount(few.once, cells.where("c = 2").count())
+    release(singles)
+    free()
+
+    now, tables0 = cells.select("part", "u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("ts")), float(known)
+    kept: list[DataFrame] = []
+    for sweep in range(BURN + KEEP + 1):
+        # Tables of each context, and customers of the parent: one for each table of a cell.
+        of_u, of_w = now.groupBy(F.col("u").alias("id")).agg(F.sum("t").alias("tu")), now.groupBy(F.col("w").alias("id")).agg(F.sum("t").alias("tw"))
+        joined = entries.join(of_u, "id", "left").join(of_w, "id", "left")
+        upper = materialize(joined.select("id", "c", (F.col("as_u") + F.coalesce("tu", F.lit(0))).alias("tu"), (F.col("as_w") + F.coalesce("tw", F.lit(0))).alias("n0")))
+        n = F.col("n0")
+        sums = upper.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice"), F.coalesce(F.sum("tu"), F.lit(0)).alias("tu"), F.count_if(F.col("c") > 0).alias("contexts")).first()
+        d0 = _discount(sums.once, sums.twice)
 
-    keys_type = to_arrow_type(docs.schema[key].dataType)
+        def seat(batches, mass=(STRENGTH + d0 * tables0) / known, d0=d0, sweep=sweep):
+            for b in batches:
+                if b.num_rows:
+                    n0 = b.column(3).to_numpy()
+                    t = draw_tables(n0, np.full(len(n0), mass), d0, chances(b.column(0).to_numpy(), 1000 + sweep))
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(n0 > 0, t, 0))], names=["id", "c", "tu", "n0", "t0"])
+
+        seated = materialize(upper.mapInArrow(seat, "id long, c long, tu long, n0 long, t0 long"))
+        tables0 = float(seated.agg(F.coalesce(F.sum("t0"), F.lit(0))).first()[0])
+        escape = (STRENGTH + d0 * tables0) / (STRENGTH + sums.n)
+        leave = min(1.0, (STRENGTH * sums.contexts + d2 * sums.tu) / max(1, train_tokens) if train_tokens else 1.0)
+        # Unknown tokens together get about the share of tokens seen once.
+        unknown = float(np.clip(seen.once / max(1, train_tokens) / max(1e-9, leave * escape), 0.01, 0.99))
+        own = F.greatest(n - d0 * F.col("t0"), F.lit(0.0)) / (STRENGTH + sums.n)
+        p = F.when(F.col("c") > 0, own + escape * (1 - unknown) / known).otherwise(escape * unknown / unseen)
+        rated = materialize(seated.select("id", "tu", p.alias("p"), ((STRENGTH + d2 * F.col("tu")) / (STRENGTH + F.col("c"))).alias("leave")))
+        release(upper, seated)
+        if sweep > BURN:
+            kept.append(rated)
+        if sweep == BURN + KEEP:
+            break
+
+        def draw(batches, sweep=sweep):
+            for b in batches:
+                if b.num_rows:
+                    u, w, c, mass, ts = (b.column(k).to_numpy() for k in range(1, 6))
+                    t = draw_tables(c, mass, d2, chances(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), sweep))
+                    yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(t), pa.array(ts + t * (sweep >= BURN))], names=["part", "u", "w", "c", "t", "ts"])
 
-    def gather(batches):
-        """Blocks come one after another, each with its texts first and then its tokens and pairs."""
-        now = None
-        for b in batches:
-            for at, texts, keys in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
-                if at < 0:
-                    if now:
-                        yield finish(now)
-                    now = (keys.as_py(), texts.as_py()), []
+        mass = (STRENGTH + d2 * F.col("tu")) * F.col("p")
+        of_u, of_w = rated.select(F.col("id").alias("u"), "tu"), rated.select(F.col("id").alias("w"), "p")
+        then = materialize(now.join(of_u, "u").join(of_w, "w").select("part", "u", "w", "c", mass.alias("mass"), "ts").mapInArrow(draw, "part int, u long, w long, c long, t long, ts long"))
+        release(now if sweep else cells, *([rated] if sweep <= BURN else []))
+        now = then
+        free()
+
+    average = kept[0].select("id", "p", "leave")
+    for more in kept[1:]:
+        average = average.join(more.select("id", F.col("p").alias("q"), F.col("leave").alias("l")), "id").select("id", (F.col("p") + F.col("q")).alias("p"), (F.col("leave") + F.col("l")).alias("leave"))
+    scored_words = materialize(words.join(average, "id").select("word", "id", "c", (F.col("p") / KEEP).alias("p"), F.when(F.col("c") > 0, F.col("leave") / KEEP).otherwise(F.lit(1.0)).cast("float").alias("leave")))
+
+    def pack_tables(batches):
+        held = [[b.column(k).to_numpy() for k in range(4)] for b in batches if b.num_rows]
+        if not held:
+            return
+        part, u, w, ts = (np.concatenate(x) for x in zip(*held))
+        k = u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)
+        order = np.lexsort((k, part))
+        part, k, ts = part[order], k[order], ts[order]
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        for a, e in zip(cuts, np.append(cuts[1:], len(part))):
+            value = _pack_keys(k[a:e], np.zeros(e - a, dtype=np.int64), ts[a:e].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1].astype(np.int32)), pa.array([TABLES], pa.int32()), pa.array([-1], pa.int64()), pa.array([value], pa.binary())], names=["part", "kind", "block", "value"])
+
+    def answer(batches):
+        """What the context itself knows of each pair, in the order of the ask."""
+        for part, rows in _grouped(batches, 4):
+            own = keys = None
+            for k, block, value in rows:
+                if k == CELLS:
+                    keys, cu, c = _unpack_keys(value.as_py())
+                    own = ((c - d2) / (STRENGTH + cu)).astype(np.float32)
+                elif k == TABLES:
+                    seated, _, ts = _unpack_keys(value.as_py())
+                    at = np.searchsorted(keys, seated)
+                    own[at] = (c[at] - d2 * ts / KEEP) / (STRENGTH + cu[at])
                 else:
-                    now[1].append((at, texts.as_py()))
-        if now:
-            yield finish(now)
+                    asked, *_ = _unpack_keys(value.as_py())
+                    at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+                    got = np.where(keys[at] == asked, own[at], np.float32(0)) if len(keys) else np.zeros(len(asked), dtype=np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1 + part], pa.int32()), pa.array([_packed(got)], pa.binary())], names=["block", "at", "texts"])
+
+    both = parted.unionByName(now.select("part", "u", "w", "ts").mapInArrow(pack_tables, rows_of_parts))
+    replies = both.repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(answer, "block long, at int, texts binary")
+    rates = (np.int32, np.int64, np.int64, np.float64, np.float32)
+    of_tokens = tokens.join(scored_words, "word").select("block", "at", "id", "c", "p", "leave").mapInArrow(packed_rows(rates), "block long, at int, texts binary")
+    denominator = train_tokens + seen.V + 1
 
-    scored = dealt.mapInArrow(gather, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def finish(batches):
+        for _, rows in _grouped(batches, 4):
+            length, held, token = _unpacked(rows[0][1].as_py())
+            ids, c, p, leave = columns_of([r for r in rows[1:] if r[0] == 0], int(token.max()) + 1, rates)
+            _, part, place, _, before, last = _asked(token, ids, c, parts, train_tokens)
+            own = np.zeros(len(part), dtype=np.float32)
+            for at, value, _ in rows[1:]:
+                if at:
+                    own[slice(*np.searchsorted(part, (at - 1, at)))] = _unpacked(value.as_py())[0]
+            log_p = np.log10(np.maximum(own + leave[before].astype(np.float64) * p[last], 1e-300))
+            starts = np.cumsum(length, dtype=np.int64) - length
+            sums = lambda x: np.add.reduceat(x, starts)
+            columns = [
+                pa.array(rows[0][2], keys_type), pa.array(held > 0), pa.array(length.astype(np.int64)), pa.array(sums((c > 0).astype(np.int64)[token])), pa.array(np.full(len(length), train_tokens, dtype=np.int64)),
+                pa.array(sums(np.log10((c + 1) / denominator)[token])), pa.array(sums(log_p[place])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    scored = with_texts(of_tokens, replies).mapInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
