@@ -37,13 +37,21 @@ _STEP = 1 << 20
 
 
 @lru_cache(maxsize=1)
-def _not_letters():
-    """Matches runs of characters that are no letters: numbers that are no digits count as word characters too."""
+def _numbers() -> np.ndarray:
+    """By code point, whether a character is a number that is no digit: those count as word characters too."""
+    return np.array([c.isnumeric() and not c.isalpha() and not c.isdecimal() for c in map(chr, range(0x110000))])
+
+
+def _code_points(text: str) -> np.ndarray:
+    """Lower-cased letters of a text, runs of all else as one space each, and one at both ends."""
     import re
-    import sys
 
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[\W\d_{numbers}]+")
+    plain = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+    c = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not plain.isascii() and (number := _numbers()[c]).any():
+        c = np.where(number, np.uint32(32), c)
+        c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
+    return c
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +62,12 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """
     out = np.zeros((len(texts), DIM), dtype=np.float32)
     letters = np.zeros(len(texts), dtype=np.int64)
-    other = _not_letters()
     for row, text in enumerate(texts):
-        plain = other.sub(" ", f" {(text or '').lower()} ")
-        letters[row] = len(plain) - plain.count(" ")
+        c = _code_points(text or "")
+        letters[row] = np.count_nonzero(c != 32)
         if not letters[row]:
             continue
-        c = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        c = c.astype(np.uint64)
         total = np.zeros(DIM, dtype=np.int64)
         for at in range(0, len(c), _STEP):
             p = c[at : at + _STEP + 2]
