@@ -4,11 +4,18 @@ from pyspark.sql import functions as F
 from tableguard import CoercionError, ErrorReportConfig, FrameShapeError, SchemaModel, SchemaResolutionError, default_registry, read_csv, validate
 from tableguard.plans.validate import NullabilityError
 
+# Ten public rows of the Titanic's passengers.
 TITANIC = '''PassengerId,Survived,Pclass,Name,Sex,Age,SibSp,Parch,Ticket,Fare,Cabin,Embarked
-1,0,3,"Braund, Mr. Owen",male,22,1,0,A/5 21171,7.25,,S
-2,1,1,"Cumings, Mrs. ""John""",female,38,1,0,PC 17599,71.2833,C85,C
-3,1,3,"Heikkinen, Miss",female,26,0,0,STON/O2,7.925,,S
+1,0,3,"Braund, Mr. Owen Harris",male,22,1,0,A/5 21171,7.25,,S
+2,1,1,"Cumings, Mrs. John Bradley (Florence Briggs Thayer)",female,38,1,0,PC 17599,71.2833,C85,C
+3,1,3,"Heikkinen, Miss. Laina",female,26,0,0,STON/O2. 3101282,7.925,,S
+4,1,1,"Futrelle, Mrs. Jacques Heath (Lily May Peel)",female,35,1,0,113803,53.1,C123,S
+5,0,3,"Allen, Mr. William Henry",male,35,0,0,373450,8.05,,S
 6,0,3,"Moran, Mr. James",male,,0,0,330877,8.4583,,Q
+7,0,1,"McCarthy, Mr. Timothy J",male,54,0,0,17463,51.8625,E46,S
+8,0,3,"Palsson, Master. Gosta Leonard",male,2,3,1,349909,21.075,,S
+9,1,3,"Johnson, Mrs. Oscar W (Elisabeth Vilhelmina Berg)",female,27,0,2,347742,11.1333,,S
+10,1,2,"Nasser, Mrs. Nicholas (Adele Achem)",female,14,1,0,237736,30.0708,,C
 '''
 
 
@@ -35,22 +42,30 @@ POSITIVE = {"dtype": "Int64", "nullable": True, "checks": [{"name": "positive"}]
 def test_titanic(spark, tmp_path):
     (tmp_path / "t.csv").write_text(TITANIC)
     steps = lambda *names: [{"name": n} for n in names]
+    count = lambda name, **more: {"dtype": "Int64", "synonyms": [name], "parsers": steps("strip", "to_int")} | more
+    listed = lambda *values: [{"name": "in_list", "args": {"values": list(values)}}]
     columns = {
-        "passenger_id": {"dtype": "Int64", "synonyms": ["PassengerId"], "parsers": steps("strip", "to_int"), "checks": steps("unique")},
-        "survived": {"dtype": "Int64", "synonyms": ["Survived"], "parsers": steps("strip", "to_int"), "checks": [{"name": "in_list", "args": {"values": [0, 1]}}]},
+        "passenger_id": count("PassengerId", checks=steps("unique")),
+        "survived": count("Survived", checks=listed(0, 1)),
+        "pclass": count("Pclass", checks=listed(1, 2, 3)),
         "name": {"dtype": "Utf8", "synonyms": ["Name"], "parsers": steps("strip")},
-        "sex": {"dtype": "Utf8", "synonyms": ["Sex"], "parsers": steps("strip", "lower"), "checks": [{"name": "in_list", "args": {"values": ["male", "female"]}}]},
+        "sex": {"dtype": "Utf8", "synonyms": ["Sex"], "parsers": steps("strip", "lower"), "checks": listed("male", "female")},
         "age": {"dtype": "Float64", "synonyms": ["Age"], "nullable": True, "required": False, "parsers": steps("strip", "to_float"), "checks": [{"name": "between", "args": {"min": 0, "max": 100}}]},
+        "siblings_spouses": count("SibSp", checks=steps("min_zero")),
+        "parents_children": count("Parch", checks=steps("min_zero")),
+        "ticket": {"dtype": "Utf8", "synonyms": ["Ticket"], "parsers": steps("strip")},
         "fare": {"dtype": "Float64", "synonyms": ["Fare"], "parsers": steps("strip", "to_float"), "checks": steps("min_zero")},
-        "cabin": {"dtype": "Utf8", "synonyms": ["Cabin"], "nullable": True, "required": False},
+        "cabin": {"dtype": "Utf8", "synonyms": ["Cabin"], "nullable": True, "required": False, "parsers": steps("strip")},
+        "embarked": {"dtype": "Utf8", "synonyms": ["Embarked"], "parsers": steps("strip", "upper"), "checks": listed("C", "Q", "S")},
     }
     schema = model(columns, coerce=False, frame_parsers=[{"name": "strip_all_strings"}])
     got = validate(read_csv(tmp_path / "t.csv", schema), schema, default_registry(), lazy=False, coerce_strategy="null_on_failure")
     assert rows(got.errors) == [("age", "between", 1)]
-    assert (got.report.rows_valid, got.report.rows_processed) == (3, 4)
-    assert {c: (s.original_null_count, s.final_null_count, s.nullified) for c, s in got.report.columns.items() if s.original_null_count} == {"age": (1, 1, 0), "cabin": (3, 3, 0)}
-    assert got.data.select("name").first()[0] == "Braund, Mr. Owen" and dict(got.data.dtypes)["age"] == "double"
-    assert got.data.columns[2] == "Pclass"
+    assert (got.report.rows_valid, got.report.rows_processed) == (9, 10)
+    assert {c: (s.original_null_count, s.final_null_count, s.nullified) for c, s in got.report.columns.items() if s.original_null_count} == {"age": (1, 1, 0), "cabin": (7, 7, 0)}
+    assert all(s.column_name == c for c, s in got.report.columns.items())
+    assert got.data.select("name").first()[0] == "Braund, Mr. Owen Harris" and dict(got.data.dtypes)["age"] == "double"
+    assert got.data.columns == list(columns)
 
 
 def test_patient(spark, tmp_path):
