@@ -26,3 +26,29 @@ def test_functions_travel_by_value():
 
 def gray_code() -> bytes:
     return simhash.gray_rank.__code__.co_code
+
+
+def test_fresh_names():
+    assert common.fresh("key", ["a"]) == "_key" and common.fresh("key", ["_KEY", "_key0"]) == "_key1"
+
+
+def test_release_deletes_only_what_was_written_here(spark, tmp_path):
+    df = common.materialize(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://")
+    spark.range(3).write.parquet(f"{tmp_path}/mine")
+    common.release(df, spark.read.parquet(f"{tmp_path}/mine"))
+    import os
+
+    assert not os.path.exists(path) and os.path.isdir(f"{tmp_path}/mine")
+
+
+def test_no_local_folder_on_a_cluster():
+    """Without a named folder, only a session on this machine gets a temporary one."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    unset = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True)))
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(_jsc=unset, master="spark://a:7077"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)

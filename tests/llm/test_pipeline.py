@@ -95,6 +95,27 @@ def test_run(spark, data):
     assert got.count() > 0 and {"doc_id", "text", "copy", "shard", "words"} <= set(got.columns)
 
 
+def test_empty_documents_and_names_that_clash(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    odd = docs.where("doc_id < 60").selectExpr("*", *(f"cast(doc_id AS int) AS {n}" for n in ("_key", "_own", "_h", "score", "ambiguous", "fp", "_row")))
+    for now in (docs.limit(0), odd):
+        for name, stage in corpus_pipeline.STAGES:
+            then = materialize(stage(spark, now, data))
+            assert name == "mix" or then.columns == now.columns
+            if now is not odd and docs.columns == now.columns:
+                assert then.count() == 0
+            elif name != "mix":
+                assert all(r._key == r._own == r._h == r.score == r.ambiguous == r.fp == r._row == r.doc_id for r in then.collect())
+            now = then
+
+
+def test_corpus_without_labels_stays(spark, data):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(20).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, docs, data).count() == 20
+
+
 def test_registered():
     names = queries.queries()
     assert [next(n for n in names if n.startswith(f"op{k}_")) for k in range(1, 11)]
