@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.builtins import ROW_INDEX
 
 _AT, _PART = "__tableguard_at__", "__tableguard_part__"
+PARTITIONS_IN_A_LITERAL = 2000
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -41,8 +42,8 @@ def _nodes(df: DataFrame):
 def with_row_index(df: DataFrame) -> DataFrame:
     """df with ROW_INDEX: 0, 1, ... in the order of partitions and their rows.
 
-    A first job counts rows by partition; offsets, one row for each partition,
-    are broadcast, so no row is shuffled. Rows must come in the same partitions
+    A first job counts rows by partition; offsets, one for each partition, come
+    as a literal, or are broadcast where there are very many, so no row is shuffled. Rows must come in the same partitions
     each time df is computed; see ``settled``.
     """
     numbered = df.withColumn(_AT, F.monotonically_increasing_id())
@@ -52,6 +53,11 @@ def with_row_index(df: DataFrame) -> DataFrame:
     for r in sorted(sizes):
         offsets.append((r[0], total))
         total += r[1]
+    if offsets and offsets[-1][0] < PARTITIONS_IN_A_LITERAL:
+        start = dict(offsets)
+        at = F.lit([start.get(p, 0) for p in range(offsets[-1][0] + 1)])
+        index = F.get(at, part.cast("int")) + F.col(_AT).bitwiseAND(F.lit((1 << 33) - 1))
+        return numbered.select(*(F.col(_quoted(c)) for c in df.columns), index.cast("long").alias(ROW_INDEX))
     starts = df.sparkSession.createDataFrame(offsets, f"{_PART} long, __tableguard_start__ long")
     joined = numbered.withColumn(_PART, part).join(F.broadcast(starts), _PART, "left")
     index = F.col("__tableguard_start__") + F.col(_AT).bitwiseAND(F.lit((1 << 33) - 1))

@@ -213,6 +213,17 @@ def test_partitioning_does_not_matter(spark):
         assert cells.data.where("a IS NULL").count() == counts.report.columns["a"].nullified == sum(1 for r in got if r[0] == "a")
 
 
+@pytest.mark.parametrize("literal", [0, 2000])
+def test_row_index_of_many_partitions(spark, monkeypatch, literal):
+    from tableguard.operators import rowindex
+
+    monkeypatch.setattr(rowindex, "PARTITIONS_IN_A_LITERAL", literal)
+    df = spark.range(0, 500, 1, 20).where("id % 3 = 0 AND (id < 100 OR id > 200)")
+    got = rowindex.with_row_index(df).collect()
+    assert [r[1] for r in got] == list(range(len(got))) and [r.id for r in got] == sorted(r.id for r in got)
+    assert rowindex.with_row_index(df.limit(0)).dtypes == [("id", "bigint"), ("__row_index__", "bigint")]
+
+
 def test_only_shuffled_input_is_kept(spark, tmp_path):
     from tableguard.operators.rowindex import settled
 
