@@ -2,9 +2,10 @@
 
 Texts are cut into pre-tokens; a pre-token is split into pieces of a fixed
 vocabulary so that the sum of log probabilities is largest (ties: fewer
-pieces). The distinct pre-tokens of a batch are inserted in a trie, which is
-walked in byte order: the forward score of a prefix is computed once for all
-pre-tokens that begin with it, and a terminal stores the count of pieces.
+pieces). The distinct new pre-tokens of about ``TOGETHER`` are inserted in a trie,
+which is walked in byte order: the forward score of a prefix is computed once
+for all pre-tokens that begin with it, and a terminal stores the count of pieces.
+Texts hold numbers of terminals, whose counts are then added up.
 
 The vocabulary is never trained here. Its file lists byte pieces by rank, and
 a piece's probability follows from its rank by Zipf's law; all 256 single bytes
@@ -17,7 +18,10 @@ from __future__ import annotations
 
 import base64
 import math
+from collections import defaultdict
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import table
@@ -25,6 +29,7 @@ from .common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-token pattern of that vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+TOGETHER = 1 << 21
 KEPT = 1 << 19
 
 
@@ -36,7 +41,12 @@ def read_vocabulary(path: str) -> dict[bytes, float]:
     return {piece: -math.log(r + 1) - total for piece, r in ranks.items()}
 
 
-def trie_counts(tokens, pieces: dict[bytes, float], longest: int) -> dict[str, tuple[int, float]]:
+def endings(pieces) -> set[bytes]:
+    """All that a piece ends with: what is not among them cannot be the end of a longer piece."""
+    return {p[k:] for p in pieces for k in range(len(p))}
+
+
+def trie_counts(tokens, pieces: dict[bytes, float], ends: set[bytes]) -> dict[str, tuple[int, float]]:
     """(pieces, log probability) of the best split of each distinct pre-token.
 
     In byte order the trie is walked depth first: ``score`` and ``count`` hold
@@ -54,12 +64,15 @@ def trie_counts(tokens, pieces: dict[bytes, float], longest: int) -> dict[str, t
         del score[shared + 1 :], count[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
             best, fewest = -math.inf, 0
-            for start in range(max(0, end - longest), end):
-                p = find(word[start:end])
+            for start in range(end - 1, -1, -1):
+                piece = word[start:end]
+                p = find(piece)
                 if p is not None:
                     s, c = score[start] + p, count[start] + 1
                     if s > best or s == best and c < fewest:
                         best, fewest = s, c
+                elif piece not in ends:
+                    break
             score.append(best)
             count.append(fewest)
         out[token] = count[-1], score[-1]
@@ -71,31 +84,45 @@ def count_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", vocab
     """(key, n_tokens, n_pretokens, log_prob) of each row.
 
     A null text counts as an empty one: no tokens, log probability 0. Rows with
-    null or repeated keys are counted like others.
+    null or repeated keys are counted like others, and texts of any length
+    whole. Other columns take no part; no rows, no rows.
     """
     pieces = read_vocabulary(vocabulary)
     missing = [b for b in range(256) if bytes([b]) not in pieces]
     if missing:
         raise ValueError(f"{vocabulary}: bytes without a piece: {missing}")
-    sent = docs.sparkSession.sparkContext.broadcast((pieces, max(map(len, pieces))))
+    sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches):
         import pyarrow as pa
         import regex
 
-        cut = regex.compile(pattern).findall
-        known: dict[str, tuple[int, float]] = {}
+        cut, ends = regex.compile(pattern).findall, endings(sent.value)
+
+        def numbering():
+            numbers: defaultdict = defaultdict()
+            numbers.default_factory = numbers.__len__
+            return numbers, np.zeros(0, dtype=np.int64), np.zeros(0)
+
+        numbers, counts, logs = numbering()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows = [cut(t or "") for t in part.column(1).to_pylist()]
-                new = set().union(*rows) - known.keys()
-                if len(known) + len(new) > KEPT:
-                    known, new = {}, set().union(*rows)
-                known |= trie_counts(new, *sent.value)
-                found = [[known[t] for t in row] for row in rows]
-                columns = [part.column(0), pa.array([sum(x[0] for x in f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([math.fsum(x[1] for x in f) for f in found], pa.float64())]
+            texts, first, rows, held = b.column(1), 0, [], 0
+            for at in range(b.num_rows):
+                found = cut(texts[at].as_py() or "")
+                rows.append(np.fromiter(map(numbers.__getitem__, found), dtype=np.int32, count=len(found)))
+                held += len(found)
+                if held < TOGETHER and at + 1 < b.num_rows:
+                    continue
+                new = list(islice(numbers, len(counts), None))
+                split = trie_counts(new, sent.value, ends)
+                counts = np.append(counts, np.array([split[t][0] for t in new], dtype=np.int64))
+                logs = np.append(logs, np.array([split[t][1] for t in new], dtype=np.float64))
+                columns = [b.column(0).slice(first, len(rows)), pa.array([int(counts[r].sum()) for r in rows], pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array([float(logs[r].sum()) for r in rows], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "n_pretokens", "log_prob"])
+                first, rows, held = at + 1, [], 0
+                if len(numbers) > KEPT:
+                    numbers.default_factory = None  # else the numbering keeps itself alive
+                    numbers, counts, logs = numbering()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, n_pretokens long, log_prob double")
