@@ -205,7 +205,7 @@ def _ranks(keys: DataFrame) -> DataFrame:
 def _windows(ranked: DataFrame, points: DataFrame, queries: DataFrame, dim: int, mean: np.ndarray, reach: int, k: int) -> DataFrame:
     """(q, rep, dist): the best k of each query's windows, by block, made distinct."""
     placed = ranked.join(points, "rep")
-    size = int(np.clip(reach, BLOCK, MOST))
+    size = int(np.clip(reach // 8, BLOCK, MOST))
     block = lambda c: F.floor(c / size)
     last = F.lit(ranked.agg(F.max("rank")).first()[0] // size)
     own = placed.select("curve", block(F.col("rank")).alias("block"), F.lit(0).alias("asks"), "rank", "rep", "v")
