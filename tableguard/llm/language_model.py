@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release, table
 
-BLOCK_TOKENS = 5_000_000
+BLOCK_TOKENS = 3_000_000
 PART_TOKENS = 4_000_000
 BURN, KEEP = 1, 2
 #: Cells of up to so many customers are drawn from one table of Stirling numbers.
@@ -264,19 +264,33 @@ def _parts_of(u: np.ndarray, w: np.ndarray, cu: np.ndarray, parts: int, train_to
     return ((_mixed(u) + _mixed(w + np.uint64(7)) % pieces) % np.uint64(parts)).astype(np.int32)
 
 
-def _asked(token: np.ndarray, ids: np.ndarray, c: np.ndarray, parts: int, train_tokens: int):
-    """A block's distinct pairs of numbers: (key, part) in order of part and key,
-    the place of each token's pair among them, and the context's count."""
-    # Each text ends with the end token, so a block's last is one.
-    local = _pairs(token, int(token[-1]))
-    pair, inverse = np.unique(local, return_inverse=True)
-    before, last = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    key = ids[before].astype(np.uint64) << np.uint64(32) | ids[last].astype(np.uint64)
-    part = _parts_of(ids[before].astype(np.uint64), ids[last].astype(np.uint64), c[before], parts, train_tokens)
-    order = np.lexsort((key, part))
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return key[order], part[order], place[inverse], c[before][order], before[order], last[order]
+class _Asked:
+    """A block's distinct pairs of numbers in order of part and key.
+
+    ``key``, ``part``, and ``cu``, the context's count, are by pair; ``before`` and
+    ``last`` are its tokens within the block. Long arrays are made one at a time:
+    a block's pairs are most of what a task holds.
+    """
+
+    def __init__(self, token: np.ndarray, ids: np.ndarray, c: np.ndarray, parts: int, train_tokens: int):
+        # Each text ends with the end token, so a block's last is one.
+        self.local = _pairs(token, int(token[-1]))
+        pair = np.sort(self.local)
+        self.pair = pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))]
+        before, last = (pair >> np.uint64(32)).astype(np.int32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        numbers = ids.astype(np.uint64)
+        key = numbers[before] << np.uint64(32) | numbers[last]
+        part = _parts_of(numbers[before], numbers[last], c[before], parts, train_tokens)
+        order = np.lexsort((key, part))
+        self.key, self.part, self.before, self.last = key[order], part[order], before[order], last[order]
+        self.cu = c[self.before]
+        self.place = np.empty(len(order), dtype=np.int32)
+        self.place[order] = np.arange(len(order), dtype=np.int32)
+
+    def places(self, step: int = 1 << 19):
+        """For each run of tokens, the places of their pairs."""
+        for a in range(0, len(self.local), step):
+            yield a, self.place[np.searchsorted(self.pair, self.local[a : a + step])]
 
 
 def _pack_keys(key: np.ndarray, cu: np.ndarray, *more: np.ndarray) -> bytes:
@@ -373,11 +387,14 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
         for block, rows in _grouped(batches, 4):
             length, held, token = _unpacked(rows[0][1].as_py())
             ids, c = columns_of(rows[1:], int(token.max()) + 1, numbers)
-            key_, part, place, cu, *_ = _asked(token, ids, c, parts, train_tokens)
-            n = np.bincount(place[np.repeat(held == 0, length)], minlength=len(key_)).astype(np.int32)
+            trains = np.repeat(held == 0, length)
+            pairs = _Asked(token, ids, c, parts, train_tokens)
+            n, part = np.zeros(len(pairs.key), dtype=np.int32), pairs.part
+            for a, place in pairs.places():
+                np.add.at(n, place[trains[a : a + len(place)]], 1)
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             for a, e in zip(cuts, np.append(cuts[1:], len(part))):
-                value = _pack_keys(key_[a:e], cu[a:e], n[a:e])
+                value = _pack_keys(pairs.key[a:e], pairs.cu[a:e], n[a:e])
                 yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1]), pa.array([ASKS], pa.int32()), pa.array([block], pa.int64()), pa.array([value], pa.binary())], names=["part", "kind", "block", "value"])
 
     rows_of_parts = "part int, kind int, block long, value binary"
@@ -463,6 +480,7 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
         p = F.when(F.col("c") > 0, own + escape * (1 - unknown) / known).otherwise(escape * unknown / unseen)
         rated = materialize(seated.select("id", "tu", p.alias("p"), ((STRENGTH + d2 * F.col("tu")) / (STRENGTH + F.col("c"))).alias("leave")))
         release(upper, seated)
+        free()
         if sweep > BURN:
             kept.append(rated)
         if sweep == BURN + KEEP:
@@ -528,17 +546,20 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
         for _, rows in _grouped(batches, 4):
             length, held, token = _unpacked(rows[0][1].as_py())
             ids, c, p, leave = columns_of([r for r in rows[1:] if r[0] == 0], int(token.max()) + 1, rates)
-            _, part, place, _, before, last = _asked(token, ids, c, parts, train_tokens)
-            own = np.zeros(len(part), dtype=np.float32)
+            pairs = _Asked(token, ids, c, parts, train_tokens)
+            own = np.zeros(len(pairs.key), dtype=np.float32)
             for at, value, _ in rows[1:]:
                 if at:
-                    own[slice(*np.searchsorted(part, (at - 1, at)))] = _unpacked(value.as_py())[0]
-            log_p = np.log10(np.maximum(own + leave[before].astype(np.float64) * p[last], 1e-300))
+                    own[slice(*np.searchsorted(pairs.part, (at - 1, at)))] = _unpacked(value.as_py())[0]
+            by_pair = np.log10(np.maximum(own + leave[pairs.before].astype(np.float64) * p[pairs.last], 1e-300))
+            log_p = np.empty(len(token))
+            for a, place in pairs.places():
+                log_p[a : a + len(place)] = by_pair[place]
             starts = np.cumsum(length, dtype=np.int64) - length
             sums = lambda x: np.add.reduceat(x, starts)
             columns = [
                 pa.array(rows[0][2], keys_type), pa.array(held > 0), pa.array(length.astype(np.int64)), pa.array(sums((c > 0).astype(np.int64)[token])), pa.array(np.full(len(length), train_tokens, dtype=np.int64)),
-                pa.array(sums(np.log10((c + 1) / denominator)[token])), pa.array(sums(log_p[place])),
+                pa.array(sums(np.log10((c + 1) / denominator)[token])), pa.array(sums(log_p)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
