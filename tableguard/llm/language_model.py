@@ -454,6 +454,7 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
 
     now, tables0 = cells.select("part", "u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("ts")), float(known)
     kept: list[DataFrame] = []
+    levels: list[tuple[float, float, float, float]] = []
     for sweep in range(BURN + KEEP + 1):
         # Tables of each context, and customers of the parent: one for each table of a cell.
         of_u, of_w = now.groupBy(F.col("u").alias("id")).agg(F.sum("t").alias("tu")), now.groupBy(F.col("w").alias("id")).agg(F.sum("t").alias("tw"))
@@ -478,13 +479,16 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
         unknown = float(np.clip(seen.once / max(1, train_tokens) / max(1e-9, leave * escape), 0.01, 0.99))
         own = F.greatest(n - d0 * F.col("t0"), F.lit(0.0)) / (STRENGTH + sums.n)
         p = F.when(F.col("c") > 0, own + escape * (1 - unknown) / known).otherwise(escape * unknown / unseen)
-        rated = materialize(seated.select("id", "tu", p.alias("p"), ((STRENGTH + d2 * F.col("tu")) / (STRENGTH + F.col("c"))).alias("leave")))
-        release(upper, seated)
-        free()
+        release(upper)
         if sweep > BURN:
-            kept.append(rated)
+            kept.append(seated)
+            levels.append((d0, STRENGTH + sums.n, escape * (1 - unknown) / known, escape * unknown / unseen))
         if sweep == BURN + KEEP:
             break
+        rated = materialize(seated.select("id", "tu", p.alias("p")))
+        if sweep <= BURN:
+            release(seated)
+        free()
 
         def draw(batches, sweep=sweep):
             for b in batches:
@@ -496,14 +500,18 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
         mass = (STRENGTH + d2 * F.col("tu")) * F.col("p")
         of_u, of_w = rated.select(F.col("id").alias("u"), "tu"), rated.select(F.col("id").alias("w"), "p")
         then = materialize(now.join(of_u, "u").join(of_w, "w").select("part", "u", "w", "c", mass.alias("mass"), "ts").mapInArrow(draw, "part int, u long, w long, c long, t long, ts long"))
-        release(now if sweep else cells, *([rated] if sweep <= BURN else []))
+        release(now if sweep else cells, rated)
         now = then
         free()
 
-    average = kept[0].select("id", "p", "leave")
-    for more in kept[1:]:
-        average = average.join(more.select("id", F.col("p").alias("q"), F.col("leave").alias("l")), "id").select("id", (F.col("p") + F.col("q")).alias("p"), (F.col("leave") + F.col("l")).alias("leave"))
-    scored_words = materialize(words.join(average, "id").select("word", "id", "c", (F.col("p") / KEEP).alias("p"), F.when(F.col("c") > 0, F.col("leave") / KEEP).otherwise(F.lit(1.0)).cast("float").alias("leave")))
+    # Whole numbers, which pack well, go back; blocks make probabilities of them.
+    joined = words
+    for k, one in enumerate(kept):
+        joined = joined.join(one.select("id", F.col("tu").alias(f"tu{k}"), F.col("n0").alias(f"n{k}"), F.col("t0").alias(f"t{k}")), "id")
+    counts = [f"{x}{k}" for k in range(KEEP) for x in ("n", "t")]
+    scored_words = materialize(joined.select("word", "id", "c", sum((F.col(f"tu{k}") for k in range(1, KEEP)), F.col("tu0")).alias("tu"), *counts))
+    release(*kept)
+    free()
 
     def pack_tables(batches):
         held = [[b.column(k).to_numpy() for k in range(4)] for b in batches if b.num_rows]
@@ -538,20 +546,23 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
 
     both = parted.unionByName(now.select("part", "u", "w", "ts").mapInArrow(pack_tables, rows_of_parts))
     replies = both.repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(answer, "block long, at int, texts binary")
-    rates = (np.int32, np.int64, np.int64, np.float64, np.float32)
-    of_tokens = tokens.join(scored_words, "word").select("block", "at", "id", "c", "p", "leave").mapInArrow(packed_rows(rates), "block long, at int, texts binary")
+    rates = (np.int32, *[np.int64] * (3 + 2 * KEEP))
+    of_tokens = tokens.join(scored_words, "word").select("block", "at", "id", "c", "tu", *counts).mapInArrow(packed_rows(rates), "block long, at int, texts binary")
     denominator = train_tokens + seen.V + 1
 
     def finish(batches):
         for _, rows in _grouped(batches, 4):
             length, held, token = _unpacked(rows[0][1].as_py())
-            ids, c, p, leave = columns_of([r for r in rows[1:] if r[0] == 0], int(token.max()) + 1, rates)
+            ids, c, tu, *seated = columns_of([r for r in rows[1:] if r[0] == 0], int(token.max()) + 1, rates)
+            each = zip(levels, seated[0::2], seated[1::2])
+            p = sum(np.where(c > 0, np.maximum(n0 - d0 * t0, 0) / guests + base, new) for (d0, guests, base, new), n0, t0 in each) / KEEP
+            leave = np.where(c > 0, (STRENGTH + d2 * tu / KEEP) / (STRENGTH + c), 1.0)
             pairs = _Asked(token, ids, c, parts, train_tokens)
             own = np.zeros(len(pairs.key), dtype=np.float32)
             for at, value, _ in rows[1:]:
                 if at:
                     own[slice(*np.searchsorted(pairs.part, (at - 1, at)))] = _unpacked(value.as_py())[0]
-            by_pair = np.log10(np.maximum(own + leave[pairs.before].astype(np.float64) * p[pairs.last], 1e-300))
+            by_pair = np.log10(np.maximum(own + leave[pairs.before] * p[pairs.last], 1e-300))
             log_p = np.empty(len(token))
             for a, place in pairs.places():
                 log_p[a : a + len(place)] = by_pair[place]
