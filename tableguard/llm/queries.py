@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, decontamination, language, language_model, licenses, mixing, neighbours, secret_scan, simhash, token_counts, warc
+from . import clustering, decontamination, language, language_model, licenses, mixing, neighbours, phrases, secret_scan, simhash, token_counts, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_warc": warc.op9_warc,
         "op10_license_scan": licenses.op10_license_scan,
         "op12_centroids": clustering.op12_centroids,
+        "op13_collocations": phrases.op13_collocations,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_warc": warc.oracle(),
         "op10_license_scan": licenses.oracle(),
         "op12_centroids": clustering.oracle(),
+        "op13_collocations": phrases.oracle(),
     }
