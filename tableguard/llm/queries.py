@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, decontamination, language, language_model, licenses, mixing, neighbours, phrases, secret_scan, simhash, token_counts, warc
+from . import clustering, decontamination, language, language_model, licenses, mixing, neighbours, phrases, secret_scan, simhash, token_counts, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": language.op8_language_id,
         "op9_warc": warc.op9_warc,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_url_filter": url_filter.op11_url_filter,
         "op12_centroids": clustering.op12_centroids,
         "op13_collocations": phrases.op13_collocations,
     }
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": decontamination.oracle(),
         "op9_warc": warc.oracle(),
         "op10_license_scan": licenses.oracle(),
+        "op11_url_filter": url_filter.oracle(),
         "op12_centroids": clustering.oracle(),
         "op13_collocations": phrases.oracle(),
     }
