@@ -34,7 +34,7 @@ TOP = 2000
 SCALE = 1_000_000
 UNKNOWN = "und"
 PARTS = 4096
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 SUFFIXES_A_TASK = 4_000_000
 BUCKETS = 64
 #: What ends a piece of text, as an upper-case letter is lower-cased, in one translation of bytes.
