@@ -213,8 +213,9 @@ def read(manifest: DataFrame, payloads: bool = True, kind: str = "long") -> Data
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
 
-    # A number of partitions that adaptive execution leaves alone: paths are tiny, archives are not.
-    dealt = manifest.select("path").coalesce(1).repartition(max(1, manifest.count()))
+    # A partition for each path, which no exchange deals anew: paths are tiny, archives are not.
+    spark, paths = manifest.sparkSession, [(r.path,) for r in manifest.select("path").collect()]
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize(paths, max(1, len(paths))), "path string")
     found = dealt.mapInArrow(run, READ_SCHEMA)
     return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
