@@ -215,18 +215,17 @@ def scan_licenses(files: DataFrame, path: Column, text: str = "text", templates=
 
 
 SPEAKS = r"\blicen[cs]ed?\b"
-PAGE = 1000
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     """Licence of each document.
 
     documents has no paths: they are dealt into folders source/lang/thousands of
-    the id, and a text of up to ``PAGE`` characters that speaks of a licence is
-    its folder's licence file.
+    the id, and a text that speaks of a licence, however long, is a licence file
+    of its folder.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    name = F.when((F.char_length("text") <= PAGE) & F.regexp_like(F.lower("text"), F.lit(SPEAKS)), F.lit("LICENSE-")).otherwise(F.lit("doc-"))
+    name = F.when(F.regexp_like(F.lower("text"), F.lit(SPEAKS)), F.lit("LICENSE-")).otherwise(F.lit("doc-"))
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.coalesce(name, F.lit("doc-")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return scan_licenses(docs, path).select("doc_id", "license", "score", "origin")
 
@@ -239,7 +238,7 @@ def oracle() -> str:
     total = "(SELECT count(*) FROM d)"
     weights = lambda t: f"SELECT k, license, term, c * idf / sqrt(sum((c * idf) ** 2) OVER (PARTITION BY k)) AS w FROM (SELECT k, license, term, count(*) AS c FROM {t} GROUP BY ALL) JOIN {t}i USING (term)"
     idf = lambda t: f"SELECT term, ln((1 + {total}) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM {t}) LEFT JOIN f USING (term)"
-    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_TERM}') AS w, coalesce(length(text) <= {PAGE} AND regexp_matches(lower(text), '{SPEAKS}'), false) AS named,
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_TERM}') AS w, coalesce(regexp_matches(lower(text), '{SPEAKS}'), false) AS named,
         concat_ws('/', source, lang, floor(doc_id / 1000)::BIGINT::VARCHAR) AS dir FROM documents),
     f AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM d) GROUP BY term),
     nt(k, license, terms) AS (VALUES {values(short)}), wt(k, license, terms) AS (VALUES {values(long)}),

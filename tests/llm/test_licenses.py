@@ -95,9 +95,8 @@ def test_against_brute_force(spark, small):
     assert have["p/LICENSE"] == ("Apache-2.0", "file") and have["a/b/c/d.py"][1] == "directory:a"
 
 
-def test_documents(spark, data, monkeypatch):
+def test_documents(spark, data):
     """Every document with a notice has its licence, and inheritance reaches others."""
-    monkeypatch.setattr(lic, "PAGE", 10**6)
     got = {r.doc_id: r for r in lic.op10_license_scan(spark, data).collect()}
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()
     for r in docs:
@@ -118,3 +117,23 @@ def test_oracle(spark, data, duck):
     from tests.conftest import same_rows
 
     same_rows(lic.op10_license_scan(spark, data), duck.execute(queries.oracle_sql()["op10_license_scan"]))
+
+
+def test_complete_texts_decide_in_the_query(spark, tmp_path):
+    """Whole licence texts of any length among the documents, judged by the query and by its SQL."""
+    import duckdb
+
+    from tableguard.llm import queries
+    from tests.conftest import same_rows
+
+    texts = lic.complete_texts()
+    long = max(texts, key=lambda k: len(texts[k]))
+    rows = [(k, t, "s", "en") for k, t in enumerate([texts["MIT"], "plain words here", texts[long], "more words"])] + [(2000, "far away", "s", "en"), (3, None, "t", "de")]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").coalesce(1).write.parquet(path)
+    got = {(r.doc_id, r.origin): (r.license, r.score) for r in lic.op10_license_scan(spark, str(tmp_path)).collect()}
+    assert got[0, "file"][0] == "MIT" and got[2, "file"][0] == long and got[2, "file"][1] > 0.99 and len(texts[long]) > 30_000
+    assert (1, "directory:s/en/0") in got and (2000, None) in got
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    same_rows(lic.op10_license_scan(spark, str(tmp_path)), con.execute(queries.oracle_sql()["op10_license_scan"]))
