@@ -18,7 +18,6 @@ batch, without a shuffle.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -36,20 +35,16 @@ UNKNOWN = "und"
 _STEP = 1 << 20
 
 
-@lru_cache(maxsize=1)
-def _numbers() -> np.ndarray:
-    """By code point, whether a character is a number that is no digit: those count as word characters too."""
-    return np.array([c.isnumeric() and not c.isalpha() and not c.isdecimal() for c in map(chr, range(0x110000))])
-
-
 def _code_points(text: str) -> np.ndarray:
     """Lower-cased letters of a text, runs of all else as one space each, and one at both ends."""
     import re
 
     plain = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
     c = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    if not plain.isascii() and (number := _numbers()[c]).any():
-        c = np.where(number, np.uint32(32), c)
+    # Numbers that are no digits count as word characters too.
+    numbers = [] if plain.isascii() else [ord(x) for x in set(plain) if x.isnumeric() and not x.isalpha() and not x.isdecimal()]
+    if numbers:
+        c = np.where(np.isin(c, np.array(numbers, dtype=np.uint32)), np.uint32(32), c)
         c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
     return c
 

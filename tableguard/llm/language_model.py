@@ -29,7 +29,6 @@ sums goes to the driver; tables that are used up are deleted on the way.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -152,7 +151,6 @@ def _blocks(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame
     return rows.mapInArrow(run, f"block long, at int, word binary, n int, keys array<{kind}>, texts binary")
 
 
-@lru_cache(maxsize=16)
 def _stirling(most: int, discount: float) -> np.ndarray:
     """Logarithms of generalised Stirling numbers: [c, t - 1] weighs t tables of c customers."""
     out = np.full((most + 1, most), -np.inf)
@@ -213,22 +211,27 @@ def _tables_of_large(c: int, mass: float, discount: float) -> tuple[int, np.ndar
     return t, np.maximum(down[::-1] + up, 0)
 
 
-def draw_tables(customers: np.ndarray, mass: np.ndarray, discount: float, chance: np.ndarray) -> np.ndarray:
+def draw_tables(customers: np.ndarray, mass: np.ndarray, discount: float, chance: np.ndarray, made: dict | None = None) -> np.ndarray:
     """Tables of each cell, drawn given that all its customers sit down anew.
 
     The chance of t tables of c customers is in proportion to mass ** t times a
     generalised Stirling number. ``mass`` is what speaks for a new table: (strength
     + discount * tables of the restaurant) * parent's probability, and fixed.
-    ``chance``, between 0 and 1, picks from the distribution.
+    ``chance``, between 0 and 1, picks from the distribution. ``made`` keeps tables of
+    Stirling numbers from one call to the next, for a task that makes many.
     """
+    made = {} if made is None else made
     tables = np.ones(len(customers), dtype=np.int64)
     m = np.maximum(mass, 1e-300)
     order = np.argsort(customers, kind="stable")
     order = order[np.searchsorted(customers[order], 2) :]
     values, starts = np.unique(customers[order], return_index=True)
     small = values[values <= SMALL]
-    # Few sizes, so that a worker makes each table once.
-    log_s = _stirling(1 << (int(small[-1]) - 1).bit_length(), discount) if len(small) else None
+    # Few sizes, so that a task makes each table once.
+    log_s = None
+    if len(small):
+        which = 1 << (int(small[-1]) - 1).bit_length(), discount
+        log_s = made[which] = made[which] if which in made else _stirling(*which)
     for c, cells in zip(values.tolist(), np.split(order, starts[1:]) if len(order) else ()):
         for at in range(0, len(cells), max(1, 2**20 // c)) if c <= SMALL else ():
             some = cells[at : at + max(1, 2**20 // c)]
@@ -465,10 +468,11 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
         d0 = _discount(sums.once, sums.twice)
 
         def seat(batches, mass=(STRENGTH + d0 * tables0) / known, d0=d0, sweep=sweep):
+            made: dict = {}
             for b in batches:
                 if b.num_rows:
                     n0 = b.column(3).to_numpy()
-                    t = draw_tables(n0, np.full(len(n0), mass), d0, chances(b.column(0).to_numpy(), 1000 + sweep))
+                    t = draw_tables(n0, np.full(len(n0), mass), d0, chances(b.column(0).to_numpy(), 1000 + sweep), made)
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(n0 > 0, t, 0))], names=["id", "c", "tu", "n0", "t0"])
 
         seated = materialize(upper.mapInArrow(seat, "id long, c long, tu long, n0 long, t0 long"))
@@ -491,10 +495,11 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
         free()
 
         def draw(batches, sweep=sweep):
+            made: dict = {}
             for b in batches:
                 if b.num_rows:
                     u, w, c, mass, ts = (b.column(k).to_numpy() for k in range(1, 6))
-                    t = draw_tables(c, mass, d2, chances(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), sweep))
+                    t = draw_tables(c, mass, d2, chances(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), sweep), made)
                     yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(t), pa.array(ts + t * (sweep >= BURN))], names=["part", "u", "w", "c", "t", "ts"])
 
         mass = (STRENGTH + d2 * F.col("tu")) * F.col("p")

@@ -24,6 +24,37 @@ def test_functions_travel_by_value():
     assert gray_code() in cloudpickle.dumps(simhash.gray_rank)
 
 
+WITHOUT_PACKAGE = """
+import os, sys
+os.environ.pop("PYTHONPATH", None)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "3g").config("spark.ui.enabled", "false").getOrCreate()
+def absent(_):
+    try:
+        import tableguard
+    except ModuleNotFoundError:
+        return [True]
+    return [False]
+assert all(spark.sparkContext.parallelize(range(4), 4).mapPartitions(absent).collect())
+sys.path.insert(0, sys.argv[1])
+from tableguard.llm import queries
+for name, query in queries.queries().items():
+    print(name, query(spark, sys.argv[2]).count())
+"""
+
+
+def test_every_query_runs_on_workers_without_the_package(data, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "job.py"
+    script.write_text(WITHOUT_PACKAGE)
+    ran = subprocess.run([sys.executable, script, Path(__file__).parents[2], data], capture_output=True, text=True, timeout=900, cwd=tmp_path)
+    assert ran.returncode == 0, ran.stderr[-3000:]
+    assert len(ran.stdout.split("\n")) > 12
+
+
 def gray_code() -> bytes:
     return simhash.gray_rank.__code__.co_code
 
