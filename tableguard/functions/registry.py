@@ -147,23 +147,21 @@ class FrameFunctionWrapper:
 
     def __call__(self, frame: DataFrame, *more: Any, **args: Any) -> DataFrame:
         """The function's frame; rows are counted unless it is the one put in."""
-        return self.counted(frame, None, *more, **args)[0]
+        out = self.applied(frame, *more, **args)
+        if out is not frame and (before := frame.count()) != (after := out.count()):
+            raise FrameShapeError(f"{self.name}: rows changed from {before} to {after}")
+        return out
 
-    def counted(self, frame: DataFrame, rows: int | None, *more: Any, **args: Any) -> tuple[DataFrame, int | None]:
-        """The function's frame and its rows, of which ``frame`` has as many as given, if they are known."""
+    def applied(self, frame: DataFrame, *more: Any, **args: Any) -> DataFrame:
+        """The function's frame, of the same columns; its rows are not counted here."""
         if not isinstance(frame, DataFrame):
             raise FrameShapeError(f"{self.name}: input must be a DataFrame, not {type(frame).__name__}")
         out = self.func(frame, *more, **args)
         if not isinstance(out, DataFrame):
             raise FrameShapeError(f"{self.name}: must return a DataFrame, not {type(out).__name__}")
-        if out is frame:
-            return out, rows
         if out.columns != frame.columns:
             raise FrameShapeError(f"{self.name}: columns changed from {frame.columns} to {out.columns}")
-        before, after = frame.count() if rows is None else rows, out.count()
-        if before != after:
-            raise FrameShapeError(f"{self.name}: rows changed from {before} to {after}")
-        return out, after
+        return out
 
 
 class DecoratorAdapter:

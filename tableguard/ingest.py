@@ -1,5 +1,5 @@
 """The readers' public names in one place."""
 
-from .sources import read_csv, read_parquet
+from .sources import kept, read_csv, read_parquet
 
-__all__ = ["read_csv", "read_parquet"]
+__all__ = ["kept", "read_csv", "read_parquet"]

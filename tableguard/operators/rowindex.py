@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +14,22 @@ PARTITIONS_IN_A_LITERAL = 2000
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df if its rows stay in their partitions whenever it is computed, else written or persisted.
+    """df if its rows stay in their partitions whenever it is computed, else written to the shared folder.
 
     Files, local rows and row-wise steps over them stay; behind a shuffle,
-    adaptive execution may cut partitions another way for another job.
+    adaptive execution may cut partitions another way for another job. Written
+    rows stay in place even if an executor is lost. The folder is the one in
+    ``spark.checkpoint.dir``; without one, Spark must run on this machine alone.
     """
-    if not any(kind.endswith("ExchangeExec") for kind in _nodes(df)):
+    if not any(kind.endswith("ShuffleExchangeExec") for kind in _nodes(df)):
         return df
     sc = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if named and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named)
-    # Written rows stay in place even if an executor is lost.
-    return df.persist(StorageLevel.MEMORY_AND_DISK) if sc._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("row numbers of shuffled rows need a folder that driver and executors share: spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tableguard-"))
+    return df.checkpoint()
 
 
 def _nodes(df: DataFrame):

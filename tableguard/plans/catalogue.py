@@ -37,12 +37,12 @@ def _dtype(kind: str) -> str:
     return {"bigint": "Int64", "int": "Int32", "double": "Float64", "string": "Utf8", "timestamp_ntz": "Datetime"}[kind]
 
 
-def _run(df: DataFrame, columns: dict, *, registry=None, mode: str = "summary", limit: int | None = None, include_values: bool = True, strategy: str = "strict", lazy: bool = True, **schema) -> ValidationResult:
+def _run(df: DataFrame, columns: dict, *, registry=None, mode: str = "summary", limit: int | None = None, include_values: bool = True, strategy: str = "strict", lazy: bool = True, row_lists: str = "whole", **schema) -> ValidationResult:
     """Validate with the given rules; a rule without dtype keeps the column's own."""
     kinds = dict(df.dtypes)
     rules = {n: {"nullable": True, "dtype": _dtype(kinds[n]) if n in kinds else "Utf8"} | r for n, r in columns.items()}
     model = SchemaModel.from_dict({"coerce": False, "columns": rules} | schema)
-    return validate(df, model, registry or default_registry(), lazy=lazy, coerce_strategy=strategy, error_report=ErrorReportConfig(mode=mode, limit=limit, include_values=include_values))
+    return validate(df, model, registry or default_registry(), lazy=lazy, coerce_strategy=strategy, error_report=ErrorReportConfig(mode=mode, limit=limit, include_values=include_values, row_lists=row_lists))
 
 
 def query(name: str, sql: str):
@@ -69,14 +69,18 @@ def scan_parquet_files(spark, sf_dir):
     return read_parquet([f"{sf_dir}/nation.parquet"] * 2, SchemaModel.from_dict({"columns": {"n_nationkey": {"dtype": "Int32"}}}))
 
 
-def _csv(spark: SparkSession, df: DataFrame) -> str:
-    """A CSV copy in the folder that the cluster shares, or a temporary one without a cluster."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, or a temporary one without a cluster."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="tableguard-")
-    path = f"{top}/csv-{uuid.uuid4().hex}"
+    return top
+
+
+def _csv(spark: SparkSession, df: DataFrame) -> str:
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     df.write.option("header", True).csv(path)
     return path
 
@@ -98,10 +102,12 @@ def csv_eager(spark, sf_dir):
     return df.withColumn("kept", F.lit(df.storageLevel.useMemory))
 
 
-@query("in_memory_frame", "SELECT * FROM (VALUES (25::BIGINT, 'Alice'), (NULL, 'Bob'), (30, 'Carol')) t(age, name)")
+@query("in_memory_frame", "SELECT CASE WHEN n_regionkey > 0 THEN n_regionkey END AS n_regionkey, n_name FROM nation")
 def in_memory_frame(spark, sf_dir):
-    df = spark.createDataFrame([(25, "Alice"), (-5, "Bob"), (30, "Carol")], "age long, name string")
-    return _run(df, {"age": {"checks": [{"name": "positive"}]}}, profile="clean").data
+    """The smallest tables are what a driver may hold as rows of its own."""
+    rows = [tuple(r) for r in _table(spark, sf_dir, "nation").select("n_regionkey", "n_name").collect()]
+    df = spark.createDataFrame(rows, "n_regionkey int, n_name string")
+    return _run(df, {"n_regionkey": {"checks": [{"name": "positive"}]}}, profile="clean").data
 
 
 @query("resolve_case", "SELECT n_nationkey AS big, n_regionkey AS small FROM nation")
@@ -460,8 +466,12 @@ def frame_check_duplicates(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import cases  # noqa: F401: adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import cases  # noqa: F401
+
     return dict(ORACLES)

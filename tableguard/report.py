@@ -12,6 +12,7 @@ class ColumnValidationStats(BaseModel):
 
     model_config = ConfigDict(extra="forbid")
 
+    # The names of the fields and their order, here and in the report.
     column_name: str
     parse_failures: int = 0
     coercion_failures: int = 0

@@ -1,6 +1,6 @@
 """Readers and writers of validated frames."""
 
-from .readers import read_csv, read_parquet
-from .writers import write_result
+from .readers import kept, read_csv, read_parquet
+from .writers import read_result, write_result
 
-__all__ = ["read_csv", "read_parquet", "write_result"]
+__all__ = ["kept", "read_csv", "read_parquet", "read_result", "write_result"]

@@ -5,7 +5,7 @@ from tableguard.plans import catalogue
 from .conftest import same_rows
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(catalogue.queries()))
 def test_query_agrees_with_its_sql(spark, data, duck, name):
     same_rows(catalogue.queries()[name](spark, data), duck.execute(catalogue.oracle_sql()[name]))
 

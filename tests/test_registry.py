@@ -135,15 +135,19 @@ def test_functions_of_one_name_keep_their_own_types(spark):
     assert kinds == [T.StringType(), T.LongType()]
 
 
-def test_frame_functions_count_rows_once_each(spark):
+def test_frame_functions_may_not_lose_rows(spark):
     registry = FunctionRegistry()
 
     @registry.frame_parser
     def more(df: DataFrame) -> DataFrame:
         return df.withColumn("v", F.col("v") + 1)
 
+    @registry.frame_parser
+    def fewer(df: DataFrame) -> DataFrame:
+        return df.where("v > 5")
+
     df = spark.createDataFrame([(5,), (15,)], "v long")
-    out, rows = registry.frame_parsers["more"].counted(df, 2)
-    assert rows == 2 and [r.v for r in out.collect()] == [6, 16]
-    with pytest.raises(FrameShapeError, match="from 3 to 2"):
-        registry.frame_parsers["more"].counted(df, 3)
+    assert [r.v for r in registry.frame_parsers["more"](df).collect()] == [6, 16]
+    assert registry.frame_parsers["fewer"].applied(df).columns == ["v"]
+    with pytest.raises(FrameShapeError, match="from 2 to 1"):
+        registry.frame_parsers["fewer"](df)
