@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.builtins import ROW_INDEX
@@ -14,7 +16,7 @@ SCHEMAS = {
     "cells": "column string, check string, row_index long, value string",
     "pages": "column string, check string, page long, count long, runs array<struct<start: long, length: long>>",
 }
-RANGES = 256
+FEW_PARTITIONS = 64
 FEW_ROWS = 1_000_000
 PAGE_ROWS = 1 << 16
 
@@ -30,8 +32,8 @@ def summary(spark: SparkSession, counts: list[tuple[str, str, int]]) -> DataFram
     return spark.createDataFrame(sorted(c for c in counts if c[2]), SCHEMAS["summary"])
 
 
-def detailed(masked: DataFrame, checks: list[tuple[str, str, str]], mode: str, limit: int | None, include_values: bool, total: int, paged: bool = False) -> DataFrame:
-    """rows or cells; checks: (column, check, name of its mask column), total: the number of rows.
+def detailed(masked: DataFrame, checks: list[tuple[str, str, str]], mode: str, limit: int | None, include_values: bool, total: int, partitions: int, paged: bool = False) -> DataFrame:
+    """rows or cells; checks: (column, check, name of its mask column); total and partitions: the number of rows, and of the partitions that were numbered.
 
     With a limit a few rows for each check are left, which one task sorts; the
     tasks before it are as many as ever. Without one, all failing rows are sorted
@@ -48,7 +50,7 @@ def detailed(masked: DataFrame, checks: list[tuple[str, str, str]], mode: str, l
 
     failed = masked.select(F.col(ROW_INDEX).alias("row_index"), F.explode(F.array_compact(F.array(*(cell(*c) for c in checks)))).alias("e")).select("e.column", "e.check", "row_index", "e.value")
     if limit is not None:
-        failed = _first(failed, limit, total)
+        failed = _first(failed, limit, total, partitions)
     few = limit is not None and limit * len(checks) <= FEW_ROWS
     in_order = lambda df, *by: df.repartition(1).sortWithinPartitions(*by) if few else df.orderBy(*by)
     if mode == "cells":
@@ -60,15 +62,18 @@ def detailed(masked: DataFrame, checks: list[tuple[str, str, str]], mode: str, l
     return in_order(listed.select("column", "check", F.size("row_indices").cast("long").alias("count"), "row_indices"), "column", "check")
 
 
-def _first(failed: DataFrame, limit: int, total: int) -> DataFrame:
+def _first(failed: DataFrame, limit: int, total: int, partitions: int) -> DataFrame:
     """The first rows of each column and check.
 
-    Partitions of the input keep their first rows of each; ranges of row numbers
-    keep the first of those; what ranges have kept, ``RANGES`` times the limit at most,
-    meets for one check. Input partitions are thus never all read by one task.
+    Partitions of the input keep their first rows of each, which meet for one check.
+    Where there are more than ``FEW_PARTITIONS``, ranges of row numbers keep the first of
+    those before; there are about as many ranges as partitions in each.
     """
-    width = max(1, -(-total // RANGES))
-    for by in ([F.col("row_index") - F.col("row_index") % width], []):
+    steps: list[list[Column]] = [[]]
+    if partitions > FEW_PARTITIONS:
+        width = max(1, -(-total // math.isqrt(partitions)))
+        steps.insert(0, [F.col("row_index") - F.col("row_index") % width])
+    for by in steps:
         order = Window.partitionBy("column", "check", *by).orderBy("row_index")
         failed = failed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
     return failed

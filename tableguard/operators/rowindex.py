@@ -44,15 +44,20 @@ def _nodes(df: DataFrame):
 
 
 def with_row_index(df: DataFrame) -> DataFrame:
-    """df with ROW_INDEX: 0, 1, ... in the order of partitions and their rows.
+    """df with ROW_INDEX: 0, 1, ... in the order of partitions and their rows; see ``numbered``."""
+    return numbered(df)[0]
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, int]:
+    """df with ROW_INDEX, and how many partitions it has up to the last with rows.
 
     A first job counts rows by partition; offsets, one for each partition, come
     as a literal, or are broadcast where there are very many, so no row is shuffled. Rows must come in the same partitions
     each time df is computed; see ``settled``.
     """
-    numbered = df.withColumn(_AT, F.monotonically_increasing_id())
+    marked = df.withColumn(_AT, F.monotonically_increasing_id())
     part = F.shiftright(_AT, 33)
-    sizes = numbered.groupBy(part.alias(_PART)).agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = marked.groupBy(part.alias(_PART)).agg(F.count(F.lit(1)).alias("n")).collect()
     total, offsets = 0, []
     for r in sorted(sizes):
         offsets.append((r[0], total))
@@ -61,11 +66,11 @@ def with_row_index(df: DataFrame) -> DataFrame:
         start = dict(offsets)
         at = F.lit([start.get(p, 0) for p in range(offsets[-1][0] + 1)])
         index = F.get(at, part.cast("int")) + F.col(_AT).bitwiseAND(F.lit((1 << 33) - 1))
-        return numbered.select(*(F.col(_quoted(c)) for c in df.columns), index.cast("long").alias(ROW_INDEX))
+        return marked.select(*(F.col(_quoted(c)) for c in df.columns), index.cast("long").alias(ROW_INDEX)), offsets[-1][0] + 1
     starts = df.sparkSession.createDataFrame(offsets, f"{_PART} long, __tableguard_start__ long")
-    joined = numbered.withColumn(_PART, part).join(F.broadcast(starts), _PART, "left")
+    joined = marked.withColumn(_PART, part).join(F.broadcast(starts), _PART, "left")
     index = F.col("__tableguard_start__") + F.col(_AT).bitwiseAND(F.lit((1 << 33) - 1))
-    return joined.select(*(F.col(_quoted(c)) for c in df.columns), index.alias(ROW_INDEX))
+    return joined.select(*(F.col(_quoted(c)) for c in df.columns), index.alias(ROW_INDEX)), offsets[-1][0] + 1 if offsets else 0
 
 
 def _quoted(name: str) -> str:

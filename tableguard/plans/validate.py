@@ -1,10 +1,10 @@
 """The validation pipeline.
 
 Every step is an expression over the row it is about: parsed and coerced
-values, a flag for each failed coercion, a mask for each check. All counts are
-observed in one pass over the rows, errors are exploded from the masks, and data
-replaces masked values; nothing is joined back. Without frame functions a validation
-is one job, plus what its result's data and errors are used for. ``validate_into``
+values, a flag for each failed coercion, a mask for each check. One aggregate
+then yields all counts, errors are exploded from the masks, and data replaces
+masked values; nothing is joined back. Without frame functions a validation
+is one aggregate, plus what its result's data and errors are used for. ``validate_into``
 observes the counts while it writes the data, and needs no pass of its own.
 """
 
@@ -27,7 +27,7 @@ from ..operators import errors
 from ..operators.checks import any_of, masks, with_marks
 from ..operators.coerce import CoercionError, Strategy, coerced, mismatch, raised_by_cast
 from ..operators.resolve import case_sensitive, resolve_column_names
-from ..operators.rowindex import _quoted, settled, with_row_index
+from ..operators.rowindex import _quoted, numbered, settled
 from ..report import ColumnValidationStats, ValidationReport
 from ..schema import SchemaModel
 from ..sources.writers import read_result, staged, write_report
@@ -163,7 +163,7 @@ class _Run:
         self._prepare()
         seen = Observation()
         self._data(self.masked.observe(seen, *_metrics(self.wanted.values()))).write.parquet(f"{folder}/data")
-        self._counted(seen, self.wanted)
+        self._known(seen.get, self.wanted)
         found, report = self._reported()
         found.write.parquet(f"{folder}/errors")
         write_report(self.frame.sparkSession, report, folder)
@@ -171,7 +171,7 @@ class _Run:
     def _prepare(self) -> None:
         """All steps up to the masks, and which counts are wanted over them."""
         if self.config.mode != "summary":
-            self.frame = with_row_index(settled(self.frame))
+            self.frame, self.partitions = numbered(settled(self.frame))
         if self.schema.frame_parsers:
             self._count({f"original:{n}": F.col(_quoted(n)).isNull() for n in self.names})
             self._frame_functions(self.schema.frame_parsers, self.registry.frame_parsers, "parser")
@@ -208,14 +208,14 @@ class _Run:
         return found, report
 
     def _count(self, wanted: dict[str, Column], frame: DataFrame | None = None) -> None:
-        """Rows, and rows where each condition holds, observed in one pass without a shuffle."""
-        frame, seen = self.frame if frame is None else frame, Observation()
-        asked = frame.select(F.lit(1).alias("one"), *(c.alias(f"a{k}") for k, c in enumerate(wanted.values())))
-        asked.observe(seen, *_metrics(F.col(f"a{k}") for k in range(len(wanted)))).select("one").write.format("noop").mode("overwrite").save()
-        self._counted(seen, wanted)
-
-    def _counted(self, seen: Observation, wanted) -> None:
-        row = seen.get
+        """Rows, and rows where each condition holds, in one aggregate.
+
+        Observing them would take one job less but leave generated code at each row;
+        it pays where it rides on a pass that is made anyway, as in ``into``.
+        """
+        self._known((self.frame if frame is None else frame).agg(*_metrics(wanted.values())).first(), wanted)
+
+    def _known(self, row, wanted) -> None:
         if self.pending and self.pending[1] != row["n"]:
             name, before = self.pending
             raise FrameShapeError(f"{name}: rows changed from {before} to {row['n']}")
@@ -282,7 +282,7 @@ class _Run:
             return errors.rows_at_limit_zero(masked.sparkSession, counts, self.config.row_lists == "pages")
         # Checks without failures need no place in the explosion.
         failing = [m for m, (_, _, n) in zip(marked, counts) if n]
-        return errors.detailed(masked, failing, mode, limit, self.config.include_values, self.known["rows"], self.config.row_lists == "pages")
+        return errors.detailed(masked, failing, mode, limit, self.config.include_values, self.known["rows"], self.partitions, self.config.row_lists == "pages")
 
     def _report(self, counts) -> ValidationReport:
         known, total = self.known, self.known["rows"]
