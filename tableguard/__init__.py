@@ -10,11 +10,11 @@ from .operators.resolve import SchemaResolutionError, resolve_column_names
 from .report import ColumnValidationStats, ValidationReport
 from .schema import ColumnSchema, SchemaLoader, SchemaModel
 from .sources import kept, read_csv, read_parquet, read_result, write_result
-from .streaming import validate_stream
+from .streaming import stateful_checks, validate_stream
 
 configure()
 
 __all__ = [
     "CoercionError", "ColumnPurityError", "ColumnSchema", "ColumnValidationStats", "ErrorReportConfig", "FrameShapeError", "FunctionRegistry", "NullabilityError", "RegistryError", "SchemaLoader",
-    "SchemaModel", "SchemaResolutionError", "ValidationReport", "ValidationResult", "configure", "configure_logging", "default_registry", "get_logger", "kept", "read_csv", "read_parquet", "read_result", "resolve_column_names", "validate", "validate_into", "validate_stream", "write_result",
+    "SchemaModel", "SchemaResolutionError", "ValidationReport", "ValidationResult", "configure", "configure_logging", "default_registry", "get_logger", "kept", "read_csv", "read_parquet", "read_result", "resolve_column_names", "stateful_checks", "validate", "validate_into", "validate_stream", "write_result",
 ]

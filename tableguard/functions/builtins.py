@@ -99,6 +99,8 @@ def _marked_unique(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 unique.marked = _marked_unique
+#: Fails for a value that came before, so a stream may remember values across batches.
+unique.repeats = True
 
 
 def matches(c: Column, pattern: str) -> Column:

@@ -136,11 +136,13 @@ def _running(df: DataFrame, strategy: Strategy):
 
 
 class _Run:
-    def __init__(self, df: DataFrame, schema: SchemaModel, registry: FunctionRegistry, strategy: Strategy, config: ErrorReportConfig):
+    def __init__(self, df: DataFrame, schema: SchemaModel, registry: FunctionRegistry, strategy: Strategy, config: ErrorReportConfig, seen: dict[str, str] | None = None):
         self.schema, self.registry, self.strategy, self.config = schema, registry, strategy, config
         self.frame = resolve_column_names(schema, df)
         self.names = [n for n in schema.columns if n in self.frame.columns]
-        self.output = self.frame.columns
+        #: By column, another one that is true where a stream had the value in an earlier batch.
+        self.seen = seen or {}
+        self.output = [c for c in self.frame.columns if c not in self.seen.values()]
         self.known: dict[str, int] = {}
         #: A frame function whose rows have not been counted, and how many they should be.
         self.pending: tuple[str, int] | None = None
@@ -184,6 +186,7 @@ class _Run:
             self.frame, flags = (flagged, flags) if self.frame is given else (self.frame, {})
         self.plain = self.frame
         self.frame, self.marks = with_marks(self.frame, self.schema, self.registry)
+        self.marks = {(c, k): mark & ~F.col(self.seen[c]) if c in self.seen else mark for (c, k), mark in self.marks.items()}
         self.checks = masks(self.frame, self.schema, self.registry, self.marks)
         self.marked = marked = [(column, check, f"__m{k}") for k, (column, check, _) in enumerate(self.checks)]
         self.masked = self.frame.select("*", *(m.alias(name) for (_, _, m), (_, _, name) in zip(self.checks, marked)))
@@ -260,10 +263,10 @@ class _Run:
             for k, n in enumerate(self.names):
                 flags[f"original:{n}"] = f"__o{k}"
                 extra.append(F.col(_quoted(n)).isNull().alias(f"__o{k}"))
-        values = parsed
+        self.values = values = parsed
         if self.schema.coerce:
             try:
-                values = {n: coerced(c, kinds[n], n, self.schema.columns[n].dtype, self.strategy) for n, c in parsed.items()}
+                self.values = values = {n: coerced(c, kinds[n], n, self.schema.columns[n].dtype, self.strategy) for n, c in parsed.items()}
                 self.frame.select(*values.values())
             except (AnalysisException, CoercionError) as e:
                 raise mismatch(self.frame, self.schema, e) from e

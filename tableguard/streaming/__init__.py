@@ -1,5 +1,5 @@
 """Validation of streams."""
 
-from .batches import validate_stream
+from .batches import stateful_checks, validate_stream
 
-__all__ = ["validate_stream"]
+__all__ = ["stateful_checks", "validate_stream"]
