@@ -33,8 +33,6 @@ BITS = 5
 PROBES = 128
 RECALL = 0.95
 BLOCK = 2048
-#: Less than a block saves nothing.
-LEAST_REACH = BLOCK
 MOST = 65_536
 K = 10
 
@@ -146,9 +144,10 @@ def measure(ranked: DataFrame, points: DataFrame, queries: DataFrame, dim: int,
     far = np.minimum.accumulate(np.array(list(need.values())), axis=1)
     choices = [(total, 1, total)]
     for c in range(1, curves + 1):
-        ranks = max(LEAST_REACH, int(np.ceil(1.1 * np.quantile(far[:, c - 1], recall))))
+        ranks = max(1, int(np.ceil(1.1 * np.quantile(far[:, c - 1], recall))))
         choices.append((c * min(total, 2 * ranks), c, ranks))
-    _, c, ranks = min(choices)
+    # Of equally dear choices the whole curve, which is exact; it comes first.
+    _, c, ranks = min(choices, key=lambda choice: choice[0])
     return c, ranks
 
 

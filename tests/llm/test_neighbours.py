@@ -66,6 +66,20 @@ def test_recall_without_structure(spark, monkeypatch):
     assert recall >= 0.9 and curves * min(6000, 2 * reach) <= 6000
 
 
+def test_small_tables_with_structure_use_windows(spark, monkeypatch):
+    """However few the vectors are: what was measured decides, not their number."""
+    rng = np.random.default_rng(8)
+    x = np.sin(rng.uniform(-2, 2, size=(1500, 1)) @ rng.normal(size=(1, 64)) * 0.5 + rng.normal(size=64)) + rng.normal(size=(1500, 64)) * 1e-4
+    recall, curves, reach = recall_of(spark, x, monkeypatch, every=20)
+    assert recall >= 0.9 and curves * 2 * reach < 1500 / 2
+
+
+def test_equally_dear_windows_give_way_to_the_whole_curve(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(4000, 64))
+    recall, curves, reach = recall_of(spark, x / np.linalg.norm(x, axis=1, keepdims=True), monkeypatch)
+    assert (recall, curves, reach) == (1.0, 1, 4000)
+
+
 def test_ties_and_vectors_far_from_the_origin(spark):
     rng = np.random.default_rng(3)
     for x in (rng.integers(0, 2, size=(3000, 6)) + 1.0, 1e7 + rng.integers(0, 9, size=(3000, 4))):
