@@ -108,3 +108,43 @@ def test_ambiguous_text_among_four_languages():
     model = lang.fit(x, np.array([0, 1, 2, 3] * 20), list("abcd"))
     tried = np.stack([x[0], x[3], (x[0] + x[1]) / 2, (x[1] + x[3]) / np.sqrt(2)])
     assert model.unsure(tried).tolist() == [False, False, True, True]
+
+
+def plain_features(text: str) -> list[float]:
+    """Square roots of hashed counts of letters, pairs and triples, by plain loops."""
+    import math
+    import re
+
+    letters = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+    letters = re.sub(r"\s+", " ", "".join(" " if c.isnumeric() and not c.isalpha() else c for c in letters))
+    p, mask, counts = [ord(c) for c in letters], (1 << 64) - 1, [0] * lang.DIM
+    for i in range(len(p)):
+        one = p[i] * 0x9E3779B97F4A7C15 & mask
+        grams = [one]
+        if i + 1 < len(p):
+            grams.append(one ^ p[i + 1] * 0xC2B2AE3D27D4EB4F & mask)
+        if i + 2 < len(p):
+            grams.append(grams[1] ^ p[i + 2] * 0x165667B19E3779F9 & mask)
+        for k, x in enumerate(grams):
+            counts[((x ^ x >> 29) * (0xBF58476D1CE4E5B9 + 2 * k) & mask) >> 52] += 1
+    norm = math.sqrt(sum(counts))
+    return [math.sqrt(c) / norm for c in counts]
+
+
+def test_predictions_equal_a_plain_decoder(spark, data):
+    """Each text's bits, their losses against every codeword, and the nearest one, one by one."""
+    import math
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    model = lang.train(docs.where(~lang.held_out(docs["doc_id"])))
+    rows = [(r.doc_id, r.text) for r in docs.where("length(text) < 1500").limit(40).collect()] + [(-1, "½ Ⅷ straße ² १२"), (-2, "İzmir ÇA\nLI")]
+    got = {r.doc_id: r for r in lang.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    weights, bias, codes, trust = (np.asarray(a, dtype=np.float64).tolist() for a in (model.weights, model.bias, model.codes, model.trust))
+    for key, text in rows:
+        x = [(k, v) for k, v in enumerate(plain_features(text)) if v]
+        margins = [bias[j] + sum(v * weights[k][j] for k, v in x) for j in range(len(bias))]
+        costs = [sum(math.log1p(math.exp(-m * bit)) * t for m, bit, t in zip(margins, code, trust)) for code in codes]
+        shares = [math.exp(min(costs) - c) for c in costs]
+        best, second = sorted(costs)[:2]
+        assert got[key].lang_pred == model.languages[costs.index(best)] and abs(got[key].score - max(shares) / sum(shares)) < 1e-4
+        assert got[key].ambiguous == (1 / (1 + math.exp(best - second)) < 0.5 + lang.AMBIGUOUS)

@@ -232,3 +232,12 @@ def test_all_customers_are_drawn():
         got = np.zeros(c)
         got[low - 1 : low - 1 + len(p)] = p[: c - low + 1]
         assert np.abs(got / got.sum() - want / want.sum()).max() < 1e-9
+
+
+def test_columns_of_any_name_are_left_alone(spark):
+    """Names that the job uses itself, in either case, change nothing."""
+    rows = [(k, f"a b c{k % 3} a b") for k in range(30)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    more = spark.createDataFrame([(*r, "x", 1, 2.0, None, 3) for r in rows], "doc_id long, text string, word string, at int, Score double, _key string, block int")
+    score = lambda df: sorted(map(tuple, lm.score_texts(df, ~lm.held_out(df["doc_id"])).collect()))
+    assert score(more) == score(plain)
