@@ -115,3 +115,41 @@ def test_names_that_clash(spark):
     assert all(tuple(r[3:8]) == (r.doc_id,) * 5 and r.taken == sum(d.words for d in r.draws) for r in rows)
     drawn = mixing.draw_mix(planned).collect()
     assert sum(r.words for r in drawn) == sum(r.taken for r in rows) and all(r._row == r.doc_id for r in drawn)
+
+
+def test_many_sources_and_a_huge_one(spark):
+    """100,000 sources beside one with a third of all rows: quotas of pools are split exactly, and over all shards."""
+    from pyspark.sql import functions as F
+
+    name = F.when(F.col("id") < 100_000, F.concat(F.lit("s"), F.col("id").cast("string"))).otherwise(F.lit("huge"))
+    docs = spark.range(150_000).select(F.col("id").alias("doc_id"), name.alias("source"), (1 + F.col("id") % 50).alias("size"))
+    planned = mixing.plan_mix(docs, "size", shards=16, block_words=16).select("doc_id", "source", "size", "taken", "draws")
+    rows = planned.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(150_000))
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+    want = fill(sizes)
+    assert all(abs(taken[s] - want[s]) <= 0.5 + 1e-6 for s in sizes)
+    for which in (True, False):
+        words = Counter()
+        for r in rows:
+            for d in r.draws:
+                words[d.shard] += d.words * ((r.source == "huge") == which)
+        assert set(words) == set(range(16)) and max(words.values()) < 1.1 * min(words.values())
+
+
+def test_a_source_is_dealt_to_ranges_that_grow_with_it(spark, monkeypatch):
+    """No task places more than a range of a source, and texts take no part in that."""
+    seen, write = [], mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, *a: seen.append(write(df, *a)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.range(40_000).selectExpr("id AS doc_id", "'all' AS source", "5L AS size", "repeat('x', 1000) AS text")
+        assert mixing.plan_mix(docs, "size").count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    dealt = next(t for t in seen if "_range" in t.columns and "_order" in t.columns)
+    parts = [r["count"] for r in dealt.groupBy("_range").count().collect()]
+    assert len(parts) == 4 and max(parts) < 15_000 and not {"text", "_row"} & set(dealt.columns)
