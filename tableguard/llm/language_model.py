@@ -12,9 +12,10 @@ Seating: a sweep draws the number of tables of every cell anew, for all of its
 customers at once, from its exact distribution given the customers, the mass
 that speaks for a new table and the discount (``draw_tables``); then the parent
 is drawn, given its customers and its own tables of the sweep before. Cells
-begin with one table each. After ``BURN`` sweeps, what ``KEEP`` more give for
-contexts, parents and what is left to them is averaged. A draw's chance comes
-from a hash of its cell and sweep, so scores do not depend on how rows lie.
+begin with one table each. After ``BURN`` sweeps, each of ``KEEP`` more gives a
+token's probability (its context's own share, and what that leaves times the
+parent's), and these are averaged. A draw's chance comes from a hash of its cell
+and sweep, so scores do not depend on how rows lie.
 
 Data flow: texts are read once, in blocks of about ``BLOCK_TOKENS`` tokens that
 keep their tokens packed. Distinct tokens are counted, numbered by frequency and
@@ -513,8 +514,8 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
     joined = words
     for k, one in enumerate(kept):
         joined = joined.join(one.select("id", F.col("tu").alias(f"tu{k}"), F.col("n0").alias(f"n{k}"), F.col("t0").alias(f"t{k}")), "id")
-    counts = [f"{x}{k}" for k in range(KEEP) for x in ("n", "t")]
-    scored_words = materialize(joined.select("word", "id", "c", sum((F.col(f"tu{k}") for k in range(1, KEEP)), F.col("tu0")).alias("tu"), *counts))
+    counts = [f"{x}{k}" for k in range(KEEP) for x in ("tu", "n", "t")]
+    scored_words = materialize(joined.select("word", "id", "c", *counts))
     release(*kept)
     free()
 
@@ -532,42 +533,46 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
             yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1].astype(np.int32)), pa.array([TABLES], pa.int32()), pa.array([-1], pa.int64()), pa.array([value], pa.binary())], names=["part", "kind", "block", "value"])
 
     def answer(batches):
-        """What the context itself knows of each pair, in the order of the ask."""
+        """Customers and kept tables of each pair, in the order of the ask: whole numbers, which pack well."""
         for part, rows in _grouped(batches, 4):
-            own = keys = None
+            keys = c = tables = np.zeros(0, dtype=np.int64)
             for k, block, value in rows:
                 if k == CELLS:
-                    keys, cu, c = _unpack_keys(value.as_py())
-                    own = ((c - d2) / (STRENGTH + cu)).astype(np.float32)
+                    keys, _, c = _unpack_keys(value.as_py())
+                    tables = np.full(len(c), KEEP, dtype=np.int32)
                 elif k == TABLES:
                     seated, _, ts = _unpack_keys(value.as_py())
-                    at = np.searchsorted(keys, seated)
-                    own[at] = (c[at] - d2 * ts / KEEP) / (STRENGTH + cu[at])
+                    tables[np.searchsorted(keys, seated)] = ts
                 else:
                     asked, *_ = _unpack_keys(value.as_py())
                     at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-                    got = np.where(keys[at] == asked, own[at], np.float32(0)) if len(keys) else np.zeros(len(asked), dtype=np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1 + part], pa.int32()), pa.array([_packed(got)], pa.binary())], names=["block", "at", "texts"])
+                    met = keys[at] == asked if len(keys) else np.zeros(len(asked), dtype=bool)
+                    got = [np.where(met, x[at], 0).astype(k) if len(keys) else np.zeros(len(asked), dtype=k) for x, k in ((c, np.int64), (tables, np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1 + part], pa.int32()), pa.array([_packed(*got)], pa.binary())], names=["block", "at", "texts"])
 
     both = parted.unionByName(now.select("part", "u", "w", "ts").mapInArrow(pack_tables, rows_of_parts))
     replies = both.repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(answer, "block long, at int, texts binary")
-    rates = (np.int32, *[np.int64] * (3 + 2 * KEEP))
-    of_tokens = tokens.join(scored_words, "word").select("block", "at", "id", "c", "tu", *counts).mapInArrow(packed_rows(rates), "block long, at int, texts binary")
+    rates = (np.int32, *[np.int64] * (2 + 3 * KEEP))
+    of_tokens = tokens.join(scored_words, "word").select("block", "at", "id", "c", *counts).mapInArrow(packed_rows(rates), "block long, at int, texts binary")
     denominator = train_tokens + seen.V + 1
 
     def finish(batches):
         for _, rows in _grouped(batches, 4):
             length, held, token = _unpacked(rows[0][1].as_py())
-            ids, c, tu, *seated = columns_of([r for r in rows[1:] if r[0] == 0], int(token.max()) + 1, rates)
-            each = zip(levels, seated[0::2], seated[1::2])
-            p = sum(np.where(c > 0, np.maximum(n0 - d0 * t0, 0) / guests + base, new) for (d0, guests, base, new), n0, t0 in each) / KEEP
-            leave = np.where(c > 0, (STRENGTH + d2 * tu / KEEP) / (STRENGTH + c), 1.0)
+            ids, c, *seated = columns_of([r for r in rows[1:] if r[0] == 0], int(token.max()) + 1, rates)
             pairs = _Asked(token, ids, c, parts, train_tokens)
-            own = np.zeros(len(pairs.key), dtype=np.float32)
+            by_pair = np.zeros(len(pairs.key))
             for at, value, _ in rows[1:]:
                 if at:
-                    own[slice(*np.searchsorted(pairs.part, (at - 1, at)))] = _unpacked(value.as_py())[0]
-            by_pair = np.log10(np.maximum(own + leave[pairs.before] * p[pairs.last], 1e-300))
+                    customers, tables = _unpacked(value.as_py())
+                    where = slice(*np.searchsorted(pairs.part, (at - 1, at)))
+                    # Linear in tables, so their sum gives the sum over samples.
+                    by_pair[where] = (KEEP * customers - d2 * tables) / (STRENGTH + pairs.cu[where])
+            for (d0, guests, base, new), tu, n0, t0 in zip(levels, seated[0::3], seated[1::3], seated[2::3]):
+                p = np.where(c > 0, np.maximum(n0 - d0 * t0, 0) / guests + base, new)
+                leave = np.where(c > 0, (STRENGTH + d2 * tu) / (STRENGTH + c), 1.0)
+                by_pair += leave[pairs.before] * p[pairs.last]
+            by_pair = np.log10(np.maximum(by_pair / KEEP, 1e-300))
             log_p = np.empty(len(token))
             for a, place in pairs.places():
                 log_p[a : a + len(place)] = by_pair[place]

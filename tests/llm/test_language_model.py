@@ -71,8 +71,11 @@ def plain_model(texts, trains):
             t = lm.draw_tables(np.array([pair[x] for x in cells]), mass, d2, lm.chances(keys, sweep))
 
     def log_p(u, w):
-        own = np.mean([(pair[u, w] - d2 * s[u, w]) / (lm.STRENGTH + c[u]) if pair[u, w] else 0 for s, _, _ in kept])
-        return math.log10(own + np.mean([x.get(u, 1.0) for _, _, x in kept]) * np.mean([x[w] for _, x, _ in kept]))
+        each = []
+        for s, x, left in kept:
+            own = (pair[u, w] - d2 * s[u, w]) / (lm.STRENGTH + c[u]) if pair[u, w] else 0
+            each.append(own + left.get(u, 1.0) * x[w])
+        return math.log10(np.mean(each))
 
     return [sum(log_p(u, w) for u, w in zip([b""] + tokens(t), tokens(t))) for t in texts], lambda u, w: 10 ** log_p(u, w), every, unseen - (len(every) - len(c))
 
