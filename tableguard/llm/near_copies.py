@@ -1,23 +1,27 @@
-"""One of each group of near copies: shingle similarity through SimHash links.
+"""One of each group of near copies: an exact join by shingle similarity.
 
 Two texts are near copies if the sets of their five-word shingles have a
-Jaccard similarity of 0.8 or more. One 64-bit SimHash cannot tell: at 0.8 about
-one bit in seven differs. So a text gets a sketch of ``SKETCH`` independent
-SimHashes, and each half of each of them is a series of its own under the
-Gray-order index of ``simhash``: two texts are a candidate pair if they differ
-in at most two of 32 bits in some series. Of pairs at 0.8 a series finds one in
-nine, so 24 series find 95 %, and above 0.85 nearly all.
+Jaccard similarity of 0.8 or more; groups are what such pairs join. Every pair
+is either compared exactly or lies in a group that compared pairs have joined
+already. Most groups are found cheaply by SimHashes first, so that the exact
+join, which misses nothing, has little left to compare.
 
 1. Texts equal in all words are one class; what follows is about classes.
-2. Candidates: in each series, classes with an equal value are tied to one of
-   them, and that one meets others through the index. A value's links are those
-   to its nearest partners, and to the first one, so that a group in which all
-   are alike gives links by its size, not by its pairs.
-3. A candidate pair's sketches differ in d of 768 bits. Up to ``SURE`` the
-   similarity is 0.8 or more beyond doubt, over ``DOUBTFUL`` less; between,
-   sets of shingles are compared exactly. Pairs within a component that is
-   already joined need no comparison, so sure links come first and doubtful
-   ones in rounds, nearest first, until every one is joined or compared.
+2. A text gets a sketch of ``SKETCH`` independent SimHashes, and each half of
+   each of them is a series of its own under the Gray-order index of
+   ``simhash``: two texts are a candidate pair if they differ in at most two of
+   32 bits in some series. A value's links are those to its nearest partners, and
+   to the first one, so that a group in which all are alike gives links by its
+   size, not by its pairs. What this leaves out is for step 4.
+3. Candidates are compared by their sets of shingles. Pairs within a component
+   that is already joined need no comparison, so this goes in rounds, nearest
+   first, until every one is joined or compared.
+4. The rest, exactly: with all shingles in one order, two sets of similarity 0.8
+   share one of the first fifth (and one more) of each. Classes of different
+   components that share such a shingle, and can reach 0.8 by their sizes and its
+   places, are compared in the same rounds. The order is by hash, but the commonest
+   shingles come last, so that a line that many texts share brings few together;
+   which ones those are changes the time, never the result.
 """
 
 from __future__ import annotations
@@ -35,10 +39,11 @@ SKETCH = 12
 #: Bits of a series' value that may differ, and of the SimHash that goes along to check it.
 BITS = 2
 CHECK = 21
-#: Bits of a whole sketch that differ; 116 are expected at a similarity of 0.8, give or take 10.
-SURE = 84
+#: Bits of a whole sketch that may differ in a candidate of step 2; 116 are expected at a similarity of 0.8, give or take 10.
 DOUBTFUL = 150
 PARTNERS = 2
+#: Shingles that come last: those in so many of a block's texts and of all, the commonest ones.
+BLOCK, IN_BLOCK, IN_ALL, LAST = 1 << 22, 8, 64, 1 << 16
 
 
 def sketch(text: str | None) -> tuple[int, np.ndarray]:
@@ -115,12 +120,89 @@ def candidates(classes: DataFrame) -> DataFrame:
     met = links(values.drop("n"), BITS, 32, near_partners)
     pairs = tied.union(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
     of = lambda c, s: classes.select(F.col("same").alias(c), F.col("sketch").alias(s))
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", _apart(F.col("x"), F.col("y")).alias("d")).where(f"d <= {DOUBTFUL}")
+    out = materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", _apart(F.col("x"), F.col("y")).alias("d")).where(f"d <= {DOUBTFUL}"))
+    release(values, common)
+    return out
+
+
+def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
+    """The hashes of the commonest shingles, rarer ones first, at most ``LAST``; equal texts of a block count once."""
+    import pyarrow as pa
+
+    def run(batches):
+        sets, seen, size = [], set(), 0
+
+        def often():
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= IN_BLOCK].view(np.int64)), pa.array(n[n >= IN_BLOCK])], names=["h", "n"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                for x in b.column(0).slice(at, 256).to_pylist():
+                    h = np.unique(shingle_hashes(x, WORDS))
+                    if (same := hash(h.tobytes())) not in seen:
+                        seen.add(same)
+                        sets.append(h)
+                        size += len(h)
+                if size >= BLOCK:
+                    yield often()
+                    sets, seen, size = [], set(), 0
+        if sets:
+            yield often()
+
+    counts = docs.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {IN_ALL}")
+    found = counts.orderBy(F.desc("n"), "h").limit(LAST).collect()
+    return np.array([r.h for r in reversed(found)], dtype=np.int64).view(np.uint64)
+
+
+def first_shingles(docs: DataFrame, text: str, last: np.ndarray) -> DataFrame:
+    """(same, n, first) of every class: its number of shingles, and those of them one of which every near copy shares."""
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    by_hash = np.argsort(last)
+    hashes = last[by_hash]
+
+    def first(h: np.ndarray) -> np.ndarray:
+        if len(hashes) and len(h):
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            common = hashes[at] == h
+            h = np.concatenate((h[~common], last[np.sort(by_hash[at[common]])]))
+        return h[: len(h) - int(np.ceil(SIMILARITY * len(h) * (1 - 1e-12))) + 1]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.column(0).slice(at, 256).to_pylist()
+                same = [xxh64_intdigest(b" ".join((x or "").encode("utf-8", "surrogatepass").lower().split()), 7) for x in part]
+                sets = [np.unique(shingle_hashes(x, WORDS)) for x in part]
+                firsts = [first(h) for h in sets]
+                ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(same, dtype=np.uint64).view(np.int64)), pa.array(np.array([len(h) for h in sets], dtype=np.int64)), lists], names=["same", "n", "first"])
+
+    return docs.select(text).mapInArrow(run, "same long, n long, first array<long>").dropDuplicates(["same"])
+
+
+def rest_of_pairs(firsts: DataFrame, joined: DataFrame) -> DataFrame:
+    """(a, b, d): all pairs of classes of different components that can have the similarity
+    asked for; d is lower the more of their first shingles they share."""
+    roots = joined.select(F.col("node").alias("same"), "root")
+    each = firsts.join(roots, "same", "left").select("same", "n", F.coalesce("root", "same").alias("root"), F.posexplode("first").alias("at", "h"))
+    a, b = each.alias("a"), each.alias("b")
+    # A pair's first common shingle has all the others behind it.
+    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    able = (1 + SIMILARITY) * reach >= SIMILARITY * (F.col("a.n") + F.col("b.n")) - 1e-6
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.root") < F.col("b.root")) & able)
+    return pairs.groupBy(F.least("a.same", "b.same").alias("a"), F.greatest("a.same", "b.same").alias("b")).agg((-F.count("*")).alias("d"))
+
+
+def _classes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("same")).union(pairs.select(F.col("b").alias("same"))).distinct()
 
 
-def _similar(pairs: DataFrame, texts) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have the similarity asked for; ``texts``
-    returns (same, text) of the classes it is given."""
+def _sets(pairs: DataFrame, texts) -> DataFrame:
+    """(same, set): the shingles of all classes of pairs (a, b); ``texts`` returns (same, text) of the classes it is given."""
     import pyarrow as pa
 
     def run(batches):
@@ -131,43 +213,56 @@ def _similar(pairs: DataFrame, texts) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["same", "set"])
 
-    asked = pairs.select(F.col("a").alias("same")).union(pairs.select(F.col("b").alias("same"))).distinct()
-    sets = materialize(texts(asked).mapInArrow(run, "same long, set array<long>"))
-    of = lambda c, s: sets.select(F.col("same").alias(c), F.col("set").alias(s))
+    return materialize(texts(_classes_of(pairs)).mapInArrow(run, "same long, set array<long>"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the similarity asked for."""
+    now = sets.join(_classes_of(pairs), "same", "left_semi")
+    of = lambda c, s: now.select(F.col("same").alias(c), F.col("set").alias(s))
     met = F.size(F.array_intersect("x", "y"))
     joined = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").withColumn("met", met)
-    out = materialize(joined.where(F.col("met") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("met"))).select("a", "b"))
-    release(sets)
-    return out
+    return materialize(joined.where(F.col("met") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("met"))).select("a", "b"))
 
 
-def near_links(classes: DataFrame, texts) -> DataFrame:
-    """(node, root) of every class that is a near copy of another one."""
-    found = materialize(candidates(classes))
-    sure = materialize(found.where(f"d <= {SURE}").select("a", "b"))
-    joined = components(sure)
-    left = materialize(found.where(f"d > {SURE}"))
-    release(found)
-    many = 4
+def _compared(pairs: DataFrame, texts, joined: DataFrame) -> DataFrame:
+    """joined (node, root) after all pairs (a, b, d) of different components have been
+    compared, each class with its nearest ones first."""
+    free = pairs.sparkSession.sparkContext._jvm.System.gc  # frees the files of shuffles that are done with
+    free()
+    sets = _sets(pairs, texts)
+    left, many = pairs, 1
     while True:
         root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        place = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("d", "a", "b"))
         apart = left.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        ranked = materialize(apart.select("a", "b", "d", F.row_number().over(Window.partitionBy("a").orderBy("d", "b")).alias("r")))
+        ranked = materialize(apart.select("a", "b", "d", F.least(place("a"), place("b")).alias("r")))
+        release(left)
         now = ranked.where(f"r <= {many}")
         if now.isEmpty():
+            release(ranked, sets)
             return joined
-        more = _similar(now.select("a", "b"), texts)
+        more = _similar(now.select("a", "b"), sets)
         joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-        release(left)
         left, many = materialize(ranked.where(f"r > {many}").select("a", "b", "d")), many * 4
-        release(ranked)
+        release(ranked, more)
+        del apart, now, more
+        free()
+
+
+def near_links(classes: DataFrame, texts, firsts: DataFrame) -> DataFrame:
+    """(node, root) of every class that is a near copy of another one."""
+    found = candidates(classes)
+    none = found.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    joined = _compared(found, texts, materialize(none, 0))
+    return _compared(materialize(rest_of_pairs(firsts, joined)), texts, joined)
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest
     key, nulls last, then the smallest hash of its text.
 
-    Groups are joined by pairs of a similarity of 0.8 or more, and by texts equal
+    Groups are joined by all pairs of a similarity of 0.8 or more, and by texts equal
     in all words. A text of fewer than five words is one shingle. Null and empty
     texts are equal, without shingles. Rows equal in key and text are one. All
     columns of docs pass through, whatever their names. No rows, no rows.
@@ -188,7 +283,9 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
         wanted = materialize(named.join(asked, "same", "left_semi"))
         return bodies.join(wanted, by).select("same", "text").dropDuplicates(["same"])
 
-    joined = near_links(classes.select("same", "sketch"), texts)
+    firsts = materialize(first_shingles(docs, text, common_shingles(docs, text)))
+    joined = near_links(classes.select("same", "sketch"), texts, firsts)
+    release(firsts)
     roots = joined.select(F.col("node").alias("same"), "root")
     kept = classes.join(roots, "same", "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("first").alias("first"))
     # Join and removal of repeated rows go by the same columns, so texts move once.

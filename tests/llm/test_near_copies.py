@@ -83,3 +83,37 @@ def test_sketch():
     assert not near_copies.sketch(None)[1].any()
     a, b = (np.unique(simhash.shingle_hashes(t, 5)) for t in ("a b c d e f", "a b c d e f f"))
     assert len(a) == 2 and len(b) == 3
+
+
+def just_enough(pairs, changed=4, words=184):
+    """Pairs of texts that share 160 of 200 shingles, exactly 0.8 of them."""
+    rng, out = np.random.default_rng(9), []
+    for k in range(pairs):
+        w = [f"p{k}w{x}" for x in range(words)]
+        out.append(" ".join(w))
+        for at in (8 + 40 * np.arange(changed) + rng.integers(0, 30, changed)).tolist():
+            w[at] = f"p{k}x{at}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_no_pair_is_missed(spark):
+    """Groups are those of the brute force, with many pairs at the very limit and a line that all texts share."""
+    texts = corpus() + just_enough(60) + [f"{x} one line that is in each of these texts" for x in corpus()]
+    a, b = (shingles(t) for t in just_enough(1))
+    assert len(a & b) * 5 == len(a | b) * 4
+    label = groups(texts)
+    first = {root: min(i for i, x in enumerate(label) if x == root) for root in set(label)}
+    got = near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(first.values())
+
+
+def test_links_that_the_index_leaves_out_are_found(spark, monkeypatch):
+    """Without any candidate of the index the exact join finds every group."""
+    monkeypatch.setattr(near_copies, "DOUBTFUL", -1)
+    monkeypatch.setattr(near_copies, "IN_BLOCK", 2)
+    monkeypatch.setattr(near_copies, "IN_ALL", 3)
+    texts = [*corpus()[:120], "a b c", "A b  c", "a b c d", "z " * 9, "z " * 12, None, ""]
+    label = groups(texts)
+    got = near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted({min(i for i, x in enumerate(label) if x == root) for root in label})
