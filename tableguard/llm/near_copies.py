@@ -18,8 +18,8 @@ join, which misses nothing, has little left to compare.
    first, until every one is joined or compared.
 4. The rest, exactly: with all shingles in one order, two sets of similarity 0.8
    share one of the first fifth (and one more) of each. Classes of different
-   components that share such a shingle, and can reach 0.8 by their sizes and its
-   places, are compared in the same rounds. The order is by hash, but the commonest
+   components that share such a shingle, and can reach 0.8 by their sizes and the
+   number of those that they share, are compared in the same rounds. The order is by hash, but the commonest
    shingles come last, so that a line that many texts share brings few together;
    which ones those are changes the time, never the result.
 """
@@ -188,13 +188,14 @@ def rest_of_pairs(firsts: DataFrame, joined: DataFrame) -> DataFrame:
     """(a, b, d): all pairs of classes of different components that can have the similarity
     asked for; d is lower the more of their first shingles they share."""
     roots = joined.select(F.col("node").alias("same"), "root")
-    each = firsts.join(roots, "same", "left").select("same", "n", F.coalesce("root", "same").alias("root"), F.posexplode("first").alias("at", "h"))
+    each = firsts.join(roots, "same", "left").select("same", "n", F.size("first").alias("p"), F.coalesce("root", "same").alias("root"), F.explode("first").alias("h"))
     a, b = each.alias("a"), each.alias("b")
-    # A pair's first common shingle has all the others behind it.
-    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    able = (1 + SIMILARITY) * reach >= SIMILARITY * (F.col("a.n") + F.col("b.n")) - 1e-6
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.root") < F.col("b.root")) & able)
-    return pairs.groupBy(F.least("a.same", "b.same").alias("a"), F.greatest("a.same", "b.same").alias("b")).agg((-F.count("*")).alias("d"))
+    sizes = F.least("a.n", "b.n") >= SIMILARITY * F.greatest("a.n", "b.n") - 1e-6
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.root") < F.col("b.root")) & sizes)
+    # Of the text whose first shingles end earlier, all that are shared are met, and the others come behind them.
+    behind = F.max(F.greatest(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")))
+    counted = pairs.groupBy(F.least("a.same", "b.same").alias("a"), F.greatest("a.same", "b.same").alias("b")).agg(F.count("*").alias("k"), behind.alias("behind"), F.max(F.col("a.n") + F.col("b.n")).alias("both"))
+    return counted.where((1 + SIMILARITY) * (F.col("k") + F.col("behind")) >= SIMILARITY * F.col("both") - 1e-6).select("a", "b", (-F.col("k")).alias("d"))
 
 
 def _classes_of(pairs: DataFrame) -> DataFrame:
