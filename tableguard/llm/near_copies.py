@@ -17,11 +17,15 @@ join, which misses nothing, has little left to compare.
    that is already joined need no comparison, so this goes in rounds, nearest
    first, until every one is joined or compared.
 4. The rest, exactly: with all shingles in one order, two sets of similarity 0.8
-   share one of the first fifth (and one more) of each. Classes of different
-   components that share such a shingle, and can reach 0.8 by their sizes and the
-   number of those that they share, are compared in the same rounds. The order is by hash, but the commonest
-   shingles come last, so that a line that many texts share brings few together;
-   which ones those are changes the time, never the result.
+   share one of the first fifth (and one more) of each, and the first one that they
+   share leaves enough behind it in both to reach 0.8. Classes of different
+   components that share a shingle at such places are compared in the same rounds.
+   They meet by components: those that share a shingle are paired first, their
+   members only where the best of them can reach 0.8, so that a large group of
+   copies is one row for each of its shingles. The order is by the number of texts that have a shingle
+   (counted over all texts; from ``IN_ALL`` on, at most ``LAST`` shingles), then by
+   hash, so that a line that many texts share brings few together; numbers that
+   are less exact change the time, never the result.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, release
+from .language_model import _grouped, _packed, _unpacked
 from .simhash import components, in_gray_order, links, majority, near_pairs, shingle_hashes
 
 WORDS = 5
@@ -43,14 +48,18 @@ CHECK = 21
 DOUBTFUL = 150
 PARTNERS = 2
 #: Shingles that come last: those in so many of a block's texts and of all, the commonest ones.
-BLOCK, IN_BLOCK, IN_ALL, LAST = 1 << 22, 8, 64, 1 << 16
+BLOCK, IN_BLOCK, IN_ALL, LAST = 1 << 22, 1, 8, 1 << 18
+#: They are counted by so many bits of their hashes, in groups of about so many.
+COUNTED, GROUP = 40, 1 << 20
+#: Rows of a table that is broadcast.
+FEW = 100_000
 
 
-def sketch(text: str | None) -> tuple[int, np.ndarray]:
-    """A hash of the text's words, and independent SimHashes of its set of shingles."""
+def sketch(text: str | None, h: np.ndarray | None = None) -> tuple[int, np.ndarray]:
+    """A hash of the text's words, and independent SimHashes of its set of shingles (h, if it is known)."""
     from xxhash import xxh64_intdigest
 
-    h = np.unique(shingle_hashes(text, WORDS))
+    h = np.unique(shingle_hashes(text, WORDS)) if h is None else h
     same = xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), 7)
     total = np.zeros((0, SKETCH), dtype=np.uint64)
     if len(h):
@@ -62,22 +71,24 @@ def sketch(text: str | None) -> tuple[int, np.ndarray]:
 
 
 def sketches(docs: DataFrame, text: str, key: str, body: str) -> DataFrame:
-    """(key, body, same, sketch) of every row; ``body`` is a hash of the text."""
+    """(key, body, same, n, sketch) of every row; ``body`` is a hash of the text, ``n`` its number of shingles."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                both = [sketch(x) for x in part.column(0).to_pylist()]
+                held = part.column(0).to_pylist()
+                sets = [np.unique(shingle_hashes(x, WORDS)) for x in held]
+                both = [sketch(x, h) for x, h in zip(held, sets)]
                 same = np.array([s for s, _ in both], dtype=np.uint64).view(np.int64)
                 flat = np.concatenate([s for _, s in both]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCH, dtype=np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(same), lists], names=["key", "body", "same", "sketch"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(same), pa.array(np.array([len(h) for h in sets], dtype=np.int64)), lists], names=["key", "body", "same", "n", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(text).alias("text"), F.col(key).alias("key"), F.col(body).alias("body"))
-    return rows.mapInArrow(run, f"key {kind}, body long, same long, sketch array<long>")
+    return rows.mapInArrow(run, f"key {kind}, body long, same long, n long, sketch array<long>")
 
 
 def near_partners(value: np.ndarray, check: np.ndarray, bits: int, piece: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,16 +136,25 @@ def candidates(classes: DataFrame) -> DataFrame:
     return out
 
 
-def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
-    """The hashes of the commonest shingles, rarer ones first, at most ``LAST``; equal texts of a block count once."""
+def common_shingles(docs: DataFrame, text: str, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles by their first bits, in order, and in how many texts they are.
+
+    Equal texts of a block count once. ``total`` is about the number of shingles.
+    """
     import pyarrow as pa
 
+    bits = max(0, (total // GROUP).bit_length())
+
     def run(batches):
         sets, seen, size = [], set(), 0
 
-        def often():
-            h, n = np.unique(np.concatenate(sets), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n >= IN_BLOCK].view(np.int64)), pa.array(n[n >= IN_BLOCK])], names=["h", "n"])
+        def counted():
+            h, n = np.unique(np.concatenate(sets) >> np.uint64(64 - COUNTED), return_counts=True)
+            h, n = h[n >= IN_BLOCK], n[n >= IN_BLOCK].astype(np.int32)
+            group = (h >> np.uint64(COUNTED - bits)).astype(np.int32)
+            cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(h) else np.zeros(0, dtype=int)
+            values = [_packed(np.diff(h[i:j], prepend=np.uint64(0)), n[i:j]) for i, j in zip(cuts, np.append(cuts[1:], len(h)))]
+            return pa.RecordBatch.from_arrays([pa.array(group[cuts]), pa.array(values, pa.binary())], names=["group", "value"])
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -145,29 +165,47 @@ def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
                         sets.append(h)
                         size += len(h)
                 if size >= BLOCK:
-                    yield often()
+                    yield counted()
                     sets, seen, size = [], set(), 0
         if sets:
-            yield often()
-
-    counts = docs.select(text).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {IN_ALL}")
-    found = counts.orderBy(F.desc("n"), "h").limit(LAST).collect()
-    return np.array([r.h for r in reversed(found)], dtype=np.int64).view(np.uint64)
-
-
-def first_shingles(docs: DataFrame, text: str, last: np.ndarray) -> DataFrame:
-    """(same, n, first) of every class: its number of shingles, and those of them one of which every near copy shares."""
+            yield counted()
+
+    def add_up(batches):
+        for _, rows in _grouped(batches, 2):
+            each = [_unpacked(value.as_py()) for (value,) in rows]
+            h, at = np.unique(np.concatenate([np.cumsum(d, dtype=np.uint64) for d, _ in each]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in each]), len(h)).astype(np.int64)
+            for i in range(0, len(h), 1 << 16):
+                some = np.flatnonzero(n[i : i + (1 << 16)] >= IN_ALL) + i
+                yield pa.RecordBatch.from_arrays([pa.array(h[some].astype(np.int64)), pa.array(n[some])], names=["h", "n"])
+
+    dealt = docs.select(text).mapInArrow(run, "group int, value binary").repartition("group").sortWithinPartitions("group")
+    counts = materialize(dealt.mapInArrow(add_up, "h long, n long"))
+    # The least count that leaves at most LAST.
+    least, many = 1 << 62, 0
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("many")).collect(), reverse=True):
+        many += r.many
+        if many > LAST:
+            break
+        least = r.n
+    found = counts.where(F.col("n") >= least).toArrow()
+    release(counts)
+    h, n = (found.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(h)
+    return h[order].astype(np.uint64), n[order]
+
+
+def first_shingles(docs: DataFrame, text: str, hashes: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(same, n, first) of every class: its number of shingles, and those of them one of which
+    every near copy shares, in their order; ``hashes`` and ``counts`` are of the commonest ones."""
     import pyarrow as pa
     from xxhash import xxh64_intdigest
 
-    by_hash = np.argsort(last)
-    hashes = last[by_hash]
-
     def first(h: np.ndarray) -> np.ndarray:
         if len(hashes) and len(h):
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            common = hashes[at] == h
-            h = np.concatenate((h[~common], last[np.sort(by_hash[at[common]])]))
+            bits = h >> np.uint64(64 - COUNTED)
+            at = np.minimum(np.searchsorted(hashes, bits), len(hashes) - 1)
+            h = h[np.argsort(np.where(hashes[at] == bits, counts[at], 0), kind="stable")]
         return h[: len(h) - int(np.ceil(SIMILARITY * len(h) * (1 - 1e-12))) + 1]
 
     def run(batches):
@@ -186,16 +224,41 @@ def first_shingles(docs: DataFrame, text: str, last: np.ndarray) -> DataFrame:
 
 def rest_of_pairs(firsts: DataFrame, joined: DataFrame) -> DataFrame:
     """(a, b, d): all pairs of classes of different components that can have the similarity
-    asked for; d is lower the more of their first shingles they share."""
+    asked for; d is lower the more of their first shingles they share.
+
+    Of n shingles all but ``place`` come at or after the first one that two texts
+    share, and they must share SIMILARITY / (1 + SIMILARITY) of both texts' shingles.
+    """
     roots = joined.select(F.col("node").alias("same"), "root")
-    each = firsts.join(roots, "same", "left").select("same", "n", F.size("first").alias("p"), F.coalesce("root", "same").alias("root"), F.explode("first").alias("h"))
-    a, b = each.alias("a"), each.alias("b")
-    sizes = F.least("a.n", "b.n") >= SIMILARITY * F.greatest("a.n", "b.n") - 1e-6
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.root") < F.col("b.root")) & sizes)
-    # Of the text whose first shingles end earlier, all that are shared are met, and the others come behind them.
-    behind = F.max(F.greatest(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")))
-    counted = pairs.groupBy(F.least("a.same", "b.same").alias("a"), F.greatest("a.same", "b.same").alias("b")).agg(F.count("*").alias("k"), behind.alias("behind"), F.max(F.col("a.n") + F.col("b.n")).alias("both"))
-    return counted.where((1 + SIMILARITY) * (F.col("k") + F.col("behind")) >= SIMILARITY * F.col("both") - 1e-6).select("a", "b", (-F.col("k")).alias("d"))
+    each = firsts.join(roots, "same", "left").select("same", "n", F.coalesce("root", "same").alias("root"), F.posexplode("first").alias("place", "h"))
+    of_h = Window.partitionBy("h")
+    met = each.withColumns({"low": F.min("root").over(of_h), "high": F.max("root").over(of_h)}).where("low < high")
+    shared = materialize(met.select("h", "root", "same", "n", "place"))
+    # n - place >= share * (n + other) for some member only if spare >= share * other.
+    share = SIMILARITY / (1 + SIMILARITY)
+    spare = F.max((1 - share) * F.col("n") - F.col("place")) + 1e-6
+    best = materialize(shared.groupBy("h", "root").agg(spare.alias("spare"), F.min("n").alias("least")))
+    side = lambda t, x: t.select("h", *(F.col(c).alias(f"{x}_{c}") for c in t.columns if c != "h"))
+    can = (F.col("a_root") < F.col("b_root")) & (F.col("a_spare") >= share * F.col("b_least")) & (F.col("b_spare") >= share * F.col("a_least"))
+    groups = side(best, "a").join(side(best, "b"), "h").where(can).select("h", "a_root", "b_root")
+    enough = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= share * (F.col("a_n") + F.col("b_n")) - 1e-6
+    pairs = groups.join(side(shared, "a"), ["h", "a_root"]).join(side(shared, "b"), ["h", "b_root"]).where(enough)
+    met = materialize(pairs.select(F.least("a_same", "b_same").alias("a"), F.greatest("a_same", "b_same").alias("b")).distinct())
+    release(shared, best)
+    # All of their first shingles: of the text whose ones end earlier, all that are shared are among the other's.
+    asked = _small(materialize(_classes_of(met)))
+    of = lambda c, x: firsts.join(asked, "same", "left_semi").select(F.col("same").alias(c), F.col("n").alias(f"n{x}"), F.col("first").alias(x))
+    k = F.size(F.array_intersect("x", "y"))
+    behind = F.greatest(F.col("nx") - F.size("x"), F.col("ny") - F.size("y"))
+    counted = met.join(of("a", "x"), "a").join(of("b", "y"), "b").where((1 + SIMILARITY) * (k + behind) >= SIMILARITY * (F.col("nx") + F.col("ny")) - 1e-6)
+    out = materialize(counted.select("a", "b", (-k).alias("d")))
+    release(met, asked)
+    return out
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is small: what it is joined to then stays where it is."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def _classes_of(pairs: DataFrame) -> DataFrame:
@@ -253,10 +316,12 @@ def _compared(pairs: DataFrame, texts, joined: DataFrame) -> DataFrame:
 
 def near_links(classes: DataFrame, texts, firsts: DataFrame) -> DataFrame:
     """(node, root) of every class that is a near copy of another one."""
+    free = classes.sparkSession.sparkContext._jvm.System.gc
     found = candidates(classes)
     none = found.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     joined = _compared(found, texts, materialize(none, 0))
-    return _compared(materialize(rest_of_pairs(firsts, joined)), texts, joined)
+    free()
+    return _compared(rest_of_pairs(firsts, joined), texts, joined)
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -272,7 +337,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     marked = docs.withColumn(body, F.xxhash64(text))
     prints = materialize(sketches(marked, text, key, body))
     first = F.struct(F.col("key").isNull().alias("none"), "key", "body")
-    classes = materialize(prints.groupBy("same").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch")))
+    classes = materialize(prints.groupBy("same").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch"), F.first("n").alias("n")))
     release(prints)
     # A text of each class, found by the key and hash of its first row.
     by = ["_none", "_key", "_body"]
@@ -281,10 +346,11 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     bodies = marked.select(F.col(text).alias("text"), *parts(F.col(key), F.col(body)))
 
     def texts(asked: DataFrame) -> DataFrame:
-        wanted = materialize(named.join(asked, "same", "left_semi"))
+        wanted = _small(materialize(named.join(asked, "same", "left_semi")))
         return bodies.join(wanted, by).select("same", "text").dropDuplicates(["same"])
 
-    firsts = materialize(first_shingles(docs, text, common_shingles(docs, text)))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    firsts = materialize(first_shingles(docs, text, *common_shingles(docs, text, total)))
     joined = near_links(classes.select("same", "sketch"), texts, firsts)
     release(firsts)
     roots = joined.select(F.col("node").alias("same"), "root")

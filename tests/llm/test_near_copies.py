@@ -117,3 +117,32 @@ def test_links_that_the_index_leaves_out_are_found(spark, monkeypatch):
     label = groups(texts)
     got = near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == sorted({min(i for i, x in enumerate(label) if x == root) for root in label})
+
+
+def test_common_shingles_are_counted_over_all_texts(spark):
+    """Wherever texts lie: one in each partition, none of them common there."""
+    texts = [f"a line that is in all of these texts {' '.join(f't{k}w{x}' for x in range(20))}" for k in range(16)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(16)
+    hashes, counts = near_copies.common_shingles(docs, "text", 16 * 25)
+    line = simhash.shingle_hashes("a line that is in all of these texts", 5) >> np.uint64(24)
+    assert sorted(hashes.tolist()) == sorted(line.tolist()) and set(counts.tolist()) == {16}
+    again = near_copies.common_shingles(docs, "text", 10**9)  # the number of groups changes nothing
+    assert [x.tolist() for x in again] == [hashes.tolist(), counts.tolist()]
+    first = near_copies.first_shingles(docs, "text", hashes, counts).collect()
+    assert len(first) == 16 and not {x >> 24 & (1 << 40) - 1 for r in first for x in r.first} & set(line.tolist())
+
+
+def test_pairs_of_a_large_group(spark):
+    """A large group and texts that share a line with it: pairs that can't be near copies don't meet, one that is does."""
+    line = " ".join(f"line{x}" for x in range(40))
+    group = [f"{line} {' '.join(f'g{x}' for x in range(120))} own{k}" for k in range(100)]
+    other = [f"{line} {' '.join(f'o{k}w{x}' for x in range(120))}" for k in range(50)]
+    near = group[0].replace("g60 ", "x60 ").replace("g90 ", "x90 ")
+    docs = spark.createDataFrame([(t,) for t in [*group, *other, near]], "text string").repartition(4)
+    same = [near_copies.sketch(t)[0] for t in [*group, *other, near]]
+    same = np.array(same, dtype=np.uint64).view(np.int64).tolist()
+    firsts = near_copies.materialize(near_copies.first_shingles(docs, "text", *near_copies.common_shingles(docs, "text", 10**4)))
+    joined = spark.createDataFrame([(s, min(same[:100])) for s in same[:100]], "node long, root long")
+    got = {(r.a, r.b) for r in near_copies.rest_of_pairs(firsts, joined).collect()}
+    assert (min(same[0], same[-1]), max(same[0], same[-1])) in got
+    assert all(same[-1] in p and (set(p) - {same[-1]}) <= set(same[:100]) for p in got)
