@@ -21,11 +21,14 @@ Data flow: texts are read once, in blocks of about ``BLOCK_TOKENS`` tokens that
 keep their tokens packed. Distinct tokens are counted, numbered by frequency and
 sent back. A block then sends its distinct pairs of numbers, packed, to
 parts of about ``PART_TOKENS`` tokens, where pairs are summed to cells; a very
-common context is spread over several parts. A cell of one customer has one
-table whatever is drawn, so only cells of more take part in sweeps; their
-sums by context and by token are partial aggregates and come back by joins. In
-the end every part answers the blocks in the order they asked. Nothing but
-sums goes to the driver; tables that are used up are deleted on the way.
+common context is spread over several parts. A part keeps of each block's pairs
+only their places among its cells. Numbers are dealt to ranges of about
+``RANGE_IDS``, which hold the parent. A cell of one customer has one table
+whatever is drawn, so only cells of more take part in sweeps: parts send ranges
+their sums by context and by token, packed, and are sent what the parent has for
+these. In the end parts and ranges answer the blocks in the order they asked.
+Nothing but sums goes to the driver; tables that are used up are deleted on the
+way.
 """
 
 from __future__ import annotations
@@ -37,15 +40,17 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release, table
 
-BLOCK_TOKENS = 3_000_000
-PART_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
+PART_TOKENS = 3_000_000
+RANGE_IDS = 131_072
 BURN, KEEP = 1, 2
 #: Cells of up to so many customers are drawn from one table of Stirling numbers.
 SMALL = 1024
 STRENGTH = 0.2
 END = b""
-#: Kinds of rows in a part, in this order.
-CELLS, TABLES, ASKS = 0, 1, 2
+LOW = np.uint64(0xFFFFFFFF)
+#: Kinds of rows in a part or range, in the order they are read.
+CELLS, TABLES, ASKS, SEVERAL, SUMS, WANTS, REPLIES = range(7)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -83,10 +88,12 @@ def chances(cell: np.ndarray, sweep: int) -> np.ndarray:
     return (_mixed(x ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)) * 2.0**-53
 
 
-def _pairs(token: np.ndarray, end: int) -> np.ndarray:
-    """Each token with the one before it, as one number; a block begins after an end."""
-    before = np.concatenate(([end], token[:-1])).astype(np.uint64)
-    return before << np.uint64(32) | token.astype(np.uint64)
+def _pairs(token: np.ndarray, step: int = 1 << 18):
+    """For runs of tokens, where they begin and each with the one before it, as one number; a block begins after an end."""
+    for a in range(0, len(token), step):
+        # Each text ends with the end token, so a block's last is one.
+        before = np.concatenate((token[a - 1 : a] if a else token[-1:], token[a : a + step - 1])).astype(np.uint64)
+        yield a, before[: len(token) - a] << np.uint64(32) | token[a : a + step].astype(np.uint64)
 
 
 def _blocks(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame:
@@ -134,7 +141,7 @@ def _blocks(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame
                 for k, t, out in zip(*(c.to_pylist() for c in part.columns)):
                     row = (t or "").encode("utf-8", "surrogatepass").lower().split()
                     row.append(END)
-                    ids.append(np.array(list(map(words.__getitem__, row)), dtype=np.int32))
+                    ids.append(np.fromiter(map(words.__getitem__, row), np.int32, len(row)))
                     keys.append(k)
                     held.append(out)
                     lengths.append(len(row))
@@ -251,7 +258,7 @@ def _discount(once: int, twice: int) -> float:
 
 
 def _numbered(words: DataFrame) -> DataFrame:
-    """words (word, c) with ``id``: places by falling count, then by word."""
+    """words (word, c) with ``id``, materialized: places by falling count, then by word."""
     by = [F.desc("c"), F.asc("word")]
     held = materialize(words.repartitionByRange(*by).sortWithinPartitions(*by).select("word", "c", F.monotonically_increasing_id().alias("at")))
     part = F.shiftright("at", 33)
@@ -259,7 +266,9 @@ def _numbered(words: DataFrame) -> DataFrame:
     sizes = held.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
     placed = held.withColumn("part", part).join(F.broadcast(starts), "part")
-    return placed.select("word", "c", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
+    out = materialize(placed.select("word", "c", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id")))
+    release(held)
+    return out
 
 
 def _parts_of(u: np.ndarray, w: np.ndarray, cu: np.ndarray, parts: int, train_tokens: int) -> np.ndarray:
@@ -271,44 +280,134 @@ def _parts_of(u: np.ndarray, w: np.ndarray, cu: np.ndarray, parts: int, train_to
 class _Asked:
     """A block's distinct pairs of numbers in order of part and key.
 
-    ``key``, ``part``, and ``cu``, the context's count, are by pair; ``before`` and
-    ``last`` are its tokens within the block. Long arrays are made one at a time:
-    a block's pairs are most of what a task holds.
+    ``part`` and ``cu``, the context's count, are by pair; ``before`` and ``last`` are
+    its tokens within the block. Pairs of tokens are made run by run: a block's are
+    most of what a task holds.
     """
 
     def __init__(self, token: np.ndarray, ids: np.ndarray, c: np.ndarray, parts: int, train_tokens: int):
-        # Each text ends with the end token, so a block's last is one.
-        self.local = _pairs(token, int(token[-1]))
-        pair = np.sort(self.local)
-        self.pair = pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))]
-        before, last = (pair >> np.uint64(32)).astype(np.int32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int32)
-        numbers = ids.astype(np.uint64)
-        key = numbers[before] << np.uint64(32) | numbers[last]
-        part = _parts_of(numbers[before], numbers[last], c[before], parts, train_tokens)
-        order = np.lexsort((key, part))
-        self.key, self.part, self.before, self.last = key[order], part[order], before[order], last[order]
-        self.cu = c[self.before]
-        self.place = np.empty(len(order), dtype=np.int32)
-        self.place[order] = np.arange(len(order), dtype=np.int32)
-
-    def places(self, step: int = 1 << 19):
+        self.token = token
+        self.pair, _ = self._distinct()
+        n = len(self.pair)
+        key, part = np.empty(n, dtype=np.uint64), np.empty(n, dtype=np.int32)
+        for a in range(0, n, 1 << 18):
+            some = self.pair[a : a + (1 << 18)]
+            before = (some >> np.uint64(32)).astype(np.int32)
+            u, w = ids[before].astype(np.uint64), ids[(some & LOW).astype(np.int32)].astype(np.uint64)
+            key[a : a + len(some)], part[a : a + len(some)] = u << np.uint64(32) | w, _parts_of(u, w, c[before], parts, train_tokens)
+        order = np.lexsort((key, part)).astype(np.int32)
+        self.part, self.key = part[order], key[order]
+        del part, key
+        self.before, self.last = (self.pair >> np.uint64(32)).astype(np.int32)[order], (self.pair & LOW).astype(np.int32)[order]
+        self.place = np.empty(n, dtype=np.int32)
+        self.place[order] = np.arange(n, dtype=np.int32)
+
+    def _distinct(self, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of the tokens to use, and where each begins among all in order."""
+        out = np.empty(len(self.token) if use is None else int(use.sum()), dtype=np.uint64)
+        at = 0
+        for a, some in _pairs(self.token):
+            some = some if use is None else some[use[a : a + len(some)]]
+            out[at : at + len(some)] = some
+            at += len(some)
+        out.sort()
+        starts = np.flatnonzero(_changes(out))
+        return out[starts], np.append(starts, len(out))
+
+    def places(self):
         """For each run of tokens, the places of their pairs."""
-        for a in range(0, len(self.local), step):
-            yield a, self.place[np.searchsorted(self.pair, self.local[a : a + step])]
+        for a, some in _pairs(self.token):
+            yield a, self.place[np.searchsorted(self.pair, some)]
+
+    def counts(self, use: np.ndarray) -> np.ndarray:
+        """How often each pair comes among the tokens to use."""
+        some, starts = self._distinct(use)
+        n = np.zeros(len(self.part), dtype=np.int32)
+        n[self.place[np.searchsorted(self.pair, some)]] = np.diff(starts)
+        return n
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    return np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=bool)
+
 
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    cuts = np.flatnonzero(_changes(x))
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(x)]))
 
-def _pack_keys(key: np.ndarray, cu: np.ndarray, *more: np.ndarray) -> bytes:
-    """Sorted keys: contexts, with their counts and numbers of pairs, and tokens."""
-    u = (key >> np.uint64(32)).astype(np.uint32)
-    starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))) if len(u) else np.zeros(0, dtype=np.int64)
-    sizes = np.diff(np.append(starts, len(u))).astype(np.uint32)
-    return _packed(np.diff(u[starts], prepend=np.uint32(0)), sizes, cu[starts].astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), *more)
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=0).astype(np.uint32)
+
+
+def _places(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.int64)
+
+
+def _pack_keys(key: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted keys: contexts, with their numbers of pairs, and steps between the tokens of each."""
+    u, w = (key >> np.uint64(32)).astype(np.uint32), (key & LOW).astype(np.uint32)
+    starts = np.flatnonzero(_changes(u))
+    steps = np.diff(w, prepend=np.uint32(0))
+    steps[starts] = w[starts]
+    return _packed(np.diff(u[starts], prepend=np.uint32(0)), np.diff(np.append(starts, len(u))).astype(np.uint32), steps, *more)
 
 
 def _unpack_keys(value: bytes):
-    steps, sizes, cu, w, *more = _unpacked(value)
-    u = np.repeat(np.cumsum(steps, dtype=np.uint64), sizes)
-    return u << np.uint64(32) | w.astype(np.uint64), np.repeat(cu, sizes), *more
+    contexts, sizes, steps, *more = _unpacked(value)
+    u, w = np.repeat(np.cumsum(contexts, dtype=np.uint64), sizes), np.cumsum(steps, dtype=np.uint64)
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    w -= np.repeat(w[starts] - steps[starts], sizes)
+    return u << np.uint64(32) | w, *more
+
+
+def _sides(key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The contexts of keys, then their tokens: distinct numbers, and the place of each key's among them."""
+    return [np.unique(x.astype(np.int64), return_inverse=True) for x in (key >> np.uint64(32), key & LOW)]
+
+
+def _dealt(ids: np.ndarray, ranges: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each range, which of the distinct numbers are its own, and their places in it."""
+    r = ids % ranges
+    order = np.lexsort((ids, r))
+    return {int(r[order[a]]): (order[a:e], ids[order[a:e]] // ranges) for a, e in _runs(r[order])}
+
+
+def _messages(sides, ranges: int, *columns):
+    """(range, value) for each range with numbers of either side: places of contexts with their columns, then of tokens."""
+    deals, none = [_dealt(ids, ranges) for ids, _ in sides], np.zeros(0, dtype=np.int64)
+    for r in sorted(deals[0].keys() | deals[1].keys()):
+        out = []
+        for k, deal in enumerate(deals):
+            which, place = deal.get(r, (none, none))
+            out += [_steps(place), *(x[k][which] for x in columns)]
+        yield r, _packed(*out)
+
+
+def _tallies(key: np.ndarray, tables: np.ndarray | None, ranges: int):
+    """(range, value) of the tables of each context and of each token; one a key if none are given."""
+    if tables is None:
+        sides = [np.unique(x.astype(np.int64), return_counts=True) for x in (key >> np.uint64(32), key & LOW)]
+        return _messages(sides, ranges, [n for _, n in sides])
+    sides = _sides(key)
+    return _messages(sides, ranges, [np.bincount(at, weights=tables, minlength=len(ids)).astype(np.int64) for ids, at in sides])
+
+
+def _row(part: int, kind: int, block: int, value: bytes, **sums: int):
+    """A row for a part or range."""
+    import pyarrow as pa
+
+    kinds = {"part": pa.int32(), "kind": pa.int32(), "block": pa.int64(), "value": pa.binary()}
+    columns = {"part": part, "kind": kind, "block": block, "value": value, **sums}
+    return pa.RecordBatch.from_arrays([pa.array([x], kinds.get(c, pa.int64())) for c, x in columns.items()], names=list(columns))
+
+
+def _to_block(block: int, at: int, value: bytes):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at], pa.int32()), pa.array([value], pa.binary())], names=["block", "at", "texts"])
 
 
 def _grouped(batches, columns: int):
@@ -345,237 +444,271 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
 
     blocks = materialize(_blocks(docs, key, text, training))
     tokens, texts = blocks.where("at >= 0").select("block", "at", "word", "n"), blocks.where("at < 0").select("block", "at", "keys", "texts")
-    words = materialize(_numbered(tokens.groupBy("word").agg(F.sum("n").alias("c"))))
+    words = _numbered(tokens.groupBy("word").agg(F.sum("n").alias("c")))
+    free()
     seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("V"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"), F.count_if(F.col("c") == 0).alias("new")).first()
     train_tokens, known = seen.n, max(1, seen.V)
     # Unseen tokens: a lower bound from those seen once and twice, and those that are met here.
     unseen = max(1, seen.new, seen.once * (seen.once - 1) // (2 * (seen.twice + 1)))
-    parts = max(1, -(-train_tokens // PART_TOKENS))
-
-    def packed_rows(kinds):
-        """For each block one row with its share of this partition, packed by columns."""
-
-        def run(batches):
-            held = [[b.column(k).to_numpy() for k in range(len(kinds) + 1)] for b in batches if b.num_rows]
-            if not held:
-                return
-            block, at, *rest = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((at, block))
-            block, columns = block[order], [x[order] for x in (at, *rest)]
-            cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            for a, e in zip(cuts, np.append(cuts[1:], len(block))):
-                yield pa.RecordBatch.from_arrays([pa.array(block[a : a + 1]), pa.array([0], pa.int32()), pa.array([_packed(*(x[a:e].astype(k) for x, k in zip(columns, kinds)))], pa.binary())], names=["block", "at", "texts"])
+    parts, ranges, total = max(1, -(-train_tokens // PART_TOKENS)), max(1, -(-(seen.V + seen.new) // RANGE_IDS)), seen.V + seen.new
+    of_part, of_block = "part int, kind int, block long, value binary", "block long, at int, texts binary"
 
-        return run
+    def at(number: int, *tables: DataFrame) -> DataFrame:
+        """Rows of so many parts, or ranges, one part after another; their few bytes hold much work."""
+        out = tables[0].select("part", "kind", "block", "value")
+        for t in tables[1:]:
+            out = out.unionByName(t.select("part", "kind", "block", "value"))
+        return out.repartition(2 * number, "part").sortWithinPartitions("part", "kind", "block")
 
-    def with_texts(*answers: DataFrame) -> DataFrame:
+    def at_blocks(*answers: DataFrame) -> DataFrame:
         """Blocks one after another: texts first, then what was answered."""
         out = texts
         for a in answers:
             out = out.unionByName(a, allowMissingColumns=True)
-        return out.select("block", "at", "texts", "keys").repartition("block").sortWithinPartitions("block", "at")
+        return out.select("block", "at", "texts", "keys").repartition(2 * max(1, several), "block").sortWithinPartitions("block", "at")
 
-    def columns_of(rows, size: int, kinds) -> list[np.ndarray]:
-        """Columns by token out of packed rows."""
-        out = [np.zeros(size, dtype=k) for k in kinds[1:]]
-        for _, value, _ in rows:
-            at, *got = _unpacked(value.as_py())
-            for x, y in zip(out, got):
-                x[at] = y
-        return out
-
-    numbers = (np.int32, np.int64, np.int64)
-    of_tokens = tokens.join(words, "word").select("block", "at", "id", "c").mapInArrow(packed_rows(numbers), "block long, at int, texts binary")
+    def pack_numbers(batches):
+        """For each block one row with its share of this partition."""
+        held = [[b.column(k).to_numpy() for k in range(4)] for b in batches if b.num_rows]
+        if held:
+            block, at, ids, c = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((at, block))
+            block, at, ids, c = block[order], at[order], ids[order], c[order]
+            for a, e in _runs(block):
+                yield _to_block(int(block[a]), 0, _packed(_steps(at[a:e]), ids[a:e], c[a:e]))
+
+    def number(batches):
+        """For each block one row: numbers and counts of its tokens, in their order there."""
+        for block, rows in _grouped(batches, 3):
+            at, ids, c = (np.concatenate(x) for x in zip(*((_places(steps), *more) for steps, *more in (_unpacked(value.as_py()) for _, value in rows))))
+            order = np.argsort(at)
+            yield _to_block(block, 0, _packed(ids[order], c[order]))
+
+    packed = tokens.join(words, "word").select("block", "at", "id", "c").mapInArrow(pack_numbers, of_block)
+    numbered = materialize(packed.repartition("block").sortWithinPartitions("block").mapInArrow(number, of_block))
+    several = numbered.count()
+    free()
 
     def ask(batches):
         for block, rows in _grouped(batches, 4):
             length, held, token = _unpacked(rows[0][1].as_py())
-            ids, c = columns_of(rows[1:], int(token.max()) + 1, numbers)
-            trains = np.repeat(held == 0, length)
-            pairs = _Asked(token, ids, c, parts, train_tokens)
-            n, part = np.zeros(len(pairs.key), dtype=np.int32), pairs.part
-            for a, place in pairs.places():
-                np.add.at(n, place[trains[a : a + len(place)]], 1)
-            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            for a, e in zip(cuts, np.append(cuts[1:], len(part))):
-                value = _pack_keys(pairs.key[a:e], pairs.cu[a:e], n[a:e])
-                yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1]), pa.array([ASKS], pa.int32()), pa.array([block], pa.int64()), pa.array([value], pa.binary())], names=["part", "kind", "block", "value"])
-
-    rows_of_parts = "part int, kind int, block long, value binary"
-    asks = with_texts(of_tokens).mapInArrow(ask, rows_of_parts)
+            pairs = _Asked(token, *_unpacked(rows[1][1].as_py()), parts, train_tokens)
+            n = pairs.counts(np.repeat(held == 0, length))
+            for a, e in _runs(pairs.part):
+                yield _row(int(pairs.part[a]), ASKS, block, _pack_keys(pairs.key[a:e], n[a:e]))
 
     def add_up(batches):
-        """Every ask as it came, and the cells of each part: pairs that training saw."""
+        """Of each part: places of asked pairs among its cells, pairs that training saw; customers of
+        cells; cells of more than one customer, with a table each; tables of the others, for ranges."""
         for part, rows in _grouped(batches, 4):
-            keys, sizes, counts = [], [], []
-            for _, block, value in rows:
-                k, cu, n = _unpack_keys(value.as_py())
-                keys.append(k[n > 0])
-                sizes.append(cu[n > 0])
-                counts.append(n[n > 0])
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([ASKS], pa.int32()), pa.array([block], pa.int64()), pa.array([value.as_py()], pa.binary())], names=["part", "kind", "block", "value"])
-            k, n, cu = np.concatenate(keys), np.concatenate(counts), np.concatenate(sizes)
-            order = np.argsort(k, kind="stable")
-            k, n, cu = k[order], n[order], cu[order]
-            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, dtype=np.int64)
-            c = np.add.reduceat(n.astype(np.int64), starts) if len(k) else np.zeros(0, dtype=np.int64)
-            value = _pack_keys(k[starts], cu[starts], c)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([CELLS], pa.int32()), pa.array([-1], pa.int64()), pa.array([value], pa.binary())], names=["part", "kind", "block", "value"])
-
-    parted = materialize(asks.repartition("part").sortWithinPartitions("part", "block").mapInArrow(add_up, rows_of_parts))
+            asked = [(block, *_unpack_keys(value.as_py())) for _, block, value in rows]
+            k = np.concatenate([k[n > 0] for _, k, n in asked])
+            order = np.argsort(k).astype(np.int32)
+            k = k[order]
+            starts = np.flatnonzero(_changes(k))
+            cells = k[starts]
+            del k
+            n = np.concatenate([n[n > 0] for *_, n in asked])[order]
+            c = np.add.reduceat(n, starts, dtype=np.int64) if len(n) else np.zeros(0, dtype=np.int64)
+            del n, order, starts
+            many = c > 1
+            yield _row(part, CELLS, -1, _packed(c), twice=int((c == 2).sum()))
+            yield _row(part, SEVERAL, -1, _pack_keys(cells[many], c[many], np.ones(many.sum(), dtype=np.int32), np.zeros(many.sum(), dtype=np.int32)), twice=0)
+            for r, value in _tallies(cells[~many], None, ranges):
+                yield _row(r, SUMS, part, value, twice=0)
+            while asked:
+                block, k, _ = asked.pop()
+                at = np.searchsorted(cells, k)
+                met = cells[np.minimum(at, len(cells) - 1)] == k if len(cells) else np.zeros(len(k), dtype=bool)
+                yield _row(part, ASKS, block, _packed(_steps(at[met]), np.packbits(met), np.array([len(k)])), twice=0)
+
+    asks = at_blocks(numbered).mapInArrow(ask, of_part)
+    parted = materialize(at(parts, asks).mapInArrow(add_up, f"{of_part}, twice long"))
+    free()
+    d2_twice = parted.agg(F.coalesce(F.sum("twice"), F.lit(0))).first()[0]
+
+    def deal(batches):
+        """Counts of tokens, for ranges."""
+        held = [[b.column(k).to_numpy() for k in range(2)] for b in batches if b.num_rows]
+        if held:
+            ids, c = (np.concatenate(x) for x in zip(*held))
+            for r, (which, place) in _dealt(ids, ranges).items():
+                yield _row(r, CELLS, -1, _packed(_steps(place), c[which]))
+
+    def begin(batches):
+        """Of each range: counts of tokens, tables of cells of one customer by context and by token."""
+        for r, rows in _grouped(batches, 4):
+            c, tu, tw = (np.zeros(-(-(total - r) // ranges), dtype=np.int64) for _ in range(3))
+            for kind, _, value in rows:
+                if kind == CELLS:
+                    place, x = _unpacked(value.as_py())
+                    c[_places(place)] = x
+                else:
+                    u, of_u, w, of_w = _unpacked(value.as_py())
+                    tu[_places(u)] += of_u
+                    tw[_places(w)] += of_w
+            yield _row(r, CELLS, -1, _packed(c, tu, tw), once=int(tu.sum()))
+
+    entries = materialize(at(ranges, words.select("id", "c").mapInArrow(deal, of_part), parted.where(F.col("kind") == SUMS)).mapInArrow(begin, f"{of_part}, once long"))
+    d2 = _discount(entries.agg(F.coalesce(F.sum("once"), F.lit(0))).first()[0], d2_twice)
+    release(words)
     free()
-    summed = parted.where(F.col("kind") == CELLS).select("part", "value")
 
-    def several(batches):
-        """Cells of more than one customer."""
+    def tally(batches):
         for b in batches:
-            for part, value in zip(b.column(0).to_pylist(), b.column(1)):
-                k, _, c = _unpack_keys(value.as_py())
-                k, c = k[c > 1], c[c > 1]
-                for a in range(0, len(k), 65536):
-                    x = k[a : a + 65536]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), part, dtype=np.int32)), pa.array((x >> np.uint64(32)).astype(np.int64)), pa.array((x & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(c[a : a + 65536])], names=["part", "u", "w", "c"])
-
-    def alone(batches):
-        """Cells of one customer: how many each context (side 0) and each token (side 1) of a part has."""
+            for part, value in zip(b.column(0).to_pylist(), b.column(3)):
+                k, _, t, _ = _unpack_keys(value.as_py())
+                for r, x in _tallies(k, t, ranges):
+                    yield _row(r, SUMS, part, x)
+
+    def add_tables(batches):
+        """Tables of each context, and customers of the parent: one for each table of a cell."""
+        for r, rows in _grouped(batches, 4):
+            c, tu, n0 = (x.copy() for x in _unpacked(rows[0][2].as_py()))
+            for *_, value in rows[1:]:
+                u, of_u, w, of_w = _unpacked(value.as_py())
+                tu[_places(u)] += of_u
+                n0[_places(w)] += of_w
+            yield _row(r, CELLS, -1, _packed(c, tu, n0), n=int(n0.sum()), once=int((n0 == 1).sum()), twice=int((n0 == 2).sum()), tu=int(tu.sum()), contexts=int((c > 0).sum()))
+
+    def want(batches):
+        """What each part needs of each range: tables of contexts, seating of tokens."""
         for b in batches:
-            for value in b.column(1):
-                k, _, c = _unpack_keys(value.as_py())
-                for side, x in enumerate((k[c == 1] >> np.uint64(32), k[c == 1] & np.uint64(0xFFFFFFFF))):
-                    ids, n = np.unique(x, return_counts=True)
-                    for a in range(0, len(ids), 65536):
-                        some = ids[a : a + 65536].astype(np.int64)
-                        part = n[a : a + 65536]
-                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(part * (side == 0)), pa.array(part * (side == 1))], names=["id", "as_u", "as_w"])
-
-    cells = materialize(summed.mapInArrow(several, "part int, u long, w long, c long"))
-    singles = materialize(summed.mapInArrow(alone, "id long, as_u long, as_w long").groupBy("id").agg(F.sum("as_u").alias("as_u"), F.sum("as_w").alias("as_w")))
-    entries = materialize(words.join(singles, "id", "left").select("id", "c", F.coalesce("as_u", F.lit(0)).alias("as_u"), F.coalesce("as_w", F.lit(0)).alias("as_w")))
-    few = entries.agg(F.coalesce(F.sum("as_u"), F.lit(0)).alias("once")).first()
-    d2 = _discount(few.once, cells.where("c = 2").count())
-    release(singles)
-    free()
-
-    now, tables0 = cells.select("part", "u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("ts")), float(known)
+            for part, value in zip(b.column(0).to_pylist(), b.column(3)):
+                for r, x in _messages(_sides(_unpack_keys(value.as_py())[0]), ranges):
+                    yield _row(r, WANTS, part, x)
+
+    def serve(batches):
+        for r, rows in _grouped(batches, 4):
+            _, tu, n0, t0 = _unpacked(rows[0][2].as_py())
+            for _, part, value in rows[1:]:
+                u, w = map(_places, _unpacked(value.as_py()))
+                yield _row(part, REPLIES, r, _packed(tu[u], n0[w], t0[w]))
+
+    now, tables0 = parted.where(F.col("kind") == SEVERAL), float(known)
     kept: list[DataFrame] = []
     levels: list[tuple[float, float, float, float]] = []
     for sweep in range(BURN + KEEP + 1):
-        # Tables of each context, and customers of the parent: one for each table of a cell.
-        of_u, of_w = now.groupBy(F.col("u").alias("id")).agg(F.sum("t").alias("tu")), now.groupBy(F.col("w").alias("id")).agg(F.sum("t").alias("tw"))
-        joined = entries.join(of_u, "id", "left").join(of_w, "id", "left")
-        upper = materialize(joined.select("id", "c", (F.col("as_u") + F.coalesce("tu", F.lit(0))).alias("tu"), (F.col("as_w") + F.coalesce("tw", F.lit(0))).alias("n0")))
-        n = F.col("n0")
-        sums = upper.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice"), F.coalesce(F.sum("tu"), F.lit(0)).alias("tu"), F.count_if(F.col("c") > 0).alias("contexts")).first()
+        upper = materialize(at(ranges, entries, now.select("part", "kind", "block", "value").mapInArrow(tally, of_part)).mapInArrow(add_tables, f"{of_part}, n long, once long, twice long, tu long, contexts long"))
+        sums = upper.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n", "once", "twice", "tu", "contexts"))).first()
         d0 = _discount(sums.once, sums.twice)
 
         def seat(batches, mass=(STRENGTH + d0 * tables0) / known, d0=d0, sweep=sweep):
             made: dict = {}
             for b in batches:
-                if b.num_rows:
-                    n0 = b.column(3).to_numpy()
-                    t = draw_tables(n0, np.full(len(n0), mass), d0, chances(b.column(0).to_numpy(), 1000 + sweep), made)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(n0 > 0, t, 0))], names=["id", "c", "tu", "n0", "t0"])
+                for r, value in zip(b.column(0).to_pylist(), b.column(3)):
+                    c, tu, n0 = _unpacked(value.as_py())
+                    t = draw_tables(n0, np.full(len(n0), mass), d0, chances(np.arange(len(n0)) * ranges + r, 1000 + sweep), made) * (n0 > 0)
+                    yield _row(r, CELLS, sweep, _packed(c, tu, n0, t), tables=int(t.sum()))
 
-        seated = materialize(upper.mapInArrow(seat, "id long, c long, tu long, n0 long, t0 long"))
-        tables0 = float(seated.agg(F.coalesce(F.sum("t0"), F.lit(0))).first()[0])
+        seated = materialize(upper.select("part", "kind", "block", "value").mapInArrow(seat, f"{of_part}, tables long"))
+        tables0 = float(seated.agg(F.coalesce(F.sum("tables"), F.lit(0))).first()[0])
         escape = (STRENGTH + d0 * tables0) / (STRENGTH + sums.n)
         leave = min(1.0, (STRENGTH * sums.contexts + d2 * sums.tu) / max(1, train_tokens) if train_tokens else 1.0)
         # Unknown tokens together get about the share of tokens seen once.
         unknown = float(np.clip(seen.once / max(1, train_tokens) / max(1e-9, leave * escape), 0.01, 0.99))
-        own = F.greatest(n - d0 * F.col("t0"), F.lit(0.0)) / (STRENGTH + sums.n)
-        p = F.when(F.col("c") > 0, own + escape * (1 - unknown) / known).otherwise(escape * unknown / unseen)
+        level = d0, STRENGTH + sums.n, escape * (1 - unknown) / known, escape * unknown / unseen
         release(upper)
         if sweep > BURN:
             kept.append(seated)
-            levels.append((d0, STRENGTH + sums.n, escape * (1 - unknown) / known, escape * unknown / unseen))
+            levels.append(level)
         if sweep == BURN + KEEP:
             break
-        rated = materialize(seated.select("id", "tu", p.alias("p")))
-        if sweep <= BURN:
-            release(seated)
-        free()
 
-        def draw(batches, sweep=sweep):
+        def draw(batches, sweep=sweep, level=level):
             made: dict = {}
-            for b in batches:
-                if b.num_rows:
-                    u, w, c, mass, ts = (b.column(k).to_numpy() for k in range(1, 6))
-                    t = draw_tables(c, mass, d2, chances(u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), sweep), made)
-                    yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(t), pa.array(ts + t * (sweep >= BURN))], names=["part", "u", "w", "c", "t", "ts"])
-
-        mass = (STRENGTH + d2 * F.col("tu")) * F.col("p")
-        of_u, of_w = rated.select(F.col("id").alias("u"), "tu"), rated.select(F.col("id").alias("w"), "p")
-        then = materialize(now.join(of_u, "u").join(of_w, "w").select("part", "u", "w", "c", mass.alias("mass"), "ts").mapInArrow(draw, "part int, u long, w long, c long, t long, ts long"))
-        release(now if sweep else cells, rated)
+            d0, guests, base, _ = level
+            for part, rows in _grouped(batches, 4):
+                k, c, _, ts = _unpack_keys(rows[0][2].as_py())
+                (u, at_u), (w, at_w) = _sides(k)
+                of_u, of_w = _dealt(u, ranges), _dealt(w, ranges)
+                mass, p = np.zeros(len(u)), np.zeros(len(w))
+                for _, r, value in rows[1:]:
+                    tu, n0, t0 = _unpacked(value.as_py())
+                    if r in of_u:
+                        mass[of_u[r][0]] = STRENGTH + d2 * tu
+                    if r in of_w:
+                        p[of_w[r][0]] = np.maximum(n0 - d0 * t0, 0) / guests + base
+                t = draw_tables(c, mass[at_u] * p[at_w], d2, chances(k, sweep), made)
+                yield _row(part, SEVERAL, -1, _pack_keys(k, c, t.astype(np.int32), (ts + t * (sweep >= BURN)).astype(np.int32)))
+
+        replies = at(ranges, now.select("part", "kind", "block", "value").mapInArrow(want, of_part), seated).mapInArrow(serve, of_part)
+        then = materialize(at(parts, now, replies).mapInArrow(draw, of_part))
+        release(*([now] if sweep else []), *([seated] if sweep <= BURN else []))
         now = then
         free()
-
-    # Whole numbers, which pack well, go back; blocks make probabilities of them.
-    joined = words
-    for k, one in enumerate(kept):
-        joined = joined.join(one.select("id", F.col("tu").alias(f"tu{k}"), F.col("n0").alias(f"n{k}"), F.col("t0").alias(f"t{k}")), "id")
-    counts = [f"{x}{k}" for k in range(KEEP) for x in ("tu", "n", "t")]
-    scored_words = materialize(joined.select("word", "id", "c", *counts))
-    release(*kept)
+    release(entries)
     free()
 
-    def pack_tables(batches):
-        held = [[b.column(k).to_numpy() for k in range(4)] for b in batches if b.num_rows]
-        if not held:
-            return
-        part, u, w, ts = (np.concatenate(x) for x in zip(*held))
-        k = u.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64)
-        order = np.lexsort((k, part))
-        part, k, ts = part[order], k[order], ts[order]
-        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        for a, e in zip(cuts, np.append(cuts[1:], len(part))):
-            value = _pack_keys(k[a:e], np.zeros(e - a, dtype=np.int64), ts[a:e].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1].astype(np.int32)), pa.array([TABLES], pa.int32()), pa.array([-1], pa.int64()), pa.array([value], pa.binary())], names=["part", "kind", "block", "value"])
+    def tables_only(batches):
+        for b in batches:
+            for part, value in zip(b.column(0).to_pylist(), b.column(3)):
+                yield _row(part, TABLES, -1, _packed(_unpack_keys(value.as_py())[3]))
 
     def answer(batches):
         """Customers and kept tables of each pair, in the order of the ask: whole numbers, which pack well."""
         for part, rows in _grouped(batches, 4):
-            keys = c = tables = np.zeros(0, dtype=np.int64)
-            for k, block, value in rows:
-                if k == CELLS:
-                    keys, _, c = _unpack_keys(value.as_py())
+            c = tables = np.zeros(0, dtype=np.int64)
+            for kind, block, value in rows:
+                if kind == CELLS:
+                    (c,) = _unpacked(value.as_py())
                     tables = np.full(len(c), KEEP, dtype=np.int32)
-                elif k == TABLES:
-                    seated, _, ts = _unpack_keys(value.as_py())
-                    tables[np.searchsorted(keys, seated)] = ts
+                elif kind == TABLES:
+                    (tables[c > 1],) = _unpacked(value.as_py())
                 else:
-                    asked, *_ = _unpack_keys(value.as_py())
-                    at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-                    met = keys[at] == asked if len(keys) else np.zeros(len(asked), dtype=bool)
-                    got = [np.where(met, x[at], 0).astype(k) if len(keys) else np.zeros(len(asked), dtype=k) for x, k in ((c, np.int64), (tables, np.int32))]
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([1 + part], pa.int32()), pa.array([_packed(*got)], pa.binary())], names=["block", "at", "texts"])
-
-    both = parted.unionByName(now.select("part", "u", "w", "ts").mapInArrow(pack_tables, rows_of_parts))
-    replies = both.repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(answer, "block long, at int, texts binary")
-    rates = (np.int32, *[np.int64] * (2 + 3 * KEEP))
-    of_tokens = tokens.join(scored_words, "word").select("block", "at", "id", "c", *counts).mapInArrow(packed_rows(rates), "block long, at int, texts binary")
+                    steps, bits, size = _unpacked(value.as_py())
+                    met, at = np.unpackbits(bits, count=int(size[0])).astype(bool), _places(steps)
+                    got = np.zeros(len(met), dtype=np.int64), np.zeros(len(met), dtype=np.int32)
+                    got[0][met], got[1][met] = c[at], tables[at]
+                    yield _to_block(block, 1 + ranges + part, _packed(*got))
+
+    def want_words(batches):
+        for b in batches:
+            for block, value in zip(b.column(0).to_pylist(), b.column(2)):
+                for r, (_, place) in _dealt(_unpacked(value.as_py())[0], ranges).items():
+                    yield _row(r, WANTS, block, _packed(_steps(place)))
+
+    def serve_words(batches):
+        """Seating of a block's tokens in each kept sample: whole numbers too."""
+        for r, rows in _grouped(batches, 4):
+            held = [x for _, _, value in rows[:KEEP] for x in _unpacked(value.as_py())[1:]]
+            for _, block, value in rows[KEEP:]:
+                place = _places(_unpacked(value.as_py())[0])
+                yield _to_block(block, 1 + r, _packed(*(x[place] for x in held)))
+
+    cells = parted.where(F.col("kind").isin(CELLS, ASKS))
+    of_pairs = at(parts, cells, now.select("part", "kind", "block", "value").mapInArrow(tables_only, of_part)).mapInArrow(answer, of_block)
+    of_tokens = at(ranges, *kept, numbered.mapInArrow(want_words, of_part)).mapInArrow(serve_words, of_block)
     denominator = train_tokens + seen.V + 1
 
     def finish(batches):
         for _, rows in _grouped(batches, 4):
             length, held, token = _unpacked(rows[0][1].as_py())
-            ids, c, *seated = columns_of([r for r in rows[1:] if r[0] == 0], int(token.max()) + 1, rates)
-            pairs = _Asked(token, ids, c, parts, train_tokens)
-            by_pair = np.zeros(len(pairs.key))
-            for at, value, _ in rows[1:]:
-                if at:
-                    customers, tables = _unpacked(value.as_py())
-                    where = slice(*np.searchsorted(pairs.part, (at - 1, at)))
+            ids, c = _unpacked(rows[1][1].as_py())
+            pairs, dealt = _Asked(token, ids, c, parts, train_tokens), _dealt(ids, ranges)
+            by_pair, seated = np.zeros(len(pairs.part)), [np.zeros(len(ids), dtype=np.int64) for _ in range(3 * KEEP)]
+            for at, value, _ in rows[2:]:
+                got = _unpacked(value.as_py())
+                if at <= ranges:
+                    for x, y in zip(seated, got):
+                        x[dealt[at - 1][0]] = y
+                else:
+                    customers, tables = got
+                    where = slice(*np.searchsorted(pairs.part, (at - 1 - ranges, at - ranges)))
                     # Linear in tables, so their sum gives the sum over samples.
-                    by_pair[where] = (KEEP * customers - d2 * tables) / (STRENGTH + pairs.cu[where])
+                    by_pair[where] = (KEEP * customers - d2 * tables) / (STRENGTH + c[pairs.before[where]])
             for (d0, guests, base, new), tu, n0, t0 in zip(levels, seated[0::3], seated[1::3], seated[2::3]):
                 p = np.where(c > 0, np.maximum(n0 - d0 * t0, 0) / guests + base, new)
                 leave = np.where(c > 0, (STRENGTH + d2 * tu) / (STRENGTH + c), 1.0)
-                by_pair += leave[pairs.before] * p[pairs.last]
-            by_pair = np.log10(np.maximum(by_pair / KEEP, 1e-300))
+                for a in range(0, len(by_pair), 1 << 18):
+                    some = slice(a, a + (1 << 18))
+                    by_pair[some] += leave[pairs.before[some]] * p[pairs.last[some]]
+            by_pair /= KEEP
+            np.log10(np.maximum(by_pair, 1e-300, out=by_pair), out=by_pair)
             log_p = np.empty(len(token))
             for a, place in pairs.places():
                 log_p[a : a + len(place)] = by_pair[place]
+            del pairs, by_pair, seated
             starts = np.cumsum(length, dtype=np.int64) - length
             sums = lambda x: np.add.reduceat(x, starts)
             columns = [
@@ -584,7 +717,7 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", key: str
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    scored = with_texts(of_tokens, replies).mapInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = at_blocks(numbered, of_tokens, of_pairs).mapInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

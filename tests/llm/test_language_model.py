@@ -244,3 +244,43 @@ def test_columns_of_any_name_are_left_alone(spark):
     more = spark.createDataFrame([(*r, "x", 1, 2.0, None, 3) for r in rows], "doc_id long, text string, word string, at int, Score double, _key string, block int")
     score = lambda df: sorted(map(tuple, lm.score_texts(df, ~lm.held_out(df["doc_id"])).collect()))
     assert score(more) == score(plain)
+
+
+def test_keys_places_and_ranges_come_back():
+    """What is packed for parts and ranges is unpacked as it was, whatever is empty."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 1000):
+        key = np.unique(rng.integers(0, 40, n).astype(np.uint64) << np.uint64(32) | rng.integers(0, 2**32, n).astype(np.uint64))
+        got, c = lm._unpack_keys(lm._pack_keys(key, np.arange(len(key))))
+        assert (got == key).all() and (c == np.arange(len(key))).all()
+        ids = rng.permutation(3 * n + 1)[:n]
+        dealt = lm._dealt(ids, 7)
+        assert sorted(x for r, (_, place) in dealt.items() for x in place * 7 + r) == sorted(ids)
+        assert all((ids[which] == lm._places(lm._steps(place)) * 7 + r).all() for r, (which, place) in dealt.items())
+    for n in (1, 5, 600_000):
+        token = rng.integers(0, 5, n).astype(np.int32)
+        pairs = np.concatenate([x for _, x in lm._pairs(token)])
+        assert (pairs & lm.LOW == token).all() and (pairs >> np.uint64(32) == np.roll(token, 1)).all()
+        asked = lm._Asked(token, np.array([9, 4, 7, 0, 2]), np.ones(5, dtype=np.int64), 3, 5)
+        assert asked.counts(np.ones(n, dtype=bool)).sum() == n and (np.diff(asked.part) >= 0).all()
+        place = np.concatenate([x for _, x in asked.places()])
+        assert (asked.last[place] == token).all() and (asked.before[place] == np.roll(token, 1)).all()
+
+
+def test_many_ranges_and_no_row_for_each_cell(spark, data, monkeypatch):
+    """Ranges of few numbers give the same scores; sweeps write a row for each part and range, not for each cell."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(150)
+    rows = [tuple(r) for r in docs.collect()] + [(10_000, None), (10_001, "the the"), (10_002, "neverseen " * 3)]
+    out = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    want = dict(zip([i for i, _ in rows], plain_model([t for _, t in rows], [not x for x in out])[0]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known, write = len({w for i, t in rows for w in tokens(t)}), lm.materialize
+    for ids, block in ((1 + known // 9, 4000), (10**6, lm.BLOCK_TOKENS)):
+        sizes = []
+        monkeypatch.setattr(lm, "materialize", lambda df, *a: (x := write(df, *a), sizes.append((x.columns, x.count())))[0])
+        monkeypatch.setattr(lm, "RANGE_IDS", ids, raising=False)
+        monkeypatch.setattr(lm, "BLOCK_TOKENS", block)
+        monkeypatch.setattr(lm, "PART_TOKENS", 5000)
+        got = {r.doc_id: r.score for r in lm.score_texts(frame, ~lm.held_out(frame["doc_id"])).collect()}
+        assert max(abs(got[i] - want[i]) / (1 + abs(want[i])) for i in want) < 1e-6
+        assert all(n < known / 2 for columns, n in sizes if "word" not in columns), sizes
